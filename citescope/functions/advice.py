@@ -6,7 +6,7 @@ from __future__ import annotations
 from citescope.functions import sql as F
 from citescope.functions.sql import Expr
 from citescope.functions import fixed_values as fixed
-from citescope.functions.text import any_of, let, strip
+from citescope.functions.text import any_of, let, parse_json, strip
 
 REC_TYPE = "array<struct<title:string,description:string,priority:string>>"
 
@@ -204,7 +204,7 @@ def _members(parsed: Expr) -> Expr:
 def parse_strict(response: Expr) -> Expr:
     """Recommendations of an answer that is one JSON array, at most four."""
     return let(
-        F.struct(F.try_parse_json(_json_lines(response)).alias("v")),
+        F.struct(parse_json(_json_lines(response)).alias("v")),
         lambda p: F.slice(
             F.coalesce(_strict(_members(p["v"])), _none()),
             1,
@@ -218,11 +218,11 @@ def parse_loose(response: Expr) -> Expr:
     pieces = let(
         _json_lines(response),
         lambda text: F.when(
-            F.try_parse_json(text).isNull(),
+            parse_json(text).isNull(),
             F.regexp_extract_all(text, F.lit(r"(?s)\[.*?\]"), F.lit(0)),
         ).otherwise(F.empty("array<string>")),
     )
-    lists = F.transform(pieces, lambda p: _relaxed(_members(F.try_parse_json(p))))
+    lists = F.transform(pieces, lambda p: let(parse_json(p), lambda v: _relaxed(_members(v))))
     return F.slice(
         F.coalesce(
             F.get(F.filter(lists, lambda found: F.size(found) > 0), F.lit(0)), _none()

@@ -205,9 +205,7 @@ def spans(token_array: Expr, wanted) -> Expr:
                 i.alias("pos"),
                 t["tag"].alias("tag"),
                 (t["kind"] == "start").alias("open"),
-                F.coalesce((t["kind"] == "start") & wanted(t), F.lit(False)).alias(
-                    "wanted"
-                ),
+                F.coalesce((t["kind"] == "start") & wanted(t), False).alias("wanted"),
                 (
                     t["kind"].isin("start", "end") & ~t["tag"].isin(VOID_TAGS)
                 ).alias("structural"),
@@ -215,13 +213,13 @@ def spans(token_array: Expr, wanted) -> Expr:
         ),
         lambda t: t["structural"],
     )
-    return let(
-        structural,
-        lambda items: F.when(
-            F.exists(items, lambda t: t["wanted"]),
-            _close_positions(items, F.size(token_array)),
-        ).otherwise(F.empty("array<struct<pos:int,close:int>>")),
-    )
+    return F.when(
+        F.exists(
+            token_array,
+            lambda t: F.coalesce((t["kind"] == "start") & wanted(t), False),
+        ),
+        _close_positions(structural, F.size(token_array)),
+    ).otherwise(F.empty("array<struct<pos:int,close:int>>"))
 
 
 def _closed_part(closing: Expr, position: Expr) -> Expr:

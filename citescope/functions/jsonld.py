@@ -12,7 +12,7 @@ from citescope.functions import sql as F
 from citescope.functions.sql import Expr
 from citescope.functions import fixed_values as fixed
 from citescope.functions.html import attribute, attributes, elements, raw_body
-from citescope.functions.text import last, strip
+from citescope.functions.text import last, parse_json, strip
 
 
 def script_bodies(token_array: Expr) -> Expr:
@@ -29,7 +29,7 @@ def script_bodies(token_array: Expr) -> Expr:
 def parsed(bodies: Expr) -> Expr:
     """VARIANT of every script that is valid JSON."""
     return F.filter(
-        F.transform(bodies, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull()
+        F.transform(bodies, parse_json), lambda v: v.isNotNull()
     )
 
 

@@ -10,9 +10,12 @@ from citescope.functions.sql import Expr
 from citescope.functions import fixed_values as fixed
 from citescope.functions import html as H
 from citescope.functions.text import (
+    all_of,
+    any_of,
     contains_any,
     count_of,
     let,
+    parse_json,
     split_words,
     strip,
 )
@@ -204,16 +207,20 @@ def _maybe_marked(token: Expr) -> Expr:
     return contains_any(F.lower(token["raw"]), ["llm", "ai", "assistant"])
 
 
-def _selector_hits(attrs: Expr) -> Expr:
+def _selector_hits(token: Expr) -> Expr:
     """Numbers of the selectors an element matches."""
-    hits = []
-    for number, (name, part, _) in enumerate(fixed.LLM_SELECTORS):
-        value = H.attribute(attrs, name)
-        if name == "class":
-            value = F.array_join(split_words(value), " ")
-        hit = value.isNotNull() if part is None else value.contains(part)
-        hits.append(F.when(hit, F.lit(number)))
-    return F.filter(F.array(*hits), lambda n: n.isNotNull())
+
+    def hits(attrs):
+        found = []
+        for number, (name, part, _) in enumerate(fixed.LLM_SELECTORS):
+            value = H.attribute(attrs, name)
+            if name == "class":
+                value = F.array_join(split_words(value), " ")
+            hit = value.isNotNull() if part is None else value.contains(part)
+            found.append(F.when(hit, number))
+        return F.filter(F.array(*found), lambda n: n.isNotNull())
+
+    return let(H.attributes(token["raw"]), hits)
 
 
 def _span_texts(token_array: Expr, wanted, label) -> Expr:
@@ -234,9 +241,8 @@ def from_elements(token_array: Expr) -> Expr:
     """
     marked = _span_texts(
         token_array,
-        lambda t: _maybe_marked(t)
-        & (F.size(_selector_hits(H.attributes(t["raw"]))) > 0),
-        lambda t: _selector_hits(H.attributes(t["raw"])),
+        lambda t: _maybe_marked(t) & (F.size(_selector_hits(t)) > 0),
+        _selector_hits,
     )
     usable = F.filter(marked, lambda e: is_valid(e["text"]))
     return let(
@@ -262,7 +268,7 @@ def from_json_ld(bodies: Expr) -> Expr:
         F.filter(
             bodies,
             lambda b: contains_any(
-                F.lower(F.to_json(F.try_parse_json(b))), fixed.LLM_JSON_LD_WORDS
+                F.lower(F.to_json(parse_json(b))), fixed.LLM_JSON_LD_WORDS
             )
             & is_valid(b),
         ),
@@ -286,14 +292,46 @@ def from_hidden(token_array: Expr) -> Expr:
     )
 
 
+# Substrings that lower-cased text must have for the pattern of the same place to match
+# (any of a list; all of a tuple).  They avoid letters with case variants of their own
+# outside ASCII, or list those variants.
+_TEXT_NEEDS = [
+    ["ai:", "a\u0131:", "ai\u0307:", "llm:", "model:", "tant:"],
+    ["#"],
+    ["truct"],
+    ["truct", "rule", ("gu", "del")],
+]
+
+
+def _may_match(lowered: Expr, needs) -> Expr:
+    return any_of(
+        all_of(lowered.contains(part) for part in need)
+        if isinstance(need, tuple)
+        else lowered.contains(need)
+        for need in needs
+    )
+
+
 def from_text(all_text: Expr) -> Expr:
-    matches = F.flatten(
-        F.array(
-            *[
-                F.regexp_extract_all(all_text, F.lit(pattern), F.lit(0))
-                for pattern in fixed.LLM_TEXT_PATTERNS
-            ]
-        )
+    """Lines and phrases of the page text that address AI systems.
+
+    The patterns are slow on long texts, so each runs only on texts that can match it.
+    """
+    matches = let(
+        F.struct(all_text.alias("text"), F.lower(all_text).alias("low")),
+        lambda t: F.flatten(
+            F.array(
+                *[
+                    F.when(
+                        _may_match(t["low"], needs),
+                        F.regexp_extract_all(t["text"], pattern, 0),
+                    ).otherwise(F.empty("array<string>"))
+                    for pattern, needs in zip(
+                        fixed.LLM_TEXT_PATTERNS, _TEXT_NEEDS, strict=True
+                    )
+                ]
+            )
+        ),
     )
     return F.transform(
         F.filter(matches, is_valid), lambda m: _found(strip(m), "text_pattern")

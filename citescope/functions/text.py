@@ -48,6 +48,10 @@ def any_of(conditions) -> Expr:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def all_of(conditions) -> Expr:
+    return reduce(lambda a, b: a & b, conditions)
+
+
 def contains_any(text: Expr, needles) -> Expr:
     return any_of(text.contains(needle) for needle in needles)
 
@@ -59,6 +63,25 @@ def count_of(text: Expr, needles) -> Expr:
     )
 
 
+_END = "end of text"
+
+
+def parse_json(text: Expr) -> Expr:
+    """VARIANT of a text that is JSON from end to end, else null.
+
+    ``try_parse_json`` stops after the first value and accepts what follows it, so the
+    text is parsed as the first of two array elements.
+    """
+    return let(
+        F.try_parse_json(F.concat("[", text, f',"{_END}"]')),
+        lambda v: F.when(
+            (F.try_variant_get(v, "$[1]", "string") == _END)
+            & F.try_variant_get(v, "$[2]", "variant").isNull(),
+            F.try_variant_get(v, "$[0]", "variant"),
+        ),
+    )
+
+
 # ---------------------------------------------------------------------------------
 # character references
 

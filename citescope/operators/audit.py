@@ -16,6 +16,12 @@ from citescope.functions import html as H
 from citescope.functions import sql as S
 from citescope.functions import text as T
 from citescope.functions.sql import Expr, col, select
+from citescope.operators.llmtxt import (
+    embedded_column,
+    llm_resolve,
+    merge_llm_txt,
+    with_llm_sources,
+)
 
 HTML = col("rendered_html")
 TEXT = col("clean_text")
@@ -34,18 +40,29 @@ def _presence(compat: bool) -> Expr:
         # the audit looks the tags up where the page record never puts them
         tags = fixed.CRITICAL_TAGS + fixed.SOCIAL_TAGS
         return S.struct(*[S.lit(False).alias(t.replace(":", "_")) for t in tags])
-    return X.meta_presence(H.tokens(HTML))
+    return X.meta_presence(col("tokens"))
 
 
-def structure_metrics(pages: DataFrame, compat: bool = False) -> DataFrame:
+def structure_metrics(
+    pages: DataFrame, compat: bool = False, embedded: bool = False
+) -> DataFrame:
     """All metrics of a page, flat.
 
-    ``compat`` reports every meta tag as missing, as the reference's saved sample does;
-    by default a tag is present when the page gives it a non-empty value.
+    ``compat`` reports every meta tag as missing, as the saved sample of the original
+    does; by default a tag is present when the page gives it a non-empty value.
+    ``embedded`` adds the llm.txt content found inside the page as a struct.
     """
     staged = select(
-        pages, "page_id", "url", "rendered_html", T.page_text(HTML).alias("clean_text")
+        pages,
+        "page_id",
+        "url",
+        "rendered_html",
+        T.page_text(HTML).alias("clean_text"),
+        H.tokens(HTML).alias("tokens"),
     )
+    if embedded:
+        staged = with_llm_sources(staged)
+    extra = [embedded_column().alias("embedded")] if embedded else []
     counted = select(
         staged,
         "page_id",
@@ -57,6 +74,7 @@ def structure_metrics(pages: DataFrame, compat: bool = False) -> DataFrame:
         *_named(M.schema_counts(HTML)),
         M.faq_text_unmarked(HTML, TEXT).alias("faq_unmarked"),
         _presence(compat).alias("present"),
+        *extra,
     )
     headings = _refs(f"h{level}" for level in fixed.HEADING_LEVELS)
     semantic = _refs(fixed.SEMANTIC_TAGS)
@@ -87,6 +105,7 @@ def structure_metrics(pages: DataFrame, compat: bool = False) -> DataFrame:
         M.structural_issues(
             col("word_count"), present, semantic, col("faq_unmarked"), col("json_ld")
         ).alias("structural_issues"),
+        *[part.name for part in extra],
     )
 
 
@@ -130,48 +149,54 @@ def structural_issues(pages: DataFrame, compat: bool = False) -> DataFrame:
     return structure_metrics(pages, compat).select("page_id", "structural_issues")
 
 
-def llm_summary(llm_txt: DataFrame) -> DataFrame:
-    """What the audit keeps of the llm.txt search."""
-    return select(
-        llm_txt,
-        "page_id",
+SUMMARY = [
+    "has_llm_txt", "llm_txt_url", "extraction_method", "content_size", "sources_found",
+    "attempts_made",
+]
+
+
+def _summary_columns() -> list:
+    return [
         col("llm_txt_found").alias("has_llm_txt"),
         "llm_txt_url",
         "extraction_method",
         col("llm_txt_size_bytes").alias("content_size"),
         S.size(col("sources")).alias("sources_found"),
         S.size(col("attempts")).alias("attempts_made"),
-    )
+    ]
+
+
+def llm_summary(llm_txt: DataFrame) -> DataFrame:
+    """What the audit keeps of the llm.txt search."""
+    return select(llm_txt, "page_id", *_summary_columns())
 
 
 def structure_analysis(
-    pages: DataFrame, llm_txt: DataFrame | None = None, compat: bool = False
+    pages: DataFrame, site_files: DataFrame | None = None, compat: bool = False
 ) -> DataFrame:
-    """Metrics with the llm.txt summary.
+    """Metrics with the llm.txt summary, from one pass over the page source.
 
-    Without an llm.txt table the plan has no shuffle and every page counts as having
-    none; with it there is one join on ``page_id`` between two narrow tables.
+    The metrics and the search for embedded llm.txt content read the page in the same
+    projection; what is then joined with the landed site files on ``page_id`` are narrow
+    rows without any source.  With no ``site_files`` nothing is shuffled and only
+    embedded content counts.
     """
-    metrics = structure_metrics(pages, compat)
-    if llm_txt is not None:
-        metrics = metrics.join(llm_summary(llm_txt), "page_id", "left")
-    missing = {
-        "has_llm_txt": S.lit(False),
-        "llm_txt_url": S.lit(None).cast("string"),
-        "extraction_method": S.lit(None).cast("string"),
-        "content_size": S.lit(0),
-        "sources_found": S.lit(0),
-        "attempts_made": S.lit(0),
-    }
-    kept = [c for c in metrics.columns if c not in missing]
-    return select(
-        metrics,
-        *kept,
-        *[
-            (S.coalesce(col(name), value) if llm_txt is not None else value).alias(name)
-            for name, value in missing.items()
-        ],
-    )
+    metrics = structure_metrics(pages, compat, embedded=True)
+    kept = [c for c in metrics.columns if c != "embedded"]
+    if site_files is None:
+        inside = col("embedded")
+        return select(
+            metrics,
+            *kept,
+            inside["found"].alias("has_llm_txt"),
+            S.lit(None).cast("string").alias("llm_txt_url"),
+            inside["method"].alias("extraction_method"),
+            S.octet_length(inside["content"]).alias("content_size"),
+            S.size(inside["sources"]).alias("sources_found"),
+            S.lit(0).alias("attempts_made"),
+        )
+    resolved = llm_resolve(pages, site_files)
+    return select(merge_llm_txt(metrics, resolved), *kept, *_summary_columns())
 
 
 def nested_analysis(analysis: DataFrame) -> DataFrame:
@@ -200,12 +225,7 @@ def nested_analysis(analysis: DataFrame) -> DataFrame:
                 part(fixed.SCHEMA_PATTERNS).alias("types"),
                 *map(col, SCHEMA[len(fixed.SCHEMA_PATTERNS):]),
             ).alias("schema_markup"),
-            part(
-                [
-                    "has_llm_txt", "llm_txt_url", "extraction_method", "content_size",
-                    "sources_found", "attempts_made",
-                ]
-            ).alias("llm_txt_analysis"),
+            part(SUMMARY).alias("llm_txt_analysis"),
             col("structural_issues"),
         ).alias("structure_analysis"),
     )

@@ -106,17 +106,27 @@ def llm_resolve(pages: DataFrame, site_files: DataFrame) -> DataFrame:
     )
 
 
-def _staged(pages: DataFrame) -> DataFrame:
-    tokens = select(pages, "page_id", H.tokens(col("rendered_html")).alias("tokens"))
+def with_llm_sources(tokenised: DataFrame) -> DataFrame:
+    """Adds what the search inside a page reads to rows that have ``tokens``."""
     return select(
-        tokens,
-        "page_id",
-        "tokens",
+        tokenised,
+        "*",
         L.script_bodies(TOKENS).alias("bodies"),
         H.joined_text(TOKENS).alias("all_text"),
     )
 
 
+def embedded_column() -> Expr:
+    """Embedded content as a column over ``with_llm_sources`` rows."""
+    return X.embedded(TOKENS, col("bodies"), col("all_text"))
+
+
+def _staged(pages: DataFrame) -> DataFrame:
+    return with_llm_sources(
+        select(pages, "page_id", H.tokens(col("rendered_html")).alias("tokens"))
+    )
+
+
 def _finds(pages: DataFrame, finds: Expr) -> DataFrame:
     rows = _staged(pages).select("page_id", F.posexplode(finds.col()).alias("pos", "f"))
     return rows.select("page_id", "pos", "f.*")
@@ -148,8 +158,9 @@ def llm_from_text(pages: DataFrame) -> DataFrame:
 
 def llm_embedded(pages: DataFrame) -> DataFrame:
     """``page_id, found, content, method, sources`` of content inside the page."""
-    found = X.embedded(TOKENS, col("bodies"), col("all_text"))
-    return select(_staged(pages), "page_id", found.alias("e")).select("page_id", "e.*")
+    return select(_staged(pages), "page_id", embedded_column().alias("e")).select(
+        "page_id", "e.*"
+    )
 
 
 def llm_sections(texts: DataFrame) -> DataFrame:
@@ -164,44 +175,50 @@ def llm_score(texts: DataFrame) -> DataFrame:
     return select(parts, "page_id", X.score(col("s")).alias("geo_relevance_score"))
 
 
-def llm_txt(pages: DataFrame, site_files: DataFrame) -> DataFrame:
-    """llm.txt data of every page: embedded content first, else the site's file."""
-    inside = select(
-        llm_embedded(pages),
-        "page_id",
-        col("found").alias("inside"),
-        col("content").alias("inside_content"),
-        col("method").alias("inside_method"),
-        "sources",
+LLM_TXT = [
+    "llm_txt_found", "llm_txt_url", "llm_txt_content", "extraction_method", "sources",
+    "attempts", "llm_txt_size_bytes", "parsed_sections", "geo_relevance_score",
+]
+
+
+def merge_llm_txt(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
+    """llm.txt columns from rows with an ``embedded`` struct and ``llm_resolve`` rows.
+
+    Other columns of ``parsed`` stay, so a caller that already reads the pages for
+    something else searches them in the same pass.
+    """
+    others = [c for c in parsed.columns if c != "embedded"]
+    inside = col("embedded")
+    found_inside = inside["found"]
+    none_tried = S.empty(
+        "array<struct<url:string,success:boolean,status_code:int,error:string>>"
     )
-    joined = inside.join(llm_resolve(pages, site_files), "page_id", "left")
-    inside_found = col("inside")
     merged = select(
-        joined,
-        "page_id",
-        S.coalesce(inside_found | col("found"), False).alias("llm_txt_found"),
-        S.when(~inside_found, col("llm_txt_url")).alias("llm_txt_url"),
-        S.when(inside_found, col("inside_content"))
+        parsed.join(resolved, "page_id", "left"),
+        *others,
+        S.coalesce(found_inside | col("found"), False).alias("llm_txt_found"),
+        S.when(~found_inside, col("llm_txt_url")).alias("llm_txt_url"),
+        S.when(found_inside, inside["content"])
         .otherwise(col("llm_txt_content"))
         .alias("llm_txt_content"),
-        S.when(inside_found, col("inside_method"))
+        S.when(found_inside, inside["method"])
         .otherwise(col("extraction_method"))
         .alias("extraction_method"),
-        "sources",
-        S.when(~inside_found, col("attempts"))
-        .otherwise(
-            S.empty(
-                "array<struct<url:string,success:boolean,status_code:int,error:string>>"
-            )
-        )
-        .alias("attempts"),
+        inside["sources"].alias("sources"),
+        S.when(~found_inside, col("attempts")).otherwise(none_tried).alias("attempts"),
     )
-    parsed = select(
+    sized = select(
         merged,
         "*",
         S.coalesce(S.octet_length(col("llm_txt_content")), 0).alias("llm_txt_size_bytes"),
         X.sections(col("llm_txt_content")).alias("parsed_sections"),
     )
     return select(
-        parsed, "*", X.score(col("parsed_sections")).alias("geo_relevance_score")
+        sized, "*", X.score(col("parsed_sections")).alias("geo_relevance_score")
     )
+
+
+def llm_txt(pages: DataFrame, site_files: DataFrame) -> DataFrame:
+    """llm.txt data of every page: embedded content first, else the site's file."""
+    inside = select(_staged(pages), "page_id", embedded_column().alias("embedded"))
+    return merge_llm_txt(inside, llm_resolve(pages, site_files))

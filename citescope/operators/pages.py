@@ -17,6 +17,13 @@ from citescope.functions import jsonld as L
 from citescope.functions import sql as S
 from citescope.functions import text as T
 from citescope.functions.sql import Expr, col, select
+from citescope.operators.llmtxt import (
+    LLM_TXT,
+    embedded_column,
+    llm_resolve,
+    merge_llm_txt,
+    with_llm_sources,
+)
 
 RAW = col("raw_html")
 RENDERED = col("rendered_html")
@@ -249,17 +256,22 @@ def _with_http_info(pages: DataFrame, http_info: DataFrame) -> DataFrame:
 def crawl_record(
     pages: DataFrame,
     http_info: DataFrame | None = None,
-    llm_txt: DataFrame | None = None,
+    site_files: DataFrame | None = None,
+    keep_source: bool = True,
 ) -> DataFrame:
     """One nested record per page.
 
-    Every part comes out of one pass over the row; ``http_info`` and ``llm_txt``
-    (result of ``operators.llmtxt.llm_txt``) are joined by ``page_id`` when given.
+    Every part comes out of one pass over the row.  ``http_info`` and ``site_files`` are
+    joined by ``page_id`` when given; both joins use one partitioning of the pages, and
+    tables bucketed by ``page_id`` need none.  ``keep_source=False`` leaves the page
+    sources out of the record, so that they stay out of the second join as well.
     Statistics use all links and images, the record keeps the first 100 and 50.
     """
+    resolved = None if site_files is None else llm_resolve(pages, site_files)
     if http_info is not None:
         pages = _with_http_info(pages, http_info)
     landed = ["http_info"] if http_info is not None else []
+    source = ["raw_html", "rendered_html"] if keep_source else []
     staged = select(
         pages,
         "page_id",
@@ -276,15 +288,14 @@ def crawl_record(
         X.js_detection(RAW).alias("js"),
     )
     arrays = select(
-        staged,
+        with_llm_sources(staged),
         "*",
         X.links(TOKENS, col("final_url")).alias("all_links"),
         X.images(TOKENS, col("final_url")).alias("all_images"),
         X.hreflang(TOKENS).alias("hreflang"),
-        L.script_bodies(TOKENS).alias("bodies"),
+        L.parsed(col("bodies")).alias("items"),
     )
-    parsed = select(arrays, "*", L.parsed(col("bodies")).alias("items"))
-    parsed = select(parsed, "*", L.objects(col("items")).alias("objects"))
+    parsed = select(arrays, "*", L.objects(col("items")).alias("objects"))
     header_language = (
         col("http_info.content_language") if landed else S.lit(None).cast("string")
     )
@@ -293,8 +304,7 @@ def crawl_record(
         "page_id",
         _crawl_info(parsed, col("clean_text"), col("js")).alias("crawl_info"),
         *landed,
-        "raw_html",
-        "rendered_html",
+        *source,
         "clean_text",
         X.dom_diff(col("raw_tokens"), TOKENS).alias("dom_diff"),
         S.struct(
@@ -322,10 +332,10 @@ def crawl_record(
         X.content_stats(
             col("clean_text"), col("all_links"), col("all_images")
         ).alias("content_stats"),
+        embedded_column().alias("embedded"),
     )
-    if llm_txt is None:
-        return record
-    found = [col(c) for c in llm_txt.columns if c != "page_id"]
-    return record.join(
-        select(llm_txt, "page_id", S.struct(*found).alias("llm_txt")), "page_id", "left"
-    )
+    if resolved is None:
+        return record.withColumnRenamed("embedded", "llm_txt")
+    kept = [c for c in record.columns if c != "embedded"]
+    merged = merge_llm_txt(record, resolved)
+    return select(merged, *kept, S.struct(*map(col, LLM_TXT)).alias("llm_txt"))

@@ -110,9 +110,7 @@ def read_answers(spark, sf_dir):
 def crawl_record(spark, sf_dir):
     landed = fx.geo_pages(spark, sf_dir)
     record = pages.crawl_record(
-        landed,
-        fx.http_info(spark, sf_dir),
-        llm.llm_txt(landed, fx.geo_site_files(spark, sf_dir)),
+        landed, fx.http_info(spark, sf_dir), fx.geo_site_files(spark, sf_dir)
     )
     return record.selectExpr(
         "page_id",
@@ -454,7 +452,9 @@ def llm_summary(spark, sf_dir):
 
 
 def _analysis(spark, sf_dir):
-    return audit.structure_analysis(fx.geo_pages(spark, sf_dir), _llm_txt(spark, sf_dir))
+    return audit.structure_analysis(
+        fx.geo_pages(spark, sf_dir), fx.geo_site_files(spark, sf_dir)
+    )
 
 
 @registered
