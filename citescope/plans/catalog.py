@@ -652,7 +652,7 @@ def domain_totals(spark, sf_dir):
 @registered
 def query_details(spark, sf_dir):
     answers = fx.geo_queries(spark, sf_dir).selectExpr(
-        "query_id", "upper(query) AS response_text"
+        "query_id", "concat('Re: ', query) AS response_text"
     )
     details = citations.query_details(
         fx.geo_queries(spark, sf_dir),

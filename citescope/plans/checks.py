@@ -156,8 +156,8 @@ FROM bare b LEFT JOIN http_info h ON h.page_id = b.page_id""",
     "bare", "http_info",
 )
 CHECKS["json_ld"] = query(
-    """SELECT page_id, count(body) AS json_ld_count, count_if(coalesce(json_valid(body), false)) AS parsed_items,
-  count_if(coalesce(CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' END, false)) AS object_items
+    """SELECT page_id, count(body) AS json_ld_count, count(*) FILTER (WHERE coalesce(json_valid(body), false)) AS parsed_items,
+  count(*) FILTER (WHERE coalesce(CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' END, false)) AS object_items
 FROM geo_pages LEFT JOIN scripts USING (page_id) GROUP BY page_id""",
     "scripts",
 )
@@ -177,7 +177,7 @@ _JS = f"""(len(regexp_extract_all(lower(html), '<script')) > {fixed.MANY_SCRIPTS
 CHECKS["js_detection"] = f"""SELECT page_id, html <> '' AS javascript_executed,
   {_JS} AS javascript_modified_dom FROM pages"""
 CHECKS["content_stats"] = query(
-    f"""WITH l AS (SELECT page_id, count(*) AS n, count_if({netloc('href')} = host) AS inside FROM links GROUP BY page_id),
+    f"""WITH l AS (SELECT page_id, count(*) AS n, count(*) FILTER (WHERE {netloc('href')} = host) AS inside FROM links GROUP BY page_id),
 i AS (SELECT page_id, count(*) AS n FROM imgs GROUP BY page_id)
 SELECT t.page_id, len(regexp_extract_all(clean_text, '[^ \t\n\r]+')) AS word_count,
   coalesce(l.n, 0) AS link_count, coalesce(i.n, 0) AS image_count,
@@ -247,7 +247,7 @@ CHECKS["ld_contact"] = _per_page(
     ),
     "json_type(j, '$.contactPoint') = 'OBJECT'",
 )
-_CRUMBS = """SELECT page_id, unnest(range(json_array_length(j, '$.itemListElement'))) AS i, j FROM typed
+_CRUMBS = """SELECT page_id, unnest(range(CAST(json_array_length(j, '$.itemListElement') AS BIGINT))) AS i, j FROM typed
   WHERE kind = 'BreadcrumbList'"""
 CHECKS["ld_breadcrumbs"] = query(
     f"""WITH e AS ({_CRUMBS})
@@ -257,7 +257,7 @@ SELECT page_id, CAST(i AS BIGINT) AS pos, json_extract_string(j, '$.itemListElem
     "typed",
 )
 CHECKS["ld_faq"] = query(
-    """WITH e AS (SELECT page_id, unnest(range(json_array_length(j, '$.mainEntity'))) AS i, j FROM typed WHERE kind = 'FAQPage')
+    """WITH e AS (SELECT page_id, unnest(range(CAST(json_array_length(j, '$.mainEntity') AS BIGINT))) AS i, j FROM typed WHERE kind = 'FAQPage')
 SELECT page_id, CAST(i AS BIGINT) AS pos, json_extract_string(j, '$.mainEntity[' || i || '].name') AS question,
   json_extract_string(j, '$.mainEntity[' || i || '].acceptedAnswer.text') AS answer FROM e""",
     "typed",
@@ -635,8 +635,8 @@ CHECKS["queries_structured"] = query(
 
 
 def _types(source: str, by: str = "") -> str:
-    direct = "count_if(type = 'Direct')"
-    generic = "count_if(type <> 'Direct')"
+    direct = "count(*) FILTER (WHERE type = 'Direct')"
+    generic = "count(*) FILTER (WHERE type <> 'Direct')"
     return f"""SELECT {by + ',' if by else ''} count(*) AS total, {direct} AS direct, {generic} AS generic,
   {percent(direct, 'count(*)')} AS direct_percentage, {percent(generic, 'count(*)')} AS generic_percentage
 FROM {source} {'GROUP BY ' + by if by else ''}"""
@@ -715,8 +715,8 @@ def _breakdown(by: str = "", grain: str = _DOMAIN) -> str:
     group = f"GROUP BY {by}" if by else ""
     join = f"JOIN sizes s ON s.{by} = l.{by}" if by else "CROSS JOIN sizes s"
     kinds = {
-        "direct": "count_if(lower(type) = 'direct')",
-        "generic": "count_if(lower(type) <> 'direct')",
+        "direct": "count(*) FILTER (WHERE lower(type) = 'direct')",
+        "generic": "count(*) FILTER (WHERE lower(type) <> 'direct')",
         "total": "count(*)",
     }
     counts = ", ".join(f"{x} AS {k}_count" for k, x in kinds.items())
@@ -740,7 +740,7 @@ CHECKS["domain_totals"] = query(
 )
 CHECKS["query_details"] = query(
     f"""WITH {_counted()} SELECT q.query_id, q.type AS query_type,
-  CASE WHEN q.query_id % 4 <> 1 THEN upper(q.query) ELSE '' END AS response_text, c.domain, c.count
+  CASE WHEN q.query_id % 4 <> 1 THEN concat('Re: ', q.query) ELSE '' END AS response_text, c.domain, c.count
 FROM geo_queries q LEFT JOIN counts c ON c.query_id = q.query_id""",
     *_CITATION_VIEWS,
 )
@@ -770,7 +770,7 @@ CHECKS["crawl_record"] = query(
     f"""WITH {LLM_TXT}, {_sections('llm')},
 l AS (SELECT page_id, count(*) AS n FROM links GROUP BY page_id),
 i AS (SELECT page_id, count(*) AS n FROM imgs GROUP BY page_id),
-s AS (SELECT page_id, count(*) AS n, count_if(json_valid(body)) AS parsed FROM scripts GROUP BY page_id),
+s AS (SELECT page_id, count(*) AS n, count(*) FILTER (WHERE json_valid(body)) AS parsed FROM scripts GROUP BY page_id),
 w AS (SELECT page_id, {_latest("$.author", "author", _name("$.author"))} FROM typed GROUP BY page_id)
 SELECT p.page_id, coalesce(h.final_url, p.url) AS final_url, CAST(h.status_code AS BIGINT) AS status_code,
   length(p.raw_html) AS raw_length, length(p.rendered_html) AS rendered_length,
