@@ -28,91 +28,79 @@ def _or_empty(text: Expr) -> Expr:
 # meta data
 
 
-def _metas(token_array: Expr) -> Expr:
-    return H.with_attributes(
-        H.elements(token_array, "meta"), "name", "property", "content"
-    )
+def _metas(head_array: Expr) -> Expr:
+    return H.pick(head_array, "meta", "name", "property", "content")
 
 
-def _link_tags(token_array: Expr) -> Expr:
-    return H.with_attributes(
-        H.elements(token_array, "link"), "rel", "href", "hreflang"
-    )
+def _link_tags(head_array: Expr) -> Expr:
+    return H.pick(head_array, "link", "rel", "href", "hreflang")
 
 
 def _has_rel(link: Expr, value: str) -> Expr:
     return F.array_contains(split_words(_or_empty(link["rel"])), value)
 
 
-def meta_scalars(token_array: Expr) -> Expr:
-    """First title, description, canonical, robots and viewport; empty when absent."""
+def _named(metas: Expr, name: str) -> Expr:
+    """Content of the first meta tag of a name, filled or not."""
+    return _or_empty(first(F.filter(metas, lambda m: m["name"] == name))["content"])
 
-    def named(metas, name):
-        return _or_empty(first(F.filter(metas, lambda m: m["name"] == name))["content"])
 
+def meta_scalars(token_array: Expr, head_array: Expr) -> Expr:
+    """First title, description, canonical, robots and viewport; empty when absent."""
+    canonical = first(
+        F.filter(_link_tags(head_array), lambda x: _has_rel(x, "canonical"))
+    )
     return let(
-        F.struct(
-            _metas(token_array).alias("metas"), _link_tags(token_array).alias("links")
-        ),
-        lambda p: F.struct(
+        _metas(head_array),
+        lambda metas: F.struct(
             _or_empty(H.title_text(token_array)).alias("title"),
-            named(p["metas"], "description").alias("description"),
-            _or_empty(
-                first(F.filter(p["links"], lambda x: _has_rel(x, "canonical")))["href"]
-            ).alias("canonical"),
-            named(p["metas"], "robots").alias("robots"),
-            named(p["metas"], "viewport").alias("viewport"),
+            _named(metas, "description").alias("description"),
+            _or_empty(canonical["href"]).alias("canonical"),
+            _named(metas, "robots").alias("robots"),
+            _named(metas, "viewport").alias("viewport"),
         ),
     )
 
 
-def meta_presence(token_array: Expr) -> Expr:
+def meta_presence(token_array: Expr, head_array: Expr) -> Expr:
     """struct of booleans: which audited tags have a non-empty value."""
-
-    def filled(metas, key, name):
-        return F.exists(metas, lambda m: (m[key] == name) & (m["content"] != ""))
-
-    # the description is the first one, filled or not
     return let(
-        _metas(token_array),
+        _metas(head_array),
         lambda metas: F.struct(
             (_or_empty(H.title_text(token_array)) != "").alias("title"),
-            (
-                _or_empty(
-                    first(F.filter(metas, lambda m: m["name"] == "description"))[
-                        "content"
-                    ]
-                )
-                != ""
-            ).alias("description"),
+            (_named(metas, "description") != "").alias("description"),
             *[
-                F.coalesce(filled(metas, "property", tag), False).alias(
-                    tag.replace(":", "_")
-                )
+                F.coalesce(
+                    F.exists(
+                        metas,
+                        lambda m, t=tag: (m["property"] == t) & (m["content"] != ""),
+                    ),
+                    False,
+                ).alias(tag.replace(":", "_"))
                 for tag in fixed.SOCIAL_TAGS
             ],
         ),
     )
 
 
-def hreflang(token_array: Expr) -> Expr:
+def hreflang(head_array: Expr) -> Expr:
     """array<struct<hreflang, href>> of the alternate-language links."""
     return F.transform(
         F.filter(
-            _link_tags(token_array),
+            _link_tags(head_array),
             lambda x: _has_rel(x, "alternate") & x["hreflang"].isNotNull(),
         ),
-        lambda x: F.struct(x["hreflang"].alias("hreflang"), x["href"].alias("href")),
+        lambda x: F.struct(x["hreflang"], x["href"]),
     )
 
 
-def _prefixed(token_array: Expr, key: str, prefix: str) -> Expr:
+def _prefixed(head_array: Expr, key: str, prefix: str) -> Expr:
     """map of meta tags whose ``key`` has a prefix; the last of equal names wins."""
     entries = F.filter(
         F.transform(
-            F.filter(_metas(token_array), lambda m: m[key].startswith(prefix)),
+            F.filter(_metas(head_array), lambda m: m[key].startswith(prefix)),
             lambda m: F.struct(
-                F.replace(m[key], F.lit(prefix), F.lit("")).alias("key"),
+                F.replace(m[key], prefix, "").alias("key"),
                 _or_empty(m["content"]).alias("value"),
             ),
         ),
@@ -134,16 +122,16 @@ def _prefixed(token_array: Expr, key: str, prefix: str) -> Expr:
     )
 
 
-def open_graph(token_array: Expr) -> Expr:
-    return _prefixed(token_array, "property", "og:")
+def open_graph(head_array: Expr) -> Expr:
+    return _prefixed(head_array, "property", "og:")
 
 
-def twitter(token_array: Expr) -> Expr:
-    return _prefixed(token_array, "name", "twitter:")
+def twitter(head_array: Expr) -> Expr:
+    return _prefixed(head_array, "name", "twitter:")
 
 
-def html_lang(token_array: Expr) -> Expr:
-    lang = first(H.with_attributes(H.elements(token_array, "html"), "lang"))["lang"]
+def html_lang(head_array: Expr) -> Expr:
+    lang = first(H.pick(head_array, "html", "lang"))["lang"]
     return F.when(lang != "", lang)
 
 
@@ -156,7 +144,7 @@ def links(token_array: Expr, base_url: Expr) -> Expr:
     anchors = F.transform(
         H.spans(
             token_array,
-            lambda t: (t["tag"] == "a") & F.lower(t["raw"]).contains("href"),
+            lambda t, i: (t["tag"] == "a") & F.lower(t["raw"]).contains("href"),
         ),
         lambda s: F.struct(
             s.alias("span"),
@@ -206,12 +194,10 @@ def links(token_array: Expr, base_url: Expr) -> Expr:
     )
 
 
-def images(token_array: Expr, base_url: Expr) -> Expr:
+def images(head_array: Expr, base_url: Expr) -> Expr:
     """array<struct<src, alt, width, height, title, is_data_uri>>."""
     found = F.filter(
-        H.with_attributes(
-            H.elements(token_array, "img"), "src", "alt", "width", "height", "title"
-        ),
+        H.pick(head_array, "img", "src", "alt", "width", "height", "title"),
         lambda i: strip(i["src"]) != "",
     )
     return F.transform(

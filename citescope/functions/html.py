@@ -27,6 +27,7 @@ _NAME = r"^</?([a-zA-Z][^\s/>]*)"
 _START_TAG = rf"(?s)^<[a-zA-Z][^\s/>]*+({_INSIDE_TAG})>"
 _ATTRIBUTE = r"""([^\s/=>"'][^\s/=>]*)(?:\s*=+\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 
+HEAD_TAGS = ["html", "meta", "link", "img", "script"]
 VOID_TAGS = (
     "area base br col embed hr img input link meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer keygen menuitem"
@@ -66,19 +67,6 @@ def tokens(html: Expr) -> Expr:
     )
 
 
-def indexed(token_array: Expr) -> Expr:
-    """The tokens with their position."""
-    return F.transform(
-        token_array,
-        lambda t, i: F.struct(
-            i.alias("pos"),
-            t["kind"].alias("kind"),
-            t["tag"].alias("tag"),
-            t["raw"].alias("raw"),
-        ),
-    )
-
-
 def elements(token_array: Expr, *tags: str) -> Expr:
     """Start tags (script and style included) of the given names, in order."""
     return F.filter(
@@ -112,20 +100,24 @@ def attribute(attrs: Expr, name: str) -> Expr:
     return last(F.filter(attrs, lambda a: a["name"] == name))["value"]
 
 
-def with_attributes(element_array: Expr, *names: str) -> Expr:
-    """array<struct<raw, name1, name2, ...>>: elements with some attributes read."""
+def heads(token_array: Expr) -> Expr:
+    """array<struct<tag, raw, attrs>> of the elements whose attributes carry page data."""
     return F.transform(
-        F.transform(
-            element_array,
-            lambda t: F.struct(t["raw"].alias("raw"), attributes(t["raw"]).alias("all")),
-        ),
+        elements(token_array, *HEAD_TAGS),
         lambda t: F.struct(
-            t["raw"].alias("raw"),
-            *[attribute(t["all"], name).alias(name) for name in names],
+            t["tag"], t["raw"], attributes(t["raw"]).alias("attrs")
         ),
     )
 
 
+def pick(head_array: Expr, tag: str, *names: str) -> Expr:
+    """array<struct<name1, name2, ...>>: some attributes of the heads of one name."""
+    return F.transform(
+        F.filter(head_array, lambda h: h["tag"] == tag),
+        lambda h: F.struct(*[attribute(h["attrs"], name).alias(name) for name in names]),
+    )
+
+
 def raw_body(raw: Expr) -> Expr:
     """Body of a script or style element."""
     opened = F.regexp_replace(raw, rf"(?is)^<(?:script|style){_INSIDE_TAG}>", "")
@@ -192,20 +184,20 @@ def title_text(token_array: Expr) -> Expr:
 def spans(token_array: Expr, wanted) -> Expr:
     """array<struct<pos, close>> of the wanted elements.
 
-    ``wanted(token)`` selects start tags.  An end tag closes the nearest open element
-    of its name together with everything still open inside; an end tag without an open
-    element is ignored; what is open at the end of the page closes there.  Void elements
-    never open.  The fold keeps the open elements only, so its state is as deep as the
-    page is nested, and a page without a wanted element is not folded at all.
+    ``wanted(token, position)`` selects start tags.  An end tag closes the nearest open
+    element of its name together with everything still open inside; an end tag without
+    an open element is ignored; what is open at the end of the page closes there.  Void
+    elements never open.  The fold keeps the open elements only, so its state is as deep
+    as the page is nested.
     """
     structural = F.filter(
         F.transform(
             token_array,
             lambda t, i: F.struct(
                 i.alias("pos"),
-                t["tag"].alias("tag"),
+                t["tag"],
                 (t["kind"] == "start").alias("open"),
-                F.coalesce((t["kind"] == "start") & wanted(t), False).alias("wanted"),
+                F.coalesce((t["kind"] == "start") & wanted(t, i), False).alias("wanted"),
                 (
                     t["kind"].isin("start", "end") & ~t["tag"].isin(VOID_TAGS)
                 ).alias("structural"),
@@ -213,13 +205,7 @@ def spans(token_array: Expr, wanted) -> Expr:
         ),
         lambda t: t["structural"],
     )
-    return F.when(
-        F.exists(
-            token_array,
-            lambda t: F.coalesce((t["kind"] == "start") & wanted(t), False),
-        ),
-        _close_positions(structural, F.size(token_array)),
-    ).otherwise(F.empty("array<struct<pos:int,close:int>>"))
+    return _close_positions(structural, F.size(token_array))
 
 
 def _closed_part(closing: Expr, position: Expr) -> Expr:

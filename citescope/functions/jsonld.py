@@ -11,19 +11,18 @@ from __future__ import annotations
 from citescope.functions import sql as F
 from citescope.functions.sql import Expr
 from citescope.functions import fixed_values as fixed
-from citescope.functions.html import attribute, attributes, elements, raw_body
+from citescope.functions.html import attribute, raw_body
 from citescope.functions.text import last, parse_json, strip
 
 
-def script_bodies(token_array: Expr) -> Expr:
+def script_bodies(head_array: Expr) -> Expr:
     """Bodies of all JSON-LD scripts, in order."""
     scripts = F.filter(
-        elements(token_array, "script"),
-        lambda t: (t["kind"] == "raw")
-        & t["raw"].contains("ld+json")
-        & (attribute(attributes(t["raw"]), "type") == "application/ld+json"),
+        head_array,
+        lambda h: (h["tag"] == "script")
+        & (attribute(h["attrs"], "type") == "application/ld+json"),
     )
-    return F.transform(scripts, lambda t: strip(raw_body(t["raw"])))
+    return F.transform(scripts, lambda h: strip(raw_body(h["raw"])))
 
 
 def parsed(bodies: Expr) -> Expr:

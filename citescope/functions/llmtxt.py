@@ -14,6 +14,7 @@ from citescope.functions.text import (
     any_of,
     contains_any,
     count_of,
+    first,
     let,
     parse_json,
     split_words,
@@ -171,15 +172,13 @@ def from_comments(token_array: Expr) -> Expr:
     )
 
 
-def from_meta(token_array: Expr) -> Expr:
+def from_meta(head_array: Expr) -> Expr:
     metas = F.transform(
-        H.with_attributes(
-            H.elements(token_array, "meta"), "content", "name", "property"
-        ),
+        H.pick(head_array, "meta", "content", "name", "property"),
         lambda m: F.struct(
-            F.coalesce(m["content"], F.lit("")).alias("content"),
-            F.lower(F.coalesce(m["name"], F.lit(""))).alias("name"),
-            F.lower(F.coalesce(m["property"], F.lit(""))).alias("property"),
+            F.coalesce(m["content"], "").alias("content"),
+            F.lower(F.coalesce(m["name"], "")).alias("name"),
+            F.lower(F.coalesce(m["property"], "")).alias("property"),
         ),
     )
     return F.transform(
@@ -195,71 +194,118 @@ def from_meta(token_array: Expr) -> Expr:
         lambda m: _found(
             strip(m["content"]),
             F.concat(
-                F.lit("meta_tag_"),
-                F.when(m["name"] != "", m["name"]).otherwise(m["property"]),
+                "meta_tag_", F.when(m["name"] != "", m["name"]).otherwise(m["property"])
             ),
         ),
     )
 
 
-def _maybe_marked(token: Expr) -> Expr:
+def _may_be_marked(token: Expr) -> Expr:
     """Cheap test on a tag's source before its attributes are read."""
-    return contains_any(F.lower(token["raw"]), ["llm", "ai", "assistant"])
+    return let(
+        F.lower(token["raw"]),
+        lambda raw: contains_any(raw, ["llm", "ai", "assistant"])
+        | (token["tag"].isin(fixed.HIDDEN_TAGS) & raw.contains("style")),
+    )
 
 
-def _selector_hits(token: Expr) -> Expr:
+def _selectors(attrs: Expr) -> Expr:
     """Numbers of the selectors an element matches."""
+    found = []
+    for number, (name, part, _) in enumerate(fixed.LLM_SELECTORS):
+        value = H.attribute(attrs, name)
+        if name == "class":
+            value = F.array_join(split_words(value), " ")
+        hit = value.isNotNull() if part is None else value.contains(part)
+        found.append(F.when(hit, number))
+    return F.filter(F.array(*found), lambda n: n.isNotNull())
 
-    def hits(attrs):
-        found = []
-        for number, (name, part, _) in enumerate(fixed.LLM_SELECTORS):
-            value = H.attribute(attrs, name)
-            if name == "class":
-                value = F.array_join(split_words(value), " ")
-            hit = value.isNotNull() if part is None else value.contains(part)
-            found.append(F.when(hit, number))
-        return F.filter(F.array(*found), lambda n: n.isNotNull())
 
-    return let(H.attributes(token["raw"]), hits)
+def marked_texts(token_array: Expr) -> Expr:
+    """array<struct<text, selectors, hidden>> of elements that may hold llm.txt content.
 
-
-def _span_texts(token_array: Expr, wanted, label) -> Expr:
-    """array<struct<text, label>> of the wanted elements, in order."""
-    return F.transform(
-        H.spans(token_array, wanted),
-        lambda s: F.struct(
-            strip(H.span_text(token_array, s["pos"], s["close"])).alias("text"),
-            label(F.get(token_array, s["pos"])).alias("label"),
+    Attributes are read once per element for both kinds, and pages without such an
+    element (most of them) are not searched for element ends.
+    """
+    starts = F.filter(
+        F.transform(
+            token_array,
+            lambda t, i: F.when(
+                (t["kind"] == "start") & _may_be_marked(t),
+                F.struct(
+                    i.alias("pos"), t["tag"], H.attributes(t["raw"]).alias("attrs")
+                ),
+            ),
+        ),
+        lambda s: s.isNotNull(),
+    )
+    chosen = F.filter(
+        F.transform(
+            starts,
+            lambda s: F.struct(
+                s["pos"],
+                _selectors(s["attrs"]).alias("selectors"),
+                F.coalesce(
+                    s["tag"].isin(fixed.HIDDEN_TAGS)
+                    & contains_any(
+                        F.lower(H.attribute(s["attrs"], "style")), fixed.HIDDEN_STYLES
+                    ),
+                    False,
+                ).alias("hidden"),
+            ),
         ),
+        lambda s: s["hidden"] | (F.size(s["selectors"]) > 0),
     )
 
+    def read(found):
+        positions = F.transform(found, lambda s: s["pos"])
+        # void elements have no span and no text
+        texts = F.transform(
+            H.spans(token_array, lambda t, i: F.array_contains(positions, i)),
+            lambda s: F.struct(
+                strip(H.span_text(token_array, s["pos"], s["close"])).alias("text"),
+                first(F.filter(found, lambda f: f["pos"] == s["pos"])).alias("at"),
+            ),
+        )
+        usable = F.filter(texts, lambda e: is_valid(e["text"]))
+        return F.when(
+            F.size(found) > 0,
+            F.transform(
+                usable,
+                lambda e: F.struct(
+                    e["text"], e["at"]["selectors"], e["at"]["hidden"]
+                ),
+            ),
+        ).otherwise(F.empty("array<struct<text:string,selectors:array<int>,hidden:boolean>>"))
 
-def from_elements(token_array: Expr) -> Expr:
+    return let(chosen, read)
+
+
+def from_elements(marked: Expr) -> Expr:
     """Texts of elements whose class, id or data attributes speak of AI.
 
     An element that matches several selectors is kept once per selector.
     """
-    marked = _span_texts(
-        token_array,
-        lambda t: _maybe_marked(t) & (F.size(_selector_hits(t)) > 0),
-        _selector_hits,
+    return F.flatten(
+        F.array(
+            *[
+                F.transform(
+                    F.filter(
+                        marked,
+                        lambda e, n=number: F.array_contains(e["selectors"], n),
+                    ),
+                    lambda e, s=label: _found(e["text"], f"element_{s}"),
+                )
+                for number, (_, _, label) in enumerate(fixed.LLM_SELECTORS)
+            ]
+        )
     )
-    usable = F.filter(marked, lambda e: is_valid(e["text"]))
-    return let(
-        usable,
-        lambda found: F.flatten(
-            F.array(
-                *[
-                    F.transform(
-                        F.filter(
-                            found, lambda e, n=number: F.array_contains(e["label"], n)
-                        ),
-                        lambda e, s=label: _found(e["text"], f"element_{s}"),
-                    )
-                    for number, (_, _, label) in enumerate(fixed.LLM_SELECTORS)
-                ]
-            )
-        ),
+
+
+def from_hidden(marked: Expr) -> Expr:
+    return F.transform(
+        F.filter(marked, lambda e: e["hidden"]),
+        lambda e: _found(e["text"], "hidden_element"),
     )
 
 
@@ -276,22 +322,6 @@ def from_json_ld(bodies: Expr) -> Expr:
     )
 
 
-def from_hidden(token_array: Expr) -> Expr:
-    hidden = _span_texts(
-        token_array,
-        lambda t: t["tag"].isin(fixed.HIDDEN_TAGS)
-        & t["raw"].contains(":")
-        & contains_any(
-            F.lower(H.attribute(H.attributes(t["raw"]), "style")), fixed.HIDDEN_STYLES
-        ),
-        lambda t: F.lit(0),
-    )
-    return F.transform(
-        F.filter(hidden, lambda e: is_valid(e["text"])),
-        lambda e: _found(e["text"], "hidden_element"),
-    )
-
-
 # Substrings that lower-cased text must have for the pattern of the same place to match
 # (any of a list; all of a tuple).  They avoid letters with case variants of their own
 # outside ASCII, or list those variants.
@@ -338,14 +368,16 @@ def from_text(all_text: Expr) -> Expr:
     )
 
 
-def embedded(token_array: Expr, bodies: Expr, all_text: Expr) -> Expr:
+def embedded(
+    token_array: Expr, head_array: Expr, bodies: Expr, marked: Expr, all_text: Expr
+) -> Expr:
     """struct<found, content, method, sources>: the six finds joined and checked again."""
     finds = F.concat(
         from_comments(token_array),
-        from_meta(token_array),
-        from_elements(token_array),
+        from_meta(head_array),
+        from_elements(marked),
         from_json_ld(bodies),
-        from_hidden(token_array),
+        from_hidden(marked),
         from_text(all_text),
     )
     joined = let(

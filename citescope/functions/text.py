@@ -103,9 +103,9 @@ def _windows_controls() -> dict[str, str]:
     table = {}
     for code in range(0x80, 0xA0):
         try:
-            table[f"{code:X}"] = bytes([code]).decode("cp1252")
+            table[f"{code:08X}"] = bytes([code]).decode("cp1252")
         except UnicodeDecodeError:
-            table[f"{code:X}"] = chr(code)
+            table[f"{code:08X}"] = chr(code)
     return table
 
 
@@ -115,40 +115,35 @@ def _literal_map(table: dict[str, str]) -> Expr:
     return F.str_to_map(F.lit(lines), F.lit("\n"), F.lit("\t"))
 
 
-def _from_code_point(hexadecimal: Expr) -> Expr:
-    """Character for an upper-case hexadecimal code point without leading zeros."""
-    decimal = F.conv(hexadecimal, 16, 10).cast("long")
-    return let(
-        decimal,
-        lambda code: F.when(
-            (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF),
-            F.lit("\ufffd"),
-        )
-        .when(
-            code.between(0x80, 0x9F),
-            F.try_element_at(_literal_map(_windows_controls()), hexadecimal),
-        )
-        .otherwise(F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")),
-    )
-
+def _decode_reference(piece: Expr) -> Expr:
+    """Character of one reference; anything else as it is.
 
-def _code_point(piece: Expr) -> Expr:
-    """Hexadecimal code point of a numeric reference, bounded in length."""
-    return let(
-        F.regexp_replace(piece, "^&#[xX]?0*|;$", ""),
-        lambda digits: F.when(digits == "", "0")
-        .when(F.length(digits) > 7, "FFFFFFF")
-        .when(piece.rlike("^&#[xX]"), F.upper(digits))
-        .otherwise(F.conv(digits, 10, 16)),
+    Code points are compared as eight hexadecimal digits.
+    """
+    digits = F.regexp_extract(piece, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    code = F.lpad(
+        F.when(piece.rlike("^&#[xX]"), F.upper(digits)).otherwise(
+            F.coalesce(F.conv(digits, 10, 16), "0")
+        ),
+        8,
+        "0",
     )
-
-
-def _decode_reference(piece: Expr) -> Expr:
-    name = F.try_element_at(_literal_map(_named_references()), piece)
+    unusable = (
+        (F.length(digits) > 7)
+        | (code == "00000000")
+        | (code > "0010FFFF")
+        | code.between("0000D800", "0000DFFF")
+    )
+    named = F.try_element_at(_literal_map(_named_references()), piece)
     return (
         F.when(~piece.startswith("&") | (piece == "&"), piece)
-        .when(piece.startswith("&#"), let(_code_point(piece), _from_code_point))
-        .otherwise(F.coalesce(name, piece))
+        .when(~piece.startswith("&#"), F.coalesce(named, piece))
+        .when(unusable, "\ufffd")
+        .when(
+            code.between("00000080", "0000009F"),
+            F.try_element_at(_literal_map(_windows_controls()), code),
+        )
+        .otherwise(F.decode(F.unhex(code), "UTF-32"))
     )
 
 

@@ -40,7 +40,7 @@ def _presence(compat: bool) -> Expr:
         # the audit looks the tags up where the page record never puts them
         tags = fixed.CRITICAL_TAGS + fixed.SOCIAL_TAGS
         return S.struct(*[S.lit(False).alias(t.replace(":", "_")) for t in tags])
-    return X.meta_presence(col("tokens"))
+    return X.meta_presence(col("tokens"), col("heads"))
 
 
 def structure_metrics(
@@ -60,6 +60,7 @@ def structure_metrics(
         T.page_text(HTML).alias("clean_text"),
         H.tokens(HTML).alias("tokens"),
     )
+    staged = select(staged, "*", H.heads(col("tokens")).alias("heads"))
     if embedded:
         staged = with_llm_sources(staged)
     extra = [embedded_column().alias("embedded")] if embedded else []

@@ -16,6 +16,8 @@ from citescope.functions import sql as S
 from citescope.functions.sql import Expr, col, select
 
 TOKENS = col("tokens")
+HEADS = col("heads")
+MARKED = col("marked")
 NOT_LANDED = "not landed"
 
 
@@ -106,25 +108,25 @@ def llm_resolve(pages: DataFrame, site_files: DataFrame) -> DataFrame:
     )
 
 
-def with_llm_sources(tokenised: DataFrame) -> DataFrame:
-    """Adds what the search inside a page reads to rows that have ``tokens``."""
+def with_llm_sources(headed: DataFrame) -> DataFrame:
+    """Adds what the search inside a page reads to rows with ``tokens`` and ``heads``."""
     return select(
-        tokenised,
+        headed,
         "*",
-        L.script_bodies(TOKENS).alias("bodies"),
+        L.script_bodies(HEADS).alias("bodies"),
+        X.marked_texts(TOKENS).alias("marked"),
         H.joined_text(TOKENS).alias("all_text"),
     )
 
 
 def embedded_column() -> Expr:
     """Embedded content as a column over ``with_llm_sources`` rows."""
-    return X.embedded(TOKENS, col("bodies"), col("all_text"))
+    return X.embedded(TOKENS, HEADS, col("bodies"), MARKED, col("all_text"))
 
 
 def _staged(pages: DataFrame) -> DataFrame:
-    return with_llm_sources(
-        select(pages, "page_id", H.tokens(col("rendered_html")).alias("tokens"))
-    )
+    tokens = select(pages, "page_id", H.tokens(col("rendered_html")).alias("tokens"))
+    return with_llm_sources(select(tokens, "*", H.heads(TOKENS).alias("heads")))
 
 
 def _finds(pages: DataFrame, finds: Expr) -> DataFrame:
@@ -137,11 +139,11 @@ def llm_from_comments(pages: DataFrame) -> DataFrame:
 
 
 def llm_from_meta(pages: DataFrame) -> DataFrame:
-    return _finds(pages, X.from_meta(TOKENS))
+    return _finds(pages, X.from_meta(HEADS))
 
 
 def llm_from_elements(pages: DataFrame) -> DataFrame:
-    return _finds(pages, X.from_elements(TOKENS))
+    return _finds(pages, X.from_elements(MARKED))
 
 
 def llm_from_json_ld(pages: DataFrame) -> DataFrame:
@@ -149,7 +151,7 @@ def llm_from_json_ld(pages: DataFrame) -> DataFrame:
 
 
 def llm_from_hidden(pages: DataFrame) -> DataFrame:
-    return _finds(pages, X.from_hidden(TOKENS))
+    return _finds(pages, X.from_hidden(MARKED))
 
 
 def llm_from_text(pages: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from citescope.operators.llmtxt import (
 RAW = col("raw_html")
 RENDERED = col("rendered_html")
 TOKENS = col("tokens")
+HEADS = col("heads")
 BASE_URL = col("base_url")
 
 
@@ -44,14 +45,15 @@ def base_url(pages: DataFrame) -> Expr:
 
 
 def tokenised(pages: DataFrame, *keep) -> DataFrame:
-    """``(page_id, base_url, tokens, ...)``: each rendered page tokenised once."""
-    return select(
+    """``(page_id, base_url, tokens, heads, ...)``: each rendered page tokenised once."""
+    tokens = select(
         pages,
         "page_id",
         base_url(pages).alias("base_url"),
         H.tokens(RENDERED).alias("tokens"),
         *keep,
     )
+    return select(tokens, "*", H.heads(TOKENS).alias("heads"))
 
 
 def _flat(df: DataFrame, struct: Expr) -> DataFrame:
@@ -85,7 +87,7 @@ def element_spans(pages: DataFrame, *tags: str) -> DataFrame:
         tokenised(pages),
         "page_id",
         "tokens",
-        H.spans(TOKENS, lambda t: t["tag"].isin(list(tags))).alias("spans"),
+        H.spans(TOKENS, lambda t, i: t["tag"].isin(list(tags))).alias("spans"),
     )
     return _rows(
         rows,
@@ -106,11 +108,11 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 def meta_scalars(pages: DataFrame) -> DataFrame:
-    return _flat(tokenised(pages), X.meta_scalars(TOKENS))
+    return _flat(tokenised(pages), X.meta_scalars(TOKENS, HEADS))
 
 
 def meta_hreflang(pages: DataFrame) -> DataFrame:
-    return _rows(tokenised(pages), X.hreflang(TOKENS))
+    return _rows(tokenised(pages), X.hreflang(HEADS))
 
 
 def _map_rows(pages: DataFrame, entries: Expr) -> DataFrame:
@@ -120,11 +122,11 @@ def _map_rows(pages: DataFrame, entries: Expr) -> DataFrame:
 
 
 def meta_open_graph(pages: DataFrame) -> DataFrame:
-    return _map_rows(pages, X.open_graph(TOKENS))
+    return _map_rows(pages, X.open_graph(HEADS))
 
 
 def meta_twitter(pages: DataFrame) -> DataFrame:
-    return _map_rows(pages, X.twitter(TOKENS))
+    return _map_rows(pages, X.twitter(HEADS))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -132,7 +134,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def page_images(pages: DataFrame) -> DataFrame:
-    return _rows(tokenised(pages), X.images(TOKENS, BASE_URL))
+    return _rows(tokenised(pages), X.images(HEADS, BASE_URL))
 
 
 def page_language(pages: DataFrame, http_info: DataFrame | None = None) -> DataFrame:
@@ -140,8 +142,8 @@ def page_language(pages: DataFrame, http_info: DataFrame | None = None) -> DataF
     found = select(
         tokenised(pages),
         "page_id",
-        X.html_lang(TOKENS).alias("html_lang"),
-        X.hreflang(TOKENS).alias("hreflang_alternatives"),
+        X.html_lang(HEADS).alias("html_lang"),
+        X.hreflang(HEADS).alias("hreflang_alternatives"),
     )
     if http_info is not None:
         found = found.join(
@@ -181,7 +183,7 @@ def content_stats(pages: DataFrame) -> DataFrame:
         "page_id",
         "clean_text",
         X.links(TOKENS, BASE_URL).alias("links"),
-        X.images(TOKENS, BASE_URL).alias("images"),
+        X.images(HEADS, BASE_URL).alias("images"),
     )
     return _flat(
         arrays, X.content_stats(col("clean_text"), col("links"), col("images"))
@@ -220,7 +222,7 @@ def json_ld(pages: DataFrame) -> DataFrame:
     rows = select(
         tokenised(pages),
         "page_id",
-        L.script_bodies(TOKENS).alias("bodies"),
+        L.script_bodies(HEADS).alias("bodies"),
         X.microdata_count(TOKENS).alias("microdata_count"),
     )
     return select(
@@ -287,12 +289,13 @@ def crawl_record(
         H.tokens(_changed_only(RAW)).alias("raw_tokens"),
         X.js_detection(RAW).alias("js"),
     )
+    headed = select(staged, "*", H.heads(TOKENS).alias("heads"))
     arrays = select(
-        with_llm_sources(staged),
+        with_llm_sources(headed),
         "*",
         X.links(TOKENS, col("final_url")).alias("all_links"),
-        X.images(TOKENS, col("final_url")).alias("all_images"),
-        X.hreflang(TOKENS).alias("hreflang"),
+        X.images(HEADS, col("final_url")).alias("all_images"),
+        X.hreflang(HEADS).alias("hreflang"),
         L.parsed(col("bodies")).alias("items"),
     )
     parsed = select(arrays, "*", L.objects(col("items")).alias("objects"))
@@ -317,13 +320,13 @@ def crawl_record(
         ).alias("structured_data"),
         L.normalized(col("objects")).alias("structured_data_normalized"),
         S.struct(
-            X.meta_scalars(TOKENS).alias("tags"),
+            X.meta_scalars(TOKENS, HEADS).alias("tags"),
             col("hreflang"),
-            X.open_graph(TOKENS).alias("open_graph"),
-            X.twitter(TOKENS).alias("twitter"),
+            X.open_graph(HEADS).alias("open_graph"),
+            X.twitter(HEADS).alias("twitter"),
         ).alias("meta"),
         S.struct(
-            X.html_lang(TOKENS).alias("html_lang"),
+            X.html_lang(HEADS).alias("html_lang"),
             header_language.alias("content_language_header"),
             col("hreflang").alias("hreflang_alternatives"),
         ).alias("language"),

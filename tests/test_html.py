@@ -114,7 +114,7 @@ def _spans(*tags):
         S.transform(
             S.array(H.tokens(X)),
             lambda t: S.transform(
-                H.spans(t, lambda e: e["tag"].isin(list(tags))),
+                H.spans(t, lambda e, i: e["tag"].isin(list(tags))),
                 lambda s: H.span_text(t, s["pos"], s["close"]),
             ),
         ),
