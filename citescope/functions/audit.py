@@ -1,22 +1,66 @@
 """Structure metrics of a page.
 
-Plain regular-expression counts over the rendered source and the readable text: one
-projection, no shuffle, no lambda, so the whole audit is generated code.
+Regular-expression counts over the rendered source and the readable text: projections
+without a shuffle.  A pattern is a slow scan of the whole source, so it runs only where
+plain substrings of the lower-cased source say that it can match at all.  ``Source``
+holds what that needs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 
 from citescope.functions import sql as F
 from citescope.functions.sql import Expr
 from citescope.functions import fixed_values as fixed
-from citescope.functions.text import NOT_WS, WS, word_count
+from citescope.functions.text import (
+    NOT_WS,
+    WS,
+    all_of,
+    any_of,
+    contains_any,
+    word_count,
+)
 
 
-def _count(text: Expr, pattern: str) -> Expr:
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+@dataclass(frozen=True)
+class Source:
+    """A page source with its lower-cased form.
+
+    ``exotic`` is true when that form has letters that match an ASCII letter regardless
+    of case without being lower-cased to it; substring tests then decide nothing.
+    """
+
+    html: Expr
+    low: Expr
+    exotic: Expr
+
+    def may_match(self, *needles) -> Expr:
+        """Any needle occurs; a needle that is a tuple asks for all of its parts."""
+        return self.exotic | any_of(
+            all_of(self.low.contains(part) for part in needle)
+            if isinstance(needle, tuple)
+            else self.low.contains(needle)
+            for needle in needles
+        )
+
+    def count(self, pattern: str, *needles) -> Expr:
+        return F.coalesce(
+            F.when(self.may_match(*needles), F.regexp_count(self.html, pattern)).otherwise(
+                0
+            ),
+            0,
+        )
+
+
+def lowered(html: Expr) -> Expr:
+    return F.lower(F.coalesce(html, ""))
+
+
+def exotic(low: Expr) -> Expr:
+    return contains_any(low, ["\u017f", "\u0131", "i\u0307"])
 
 
 def _present(labelled) -> Expr:
@@ -37,9 +81,11 @@ def content_metrics(text: Expr) -> dict[str, Expr]:
     }
 
 
-def heading_counts(html: Expr) -> dict[str, Expr]:
+def heading_counts(source: Source) -> dict[str, Expr]:
     return {
-        f"h{level}": _count(html, fixed.HEADING_PATTERN.format(level=level))
+        f"h{level}": source.count(
+            fixed.HEADING_PATTERN.format(level=level), f"</h{level}>"
+        )
         for level in fixed.HEADING_LEVELS
     }
 
@@ -53,9 +99,9 @@ def heading_structure(counts: dict[str, Expr]) -> dict[str, Expr]:
     }
 
 
-def semantic_counts(html: Expr) -> dict[str, Expr]:
+def semantic_counts(source: Source) -> dict[str, Expr]:
     return {
-        tag: _count(html, fixed.SEMANTIC_PATTERN.format(tag=tag))
+        tag: source.count(fixed.SEMANTIC_PATTERN.format(tag=tag), f"<{tag}")
         for tag in fixed.SEMANTIC_TAGS
     }
 
@@ -86,12 +132,33 @@ def meta_completeness(present: dict[str, Expr]) -> dict[str, Expr]:
     }
 
 
-def faq_counts(html: Expr) -> dict[str, Expr]:
-    counts = [(_count(html, p), question) for p, question in fixed.FAQ_PATTERNS]
+# Substrings of the patterns of the same place in ``fixed.FAQ_PATTERNS``.
+_FAQ_NEEDS = [
+    ("<div", "faq"),
+    ("<section", "faq"),
+    ("</h", "?"),
+    ("<dt", "?"),
+    ("<p", "question"),
+    ("<div", "question"),
+]
+# The same matches as ``fixed.QA_PATTERN``: each ends in the only colon it has, so
+# looking back from the colons finds them without a trial at every letter.
+_QA_BY_COLON = r"(?iu):(?<=(?:Q|A|Question|Answer):)"
+
+
+def faq_counts(source: Source) -> dict[str, Expr]:
+    counts = [
+        (source.count(pattern, needs), question)
+        for (pattern, question), needs in zip(
+            fixed.FAQ_PATTERNS, _FAQ_NEEDS, strict=True
+        )
+    ]
     return {
         "faq_sections": reduce(lambda a, b: a + b, (n for n, _ in counts)),
         "question_patterns": reduce(lambda a, b: a + b, (n for n, q in counts if q)),
-        "qa_indicators": _count(html, fixed.QA_PATTERN),
+        "qa_indicators": source.count(
+            _QA_BY_COLON, "q:", "a:", "question:", "answer:"
+        ),
     }
 
 
@@ -103,9 +170,20 @@ def has_faq(counts: dict[str, Expr]) -> Expr:
     )
 
 
-def schema_counts(html: Expr) -> dict[str, Expr]:
+_SCHEMA_NEEDS = {
+    "json_ld": [("<script", "application/ld+json")],
+    "microdata": ["itemscope", "itemtype", "itemprop"],
+    "rdfa": ["property=", "typeof=", "vocab="],
+    "faq_schema": [('"@type":', '"faq')],
+    "article_schema": [('"@type":', '"article')],
+    "organization_schema": [('"@type":', '"organization')],
+    "breadcrumb_schema": [('"@type":', '"breadcrumblist')],
+}
+
+
+def schema_counts(source: Source) -> dict[str, Expr]:
     return {
-        name: _count(html, pattern.replace("{ws}", WS))
+        name: source.count(pattern.replace("{ws}", WS), *_SCHEMA_NEEDS[name])
         for name, pattern in fixed.SCHEMA_PATTERNS.items()
     }
 
@@ -121,9 +199,12 @@ def schema_markup(counts: dict[str, Expr]) -> dict[str, Expr]:
     }
 
 
-def faq_text_unmarked(html: Expr, text: Expr) -> Expr:
+def faq_text_unmarked(source: Source, text: Expr) -> Expr:
     """The text speaks of frequent questions but no element is marked as FAQ."""
-    return text.rlike(fixed.FAQ_TEXT_PATTERN) & ~html.rlike(fixed.FAQ_CLASS_PATTERN)
+    marked = source.may_match(("class=", "faq")) & source.html.rlike(
+        fixed.FAQ_CLASS_PATTERN
+    )
+    return text.rlike(fixed.FAQ_TEXT_PATTERN) & ~marked
 
 
 def structural_issues(

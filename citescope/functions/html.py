@@ -28,21 +28,41 @@ _START_TAG = rf"(?s)^<[a-zA-Z][^\s/>]*+({_INSIDE_TAG})>"
 _ATTRIBUTE = r"""([^\s/=>"'][^\s/=>]*)(?:\s*=+\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 
 HEAD_TAGS = ["html", "meta", "link", "img", "script"]
+BLOCK_TAGS = (
+    "p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr section article header footer "
+    "nav main aside form blockquote pre figure body html"
+).split()
 VOID_TAGS = (
     "area base br col embed hr img input link meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer keygen menuitem"
 ).split()
 
 
-def _kind(raw: Expr) -> Expr:
+def _token(raw: Expr) -> Expr:
+    """Kind and name of a token; the pattern has already told tags from plain ``<``."""
+
+    def token(kind, tag=None):
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            (tag or F.lit(None).cast("string")).alias("tag"),
+            raw.alias("raw"),
+        )
+
+    def opened(tag):
+        whole = tag.isin("script", "style")
+        return F.struct(
+            F.when(whole, "raw").otherwise("start").alias("kind"),
+            tag.alias("tag"),
+            raw.alias("raw"),
+        )
+
+    name = F.lower(F.regexp_extract(raw, _NAME, 1))
     return (
-        F.when(~raw.startswith("<"), "text")
-        .when(raw.startswith("<!--"), "comment")
-        .when(raw.rlike(r"(?i)^<(?:script|style)[\s/>]"), "raw")
-        .when(raw.rlike("^</[a-zA-Z]"), "end")
-        .when(raw.rlike("^<[a-zA-Z]"), "start")
-        .when(raw.rlike("^<[!?]"), "decl")
-        .otherwise("text")
+        F.when(~raw.startswith("<") | (raw == "<"), token("text"))
+        .when(raw.startswith("</"), token("end", name))
+        .when(raw.startswith("<!--"), token("comment"))
+        .when(raw.startswith("<!") | raw.startswith("<?"), token("decl"))
+        .otherwise(let(name, opened))
     )
 
 
@@ -52,18 +72,7 @@ def tokens(html: Expr) -> Expr:
     ``raw`` tokens are whole script and style elements, whose body is not markup.
     """
     return F.transform(
-        F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_TOKEN), F.lit(0)),
-        lambda raw: let(
-            _kind(raw),
-            lambda kind: F.struct(
-                kind.alias("kind"),
-                F.when(
-                    kind.isin("start", "end", "raw"),
-                    F.lower(F.regexp_extract(raw, _NAME, 1)),
-                ).alias("tag"),
-                raw.alias("raw"),
-            ),
-        ),
+        F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_TOKEN), F.lit(0)), _token
     )
 
 
@@ -144,6 +153,46 @@ def joined_text(token_array: Expr) -> Expr:
     )
 
 
+def _position(token_array: Expr, kind: str, tag: str) -> Expr:
+    """Position of the first such token counted from 1, 0 when there is none."""
+    return F.array_position(
+        F.transform(token_array, lambda t: (t["kind"] == kind) & (t["tag"] == tag)), True
+    ).cast("int")
+
+
+def _without_head(token_array: Expr) -> Expr:
+    return let(
+        F.struct(
+            _position(token_array, "start", "head").alias("opened"),
+            _position(token_array, "end", "head").alias("closed"),
+        ),
+        lambda p: F.when(
+            (p["opened"] > 0) & (p["closed"] > p["opened"]),
+            F.concat(
+                F.slice(token_array, 1, p["opened"] - 1),
+                F.slice(token_array, p["closed"] + 1, F.size(token_array)),
+            ),
+        ).otherwise(token_array),
+    )
+
+
+def page_text(token_array: Expr) -> Expr:
+    """Readable text: no markup, scripts or head; a blank line between block elements."""
+    pieces = F.transform(
+        _without_head(token_array),
+        lambda t: F.when(t["kind"] == "text", t["raw"])
+        .when(~t["kind"].isin("start", "end"), "")
+        .when(t["tag"].isin(BLOCK_TAGS), "\n\n")
+        .when(t["tag"] == "br", "\n")
+        .otherwise(""),
+    )
+    text = unescape(F.array_join(pieces, ""))
+    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
+    text = F.regexp_replace(text, r" ?\n ?", "\n")
+    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    return strip(text)
+
+
 def title_text(token_array: Expr) -> Expr:
     """Text of the first title element, null when there is none."""
     start = F.array_position(

@@ -161,29 +161,3 @@ def unescape(text: Expr) -> Expr:
             )
         ),
     )
-
-
-# ---------------------------------------------------------------------------------
-# readable text of a page
-
-_INVISIBLE = (
-    r"(?is)<!--.*?-->|<head[\s>].*?</head\s*>|<script[\s>].*?</script\s*>"
-    r"|<style[\s>].*?</style\s*>"
-)
-_BLOCK_TAG = (
-    r"(?i)</?(?:p|div|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|section|article|header|footer"
-    r"|nav|main|aside|form|blockquote|pre|figure|body|html)(?:[\s/][^>]*)?>"
-)
-
-
-def page_text(html: Expr) -> Expr:
-    """Readable text: markup dropped, block elements apart by a blank line."""
-    text = F.regexp_replace(html, _INVISIBLE, "")
-    text = F.regexp_replace(text, _BLOCK_TAG, "\n\n")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>", "\n")
-    text = F.regexp_replace(text, r"<[/!?a-zA-Z][^>]*>", "")
-    text = unescape(text)
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    text = F.regexp_replace(text, r" ?\n ?", "\n")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.coalesce(strip(text), F.lit(""))

@@ -14,7 +14,6 @@ from citescope.functions import extract as X
 from citescope.functions import fixed_values as fixed
 from citescope.functions import html as H
 from citescope.functions import sql as S
-from citescope.functions import text as T
 from citescope.functions.sql import Expr, col, select
 from citescope.operators.llmtxt import (
     embedded_column,
@@ -57,10 +56,17 @@ def structure_metrics(
         "page_id",
         "url",
         "rendered_html",
-        T.page_text(HTML).alias("clean_text"),
         H.tokens(HTML).alias("tokens"),
+        M.lowered(HTML).alias("low"),
     )
-    staged = select(staged, "*", H.heads(col("tokens")).alias("heads"))
+    staged = select(
+        staged,
+        "*",
+        H.page_text(col("tokens")).alias("clean_text"),
+        H.heads(col("tokens")).alias("heads"),
+        M.exotic(col("low")).alias("exotic"),
+    )
+    source = M.Source(HTML, col("low"), col("exotic"))
     if embedded:
         staged = with_llm_sources(staged)
     extra = [embedded_column().alias("embedded")] if embedded else []
@@ -69,11 +75,11 @@ def structure_metrics(
         "page_id",
         "url",
         *_named(M.content_metrics(TEXT)),
-        *_named(M.heading_counts(HTML)),
-        *_named(M.semantic_counts(HTML)),
-        *_named(M.faq_counts(HTML)),
-        *_named(M.schema_counts(HTML)),
-        M.faq_text_unmarked(HTML, TEXT).alias("faq_unmarked"),
+        *_named(M.heading_counts(source)),
+        *_named(M.semantic_counts(source)),
+        *_named(M.faq_counts(source)),
+        *_named(M.schema_counts(source)),
+        M.faq_text_unmarked(source, TEXT).alias("faq_unmarked"),
         _presence(compat).alias("present"),
         *extra,
     )

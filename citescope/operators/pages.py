@@ -15,7 +15,6 @@ from citescope.functions import fixed_values as fixed
 from citescope.functions import html as H
 from citescope.functions import jsonld as L
 from citescope.functions import sql as S
-from citescope.functions import text as T
 from citescope.functions.sql import Expr, col, select
 from citescope.operators.llmtxt import (
     LLM_TXT,
@@ -104,7 +103,7 @@ def element_spans(pages: DataFrame, *tags: str) -> DataFrame:
 
 
 def page_text(pages: DataFrame) -> DataFrame:
-    return select(pages, "page_id", T.page_text(RENDERED).alias("clean_text"))
+    return select(tokenised(pages), "page_id", H.page_text(TOKENS).alias("clean_text"))
 
 
 def meta_scalars(pages: DataFrame) -> DataFrame:
@@ -179,9 +178,9 @@ def js_detection(pages: DataFrame) -> DataFrame:
 
 def content_stats(pages: DataFrame) -> DataFrame:
     arrays = select(
-        tokenised(pages, T.page_text(RENDERED).alias("clean_text")),
+        tokenised(pages),
         "page_id",
-        "clean_text",
+        H.page_text(TOKENS).alias("clean_text"),
         X.links(TOKENS, BASE_URL).alias("links"),
         X.images(HEADS, BASE_URL).alias("images"),
     )
@@ -208,10 +207,11 @@ def _crawl_info(pages: DataFrame, text: Expr, js: Expr) -> Expr:
 
 
 def crawl_info(pages: DataFrame) -> DataFrame:
+    tokens = select(pages, "*", H.tokens(RENDERED).alias("tokens"))
     staged = select(
-        pages,
+        tokens,
         "*",
-        T.page_text(RENDERED).alias("clean_text"),
+        H.page_text(TOKENS).alias("clean_text"),
         X.js_detection(RAW).alias("js"),
     )
     return _flat(staged, _crawl_info(staged, col("clean_text"), col("js")))
@@ -284,12 +284,16 @@ def crawl_record(
         _optional(pages, "crawled_at", "timestamp"),
         _optional(pages, "extraction_time_seconds", "double"),
         *landed,
-        T.page_text(RENDERED).alias("clean_text"),
         H.tokens(RENDERED).alias("tokens"),
         H.tokens(_changed_only(RAW)).alias("raw_tokens"),
         X.js_detection(RAW).alias("js"),
     )
-    headed = select(staged, "*", H.heads(TOKENS).alias("heads"))
+    headed = select(
+        staged,
+        "*",
+        H.heads(TOKENS).alias("heads"),
+        H.page_text(TOKENS).alias("clean_text"),
+    )
     arrays = select(
         with_llm_sources(headed),
         "*",
