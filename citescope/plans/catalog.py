@@ -17,7 +17,7 @@ from citescope.functions.sql import col, select
 from citescope.operators import audit, citations, pages, query_sets
 from citescope.operators import llmtxt as llm
 from citescope.plans import fixtures as fx
-from citescope.sources import readers
+from citescope.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -684,3 +684,12 @@ def aggregate_results(spark, sf_dir):
     )
 
 
+
+
+@registered
+def write_results(spark, sf_dir):
+    """JSON lines of every query's domain counts, failures included."""
+    rows = citations.analyze_queries(
+        fx.geo_queries(spark, sf_dir), _counts(spark, sf_dir)
+    )
+    return writers.json_lines(rows.select("query_id", "query_type", "domain", "count"))

@@ -789,3 +789,10 @@ LEFT JOIN l ON l.page_id = p.page_id LEFT JOIN i ON i.page_id = p.page_id LEFT J
 LEFT JOIN w ON w.page_id = p.page_id LEFT JOIN sectioned x ON x.page_id = p.page_id""",
     *_LLM_VIEWS, "texts", "links", "imgs", "typed", "http_info",
 )
+
+CHECKS["write_results"] = query(
+    f"""WITH {_counted()} SELECT CAST(to_json({{'query_id': q.query_id, 'query_type': q.type,
+  'domain': c.domain, 'count': c.count}}) AS VARCHAR) AS value
+FROM geo_queries q LEFT JOIN counts c ON c.query_id = q.query_id""",
+    *_CITATION_VIEWS,
+)

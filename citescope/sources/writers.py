@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_results(
@@ -34,3 +35,10 @@ def write_results(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.format(fmt).save(path)
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """The rows as the JSON text ``write_results`` writes, for sinks that take text."""
+    return df.select(
+        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")
+    )
