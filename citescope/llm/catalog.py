@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citescope.llm import near_dedup
+from citescope.llm import decontaminate, exact_dedup, line_dedup, near_dedup
 from citescope.llm.checks import CHECKS
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -21,6 +22,36 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses and keeps when lines of five or more documents go."""
+    rows = line_dedup.cleaned(_table(spark, sf_dir, "documents"), min_length=40, min_docs=5)
+    kept = F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256)
+    return rows.select(
+        F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", kept.alias("kept_sha256")
+    )
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, and the row of each that stays."""
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items in each document."""
+    found = decontaminate.scan(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13
+    )
+    items = F.array_join("items", ",").cast("binary")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"),
+        decontaminate.contaminated(5).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup,)
+    f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op4_exact_dedup, op6_decontaminate)
 }
