@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescope.llm import decontaminate, exact_dedup, line_dedup, near_dedup
+from citescope.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, sharding
 from citescope.llm.checks import CHECKS
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -52,6 +52,31 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 23 of near equal bytes, equal texts together."""
+    rows = sharding.shard_groups(_table(spark, sf_dir, "documents"), shards=24)
+    return rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2,048 tokens from whole documents."""
+    import public_tokenizers
+
+    return packing.pack_sequences(
+        _table(spark, sf_dir, "documents"),
+        tokenizer=str(public_tokenizers.path("word_bpe_49k.json")),
+        capacity=2048,
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op4_exact_dedup, op6_decontaminate)
+    f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op4_exact_dedup, op6_decontaminate, op9_sharding, op10_best_fit_packing)
 }

@@ -35,6 +35,8 @@ from citescope.llm.shared import Scratch, keyed
 
 #: Members of other components, and members without a link to the hub, in one block.
 BLOCK_MEMBERS, BLOCK_LEFT = 512, 64
+#: As many numbers of documents, 32 MB, may be sent to the tasks; more are joined by a shuffle.
+SENT_NUMBERS = 4_000_000
 
 
 @lru_cache(maxsize=4)
@@ -214,14 +216,16 @@ def near_duplicates(
         .distinct(),
         "stars",
     )
-    wanted = stars.select("doc_id").distinct()
-    texts = scratch.save(source.join(wanted, "doc_id", "left_semi"), "texts")
-    scratch.drop("members")
+    wanted = scratch.save(stars.select("doc_id").distinct(), "wanted")
+    sent = F.broadcast(wanted) if wanted.count() <= SENT_NUMBERS else wanted
+    texts = scratch.save(source.join(sent, "doc_id", "left_semi"), "texts")
+    scratch.drop("members", "wanted")
 
+    # Sorted joins bring the rows of one hub together, so its set is made once.
     pairs = stars.where("doc_id <> hub")
     links = scratch.save(
-        pairs.join(texts, "doc_id")
-        .join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")), "hub")
+        pairs.join(texts.hint("merge"), "doc_id")
+        .join(texts.hint("merge").select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")), "hub")
         .select("doc_id", "hub", "text", "hub_text")
         .mapInArrow(_confirm(n, percent), "u long, v long"),
         "links",
