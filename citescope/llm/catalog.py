@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescope.llm import decontaminate, exact_dedup, line_dedup, near_dedup, packing, sharding
+from citescope.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    toxicity,
+)
 from citescope.llm.checks import CHECKS
+from citescope.llm.shared import in_fold
 
 __all__ = ["CHECKS", "QUERIES"]
 
@@ -52,6 +63,32 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned from labels outside the fold held out."""
+    scores = quality.quality(
+        _table(spark, sf_dir, "documents"),
+        _table(spark, sf_dir, "labels"),
+        usable=~in_fold("doc_id", 3, 1),
+    )
+    return scores.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from documents outside the fold held out."""
+    found = language.languages(_table(spark, sf_dir, "documents"), usable=~in_fold("doc_id", 4, 2))
+    return found.select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from labels outside the fold held out."""
+    scores = toxicity.toxicity(
+        _table(spark, sf_dir, "documents"),
+        _table(spark, sf_dir, "labels"),
+        usable=~in_fold("doc_id", 5, 0),
+    )
+    return scores.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 23 of near equal bytes, equal texts together."""
     rows = sharding.shard_groups(_table(spark, sf_dir, "documents"), shards=24)
@@ -78,5 +115,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op4_exact_dedup, op6_decontaminate, op9_sharding, op10_best_fit_packing)
+    f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op4_exact_dedup, op5_quality, op6_decontaminate, op7_language, op8_toxicity, op9_sharding, op10_best_fit_packing)
 }
