@@ -11,6 +11,7 @@ from citescope.llm import (
     decontaminate,
     exact_dedup,
     language,
+    license_scan,
     line_dedup,
     near_dedup,
     packing,
@@ -18,7 +19,7 @@ from citescope.llm import (
     sharding,
     toxicity,
 )
-from citescope.llm.checks import CHECKS
+from citescope.llm.checks import CHECKS, NOTICES
 from citescope.llm.shared import in_fold
 
 __all__ = ["CHECKS", "QUERIES"]
@@ -42,6 +43,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in each document."""
+    templates = spark.createDataFrame(NOTICES, "template_id string, text string")
+    found = license_scan.license_scan(_table(spark, sf_dir, "documents"), templates, n=5, per_cent=80)
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("matches", lambda m: m["template_id"]), ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["per_cent"])), F.lit(0)).cast("long").alias("best_per_cent"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts, and the row of each that stays."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
@@ -115,5 +128,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op4_exact_dedup, op5_quality, op6_decontaminate, op7_language, op8_toxicity, op9_sharding, op10_best_fit_packing)
+    f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_license_scan, op4_exact_dedup, op5_quality, op6_decontaminate, op7_language, op8_toxicity, op9_sharding, op10_best_fit_packing)
 }

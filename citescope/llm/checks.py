@@ -9,6 +9,34 @@ LOWERED = f"translate(text, '{UPPER}', '{LOWER}')"
 
 CHECKS: dict[str, str] = {}
 
+#: Notices by which texts name a licence.
+NOTICES = [
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    (
+        "apache-2.0-header",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file '
+        "except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    ("bsd-3-clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    (
+        "gpl-3.0-header",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the "
+        "GNU General Public License as published by the Free Software Foundation, either version 3 of the "
+        "License, or (at your option) any later version.",
+    ),
+    ("mit", "Released under the MIT License."),
+    (
+        "mit-permission",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        'associated documentation files (the "Software"), to deal in the Software without restriction',
+    ),
+    ("mpl-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+]
+
 CHECKS["op1_near_dedup"] = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -76,3 +104,32 @@ SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+_NOTICES = ", ".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in NOTICES)
+CHECKS["op3_license_scan"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '{_ITEM_WORDS}') AS w FROM documents),
+t AS (
+  SELECT template_id, regexp_extract_all({LOWERED}, '{_ITEM_WORDS}') AS w FROM (VALUES {_NOTICES}) AS v(template_id, text)),
+ts AS (
+  SELECT DISTINCT template_id, array_to_string(w[i : i + 4], ' ') AS s FROM t, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i)),
+classes(size) AS (SELECT 4 UNION ALL SELECT CAST(ceil(size * 5 / 4) AS INTEGER) FROM classes WHERE size < 1000),
+tn AS (
+  SELECT template_id, n, (SELECT min(size) FROM classes WHERE size >= n) AS size
+  FROM (SELECT template_id, count(*) AS n FROM ts GROUP BY template_id)),
+places AS (
+  SELECT doc_id, i - 1 AS p, array_to_string(w[i : i + 4], ' ') AS s
+  FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0),
+hits AS (SELECT doc_id, p, s, template_id, n, size FROM places JOIN ts USING (s) JOIN tn USING (template_id)),
+windows AS (
+  SELECT doc_id, template_id, n, s, p // size AS j FROM hits
+  UNION ALL SELECT doc_id, template_id, n, s, p // size - 1 FROM hits WHERE p >= size),
+shares AS (
+  SELECT doc_id, template_id, j, 100 * count(DISTINCT s) // any_value(n) AS share FROM windows
+  GROUP BY doc_id, template_id, j HAVING 100 * count(DISTINCT s) >= 80 * any_value(n)),
+found AS (SELECT doc_id, template_id, max(share) AS share FROM shares GROUP BY doc_id, template_id)
+SELECT doc_id, count(template_id) AS n_licenses,
+  coalesce(string_agg(template_id, ',' ORDER BY template_id), '') AS licenses,
+  CAST(coalesce(max(share), 0) AS BIGINT) AS best_per_cent
+FROM d LEFT JOIN found USING (doc_id) GROUP BY doc_id
+"""

@@ -295,3 +295,20 @@ def _rest(sides: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame
         .groupBy("hub", "i", "j")
         .applyInPandas(_blocks(n, percent), "u long, v long")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component; same columns, whatever their names.
+
+    Rows that share a number go only if no row of that number is kept; rows without a number
+    stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = (
+        found.where("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.bool_or("kept").alias("kept"))
+        .where("NOT kept")
+        .select(F.col("doc_id").alias("gone"))
+    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return rows.join(gone, F.col(f"doc.`{id_col}`").cast("long") == F.col("gone"), "left_anti").select("doc.*")
