@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +94,12 @@ def _fingerprints(with_text: bool):
                 four = polynomials(raw, ends)
                 data = raw.tobytes()
                 texts = [data[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                ids = part.column("doc_id")
+                if with_text:
+                    # Rows without a number are told apart by what they hold.
+                    ids = pc.coalesce(ids, pa.array(four[:, 0] ^ four[:, 3]))
                 columns = [
-                    part.column("doc_id"),
+                    ids,
                     pa.array(np.diff(ends)),
                     pa.array(four[:, 0] << 31 | four[:, 1]),
                     pa.array(four[:, 2] << 31 | four[:, 3]),
@@ -130,7 +135,7 @@ def _compare(keep_heads: bool):
                 if key != at:
                     at, seen = key, []
                 like = next((d for d, c in seen if c.equals(chunk)), None)
-                if like is None:
+                if like is None:  # no number is null here
                     seen.append((doc, pa.py_buffer(chunk.to_pybytes())))
                     if keep_heads:
                         rows.append((HEAD, *key[:3], key[4], doc, doc, chunk.to_pybytes()))
@@ -155,7 +160,7 @@ def _spread(rows: DataFrame) -> DataFrame:
 def collisions(source: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, n_bytes, fp_a, fp_b, class``: texts that differ from others of their fingerprint.
 
-    Texts of equal fingerprint and equal ``class`` are equal; those without a row here equal
+    Rows without a number have one made of their fingerprint.  Texts of equal fingerprint and equal ``class`` are equal; those without a row here equal
     the text of the smallest number."""
     several = groups.where("group_size > 1").select(*_KEY, "group_size")
     texts = (
@@ -226,8 +231,9 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     odd = collisions(source, groups, scratch)
     key: list[str] = list(_KEY)
     if not odd.isEmpty():
-        odd = scratch.save(odd, "odd")
-        prints = prints.join(odd, ["doc_id", *_KEY], "left").withColumn("class", F.coalesce("class", F.lit("")))
+        odd = scratch.save(odd, "odd").withColumnRenamed("doc_id", "number")
+        number = F.coalesce("doc_id", F.shiftright("fp_a", 31).bitwiseXOR(F.col("fp_b").bitwiseAND(F.lit(2**31 - 1))))
+        prints = prints.withColumn("number", number).join(odd, ["number", *_KEY], "left").withColumn("class", F.coalesce("class", F.lit("")))
         key.append("class")
         groups = grouped(prints, *key)
     scratch.drop("heads", "second")
