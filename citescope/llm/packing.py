@@ -26,7 +26,7 @@ from citescope.llm import words as W
 from citescope.llm.bins import RoomTree
 from citescope.llm.shared import Scratch
 
-#: Distinct words, and as many distinct runs, that a worker remembers before it starts anew.
+#: Distinct words, and half as many runs, that a worker remembers before it starts anew.
 CACHED = 1 << 19
 #: The character that stands for each byte in a byte-level vocabulary: printable ones of
 #: Latin-1 for themselves, the others in order from U+0100 on.
@@ -98,7 +98,7 @@ class Ids:
         try:
             return b"".join([known[r] for r in found])
         except KeyError:
-            if len(known) > CACHED:
+            if len(known) > CACHED // 2:
                 known.clear()
             for r in found:
                 if r not in known:
