@@ -139,8 +139,11 @@ def html_lang(head_array: Expr) -> Expr:
 # links and images
 
 
-def links(token_array: Expr, base_url: Expr) -> Expr:
-    """array<struct<href, text, rel, is_internal, anchor_hash, title>>."""
+def raw_links(token_array: Expr, text_length: int | None = None) -> Expr:
+    """array<struct<href, text, rel, title>> of usable links, addresses as written.
+
+    ``text_length`` cuts link texts; by default they are whole.
+    """
     anchors = F.transform(
         H.spans(
             token_array,
@@ -165,60 +168,85 @@ def links(token_array: Expr, base_url: Expr) -> Expr:
         lambda a: (a["href"] != "")
         & ~any_of(a["href"].startswith(p) for p in fixed.SKIPPED_LINK_PREFIXES),
     )
-    resolved = F.transform(
+
+    def text(span):
+        whole = strip(H.span_text(token_array, span["pos"], span["close"]))
+        return whole if text_length is None else F.substring(whole, 1, text_length)
+
+    return F.transform(
         usable,
         lambda a: F.struct(
-            a.alias("a"), resolve_link(base_url, a["href"]).alias("target")
+            a["href"].alias("href"),
+            text(a["span"]).alias("text"),
+            split_words(_or_empty(a["rel"])).alias("rel"),
+            _or_empty(a["title"]).alias("title"),
         ),
     )
+
+
+def resolved_links(raw: Expr, base_url: Expr) -> Expr:
+    """array<struct<href, text, rel, is_internal, anchor_hash, title>>."""
     return F.transform(
-        resolved,
+        F.transform(
+            raw,
+            lambda a: F.struct(
+                a.alias("a"), resolve_link(base_url, a["href"]).alias("target")
+            ),
+        ),
         lambda r: F.struct(
             r["target"].alias("href"),
-            F.substring(
-                strip(
-                    H.span_text(
-                        token_array, r["a"]["span"]["pos"], r["a"]["span"]["close"]
-                    )
-                ),
-                1,
-                fixed.LINK_TEXT_LENGTH,
-            ).alias("text"),
-            split_words(_or_empty(r["a"]["rel"])).alias("rel"),
+            r["a"]["text"].alias("text"),
+            r["a"]["rel"].alias("rel"),
             is_internal(r["target"], url_netloc(base_url)).alias("is_internal"),
             F.when(
                 r["a"]["href"].contains("#"), F.substring_index(r["a"]["href"], "#", -1)
             ).alias("anchor_hash"),
-            _or_empty(r["a"]["title"]).alias("title"),
+            r["a"]["title"].alias("title"),
         ),
     )
 
 
-def images(head_array: Expr, base_url: Expr) -> Expr:
-    """array<struct<src, alt, width, height, title, is_data_uri>>."""
+def links(token_array: Expr, base_url: Expr, text_length: int | None = None) -> Expr:
+    return resolved_links(raw_links(token_array, text_length), base_url)
+
+
+def raw_images(head_array: Expr) -> Expr:
+    """array<struct<src, alt, width, height, title>>, addresses as written."""
     found = F.filter(
         H.pick(head_array, "img", "src", "alt", "width", "height", "title"),
         lambda i: strip(i["src"]) != "",
     )
     return F.transform(
-        F.transform(
-            found, lambda i: F.struct(i.alias("i"), strip(i["src"]).alias("src"))
+        found,
+        lambda i: F.struct(
+            strip(i["src"]).alias("src"), i["alt"], i["width"], i["height"], i["title"]
         ),
+    )
+
+
+def resolved_images(raw: Expr, base_url: Expr) -> Expr:
+    """array<struct<src, alt, width, height, title, is_data_uri>>."""
+    return F.transform(
+        raw,
         lambda p: F.struct(
             F.when(
                 p["src"].startswith("data:") | p["src"].startswith("http"), p["src"]
             )
             .otherwise(resolve_link(base_url, p["src"]))
             .alias("src"),
-            _or_empty(p["i"]["alt"]).alias("alt"),
-            p["i"]["width"].alias("width"),
-            p["i"]["height"].alias("height"),
-            _or_empty(p["i"]["title"]).alias("title"),
+            _or_empty(p["alt"]).alias("alt"),
+            p["width"].alias("width"),
+            p["height"].alias("height"),
+            _or_empty(p["title"]).alias("title"),
             p["src"].startswith("data:").alias("is_data_uri"),
         ),
     )
 
 
+def images(head_array: Expr, base_url: Expr) -> Expr:
+    return resolved_images(raw_images(head_array), base_url)
+
+
 def content_stats(text: Expr, link_array: Expr, image_array: Expr) -> Expr:
     internal = F.size(F.filter(link_array, lambda x: x["is_internal"]))
     return F.struct(
@@ -249,7 +277,7 @@ def element_ids(token_array: Expr) -> Expr:
     """Distinct ids of elements."""
     marked = F.filter(
         token_array,
-        lambda t: t["kind"].isin("start", "raw") & t["raw"].rlike(r"(?i)\sid[\s=/>]"),
+        lambda t: t["kind"].isin("start", "raw") & F.lower(t["raw"]).contains("id"),
     )
     return F.array_distinct(
         F.filter(
@@ -263,8 +291,10 @@ def script_count(token_array: Expr) -> Expr:
     return F.size(H.elements(token_array, "script"))
 
 
-def dom_diff(original: Expr, rendered: Expr) -> Expr:
-    """Ids gained and lost between two token arrays of one page.
+def dom_diff(original: Expr, rendered: Expr, sample: int | None = None) -> Expr:
+    """Ids gained and lost between two token arrays of one page, in order.
+
+    ``sample`` keeps the first so many of each list; by default all are kept.
 
     An empty ``original`` or ``rendered`` counts as no change, as do equal sources
     (callers pass the same column then).
@@ -276,6 +306,10 @@ def dom_diff(original: Expr, rendered: Expr) -> Expr:
             F.array_except(a, b)
         )
 
+    def listed(ids):
+        ids = F.array_sort(ids)
+        return ids if sample is None else F.slice(ids, 1, sample)
+
     return let(
         F.struct(
             element_ids(original).alias("before"), element_ids(rendered).alias("after")
@@ -288,9 +322,8 @@ def dom_diff(original: Expr, rendered: Expr) -> Expr:
             lambda d: F.struct(
                 F.size(d["added"]).alias("added_nodes_count"),
                 F.size(d["removed"]).alias("removed_nodes_count"),
-                F.slice(F.array_sort(d["added"]), 1, fixed.DIFF_SAMPLE).alias(
-                    "sample_added_selectors"
-                ),
+                listed(d["added"]).alias("added_selectors"),
+                listed(d["removed"]).alias("removed_selectors"),
                 (
                     (F.size(d["added"]) > 0)
                     | (F.size(d["removed"]) > 0)

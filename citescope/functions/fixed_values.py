@@ -7,26 +7,26 @@ Patterns are Java regular expressions; ``(?iu)`` is case-insensitive over Unicod
 
 # --- Fixed values: domain suffixes -------------------------------------------------
 
-COUNTRY_CODES = (
-    "uk au ca in np nz za br mx ar cl pe co jp kr cn hk sg my th id ph vn tw "
-    "de fr it es nl be at ch se no dk fi pl cz hu sk si hr rs bg ro gr cy mt "
-    "ie pt lu li is lv lt ee ua ru by md eg il tr sa ae qa kw bh om jo lb ir "
-    "ke ng gh ma tn dz ly sd et tz ug rw bd pk lk mm la kh bn mv"
-).split()
+COUNTRY_CODES = [
+    "uk", "au", "ca", "in", "np", "nz", "za", "br", "mx", "ar", "cl", "pe", "co",
+    "jp", "kr", "cn", "hk", "sg", "my", "th", "id", "ph", "vn", "tw", "de", "fr",
+    "it", "es", "nl", "be", "at", "ch", "se", "no", "dk", "fi", "pl", "cz", "hu",
+    "sk", "si", "hr", "rs", "bg", "ro", "gr", "cy", "mt", "ie", "pt", "lu", "li",
+    "is", "lv", "lt", "ee", "ua", "ru", "by", "md", "eg", "il", "tr", "sa", "ae",
+    "qa", "kw", "bh", "om", "jo", "lb", "ir", "ke", "ng", "gh", "ma", "tn", "dz",
+    "ly", "sd", "et", "tz", "ug", "rw", "bd", "pk", "lk", "mm", "la", "kh", "bn",
+    "mv",
+]
 
-SECOND_LEVEL_LABELS = (
-    "co com org net edu gov mil ac sch uni info biz name pro museum travel mobi tel "
-    "jobs cat asia post geo int"
-).split()
+SECOND_LEVEL_LABELS = [
+    "co", "com", "org", "net", "edu", "gov", "mil", "ac", "sch", "uni", "info",
+    "biz", "name", "pro", "museum", "travel", "mobi", "tel", "jobs", "cat", "asia",
+    "post", "geo", "int",
+]
 
 # --- Fixed values: page extraction ---------------------------------------------------
 
 SKIPPED_LINK_PREFIXES = ["#", "javascript:", "mailto:", "tel:"]
-LINK_TEXT_LENGTH = 200
-RECORD_LINKS = 100
-RECORD_IMAGES = 50
-DIFF_SAMPLE = 10
-EXTRACTION_METHOD = "enhanced_llm_mimic_with_geo"
 
 # Two further markers of the original list are mixed-case and are looked for in
 # lower-cased text, so they can never match and are left out.

@@ -153,6 +153,34 @@ def joined_text(token_array: Expr) -> Expr:
     )
 
 
+#: Elements whose text a page's text leaves out.
+UNREAD_TAGS = ["template", "rt", "rp"]
+
+
+def readable(token_array: Expr) -> Expr:
+    """The tokens outside of templates and ruby notes; most pages have none of these."""
+
+    def unread(t):
+        return (t["kind"] == "start") & t["tag"].isin(UNREAD_TAGS)
+
+    inside = F.flatten(
+        F.transform(
+            F.filter(
+                spans(token_array, lambda t, i: unread(t)),
+                lambda s: s["close"] > s["pos"] + 1,
+            ),
+            lambda s: F.sequence(s["pos"] + 1, s["close"] - 1),
+        )
+    )
+    return F.when(
+        F.exists(token_array, unread),
+        F.transform(
+            F.array_except(F.sequence(0, F.size(token_array) - 1), inside),
+            lambda i: F.get(token_array, i),
+        ),
+    ).otherwise(token_array)
+
+
 def _position(token_array: Expr, kind: str, tag: str) -> Expr:
     """Position of the first such token counted from 1, 0 when there is none."""
     return F.array_position(
@@ -179,7 +207,7 @@ def _without_head(token_array: Expr) -> Expr:
 def page_text(token_array: Expr) -> Expr:
     """Readable text: no markup, scripts or head; a blank line between block elements."""
     pieces = F.transform(
-        _without_head(token_array),
+        _without_head(readable(token_array)),
         lambda t: F.when(t["kind"] == "text", t["raw"])
         .when(~t["kind"].isin("start", "end"), "")
         .when(t["tag"].isin(BLOCK_TAGS), "\n\n")
@@ -236,8 +264,12 @@ def spans(token_array: Expr, wanted) -> Expr:
     ``wanted(token, position)`` selects start tags.  An end tag closes the nearest open
     element of its name together with everything still open inside; an end tag without
     an open element is ignored; what is open at the end of the page closes there.  Void
-    elements never open.  The fold keeps the open elements only, so its state is as deep
-    as the page is nested.
+    elements never open.
+
+    A fold over the tags keeps the open elements, and what it has closed, as text: Spark
+    copies the state of a fold at every step, and a text is copied as one block of memory.
+    Tags that cannot matter are left out first: an element that no later end tag can close
+    by its name, unless it is wanted, and an end tag before any start tag of its name.
     """
     structural = F.filter(
         F.transform(
@@ -254,65 +286,148 @@ def spans(token_array: Expr, wanted) -> Expr:
         ),
         lambda t: t["structural"],
     )
-    return _close_positions(structural, F.size(token_array))
+    return let(
+        structural,
+        lambda items: F.when(
+            F.exists(items, lambda t: t["wanted"]),
+            _close_positions(_that_matter(items), F.size(token_array)),
+        ).otherwise(F.empty("array<struct<pos:int,close:int>>")),
+    )
 
 
-def _closed_part(closing: Expr, position: Expr) -> Expr:
-    return F.transform(
-        F.filter(closing, lambda e: e["wanted"]),
-        lambda e: F.struct(e["pos"].alias("pos"), position.cast("int").alias("close")),
+def _that_matter(items: Expr) -> Expr:
+    """Without the tags that no other tag can meet."""
+
+    def places(of: Expr, largest: bool) -> Expr:
+        """map of tag names to their first or last position."""
+        ordered = F.reverse(of) if largest else of
+        return let(
+            F.struct(
+                F.transform(ordered, lambda t: t["tag"]).alias("tags"),
+                F.transform(ordered, lambda t: t["pos"]).alias("pos"),
+            ),
+            lambda x: F.map_from_entries(
+                F.transform(
+                    F.array_distinct(x["tags"]),
+                    lambda tag: F.struct(
+                        tag.alias("key"),
+                        F.get(x["pos"], (F.array_position(x["tags"], tag) - 1).cast("int")).alias("value"),
+                    ),
+                )
+            ),
+        )
+
+    return let(
+        F.struct(
+            places(F.filter(items, lambda t: t["open"]), False).alias("first_open"),
+            places(F.filter(items, lambda t: ~t["open"]), True).alias("last_end"),
+        ),
+        lambda at: F.filter(
+            items,
+            lambda t: F.when(
+                t["open"],
+                t["wanted"] | F.coalesce(F.try_element_at(at["last_end"], t["tag"]) > t["pos"], False),
+            ).otherwise(F.coalesce(F.try_element_at(at["first_open"], t["tag"]) < t["pos"], False)),
+        ),
     )
 
 
 def _close_positions(items: Expr, end: Expr) -> Expr:
-    start = F.struct(
-        F.empty("array<struct<pos:int,tag:string,wanted:boolean>>").alias("open"),
-        F.empty("array<struct<pos:int,close:int>>").alias("done"),
-    )
+    """Lines of ``open``: name and, for a wanted element, position.
+
+    Names hold no white space, so line ends and form feeds can part them.  ``done`` has blocks of such lines, each after the position that closes them.
+    """
+    start = F.struct(F.lit("").alias("open"), F.lit("").alias("done"))
+
+    def block(close: Expr, lines: Expr) -> Expr:
+        return F.concat("\f", close, "\n", lines)
 
     def step(state, t):
-        pushed = F.struct(
-            F.concat(
-                state["open"],
-                F.array(
-                    F.struct(
-                        t["pos"].alias("pos"),
-                        t["tag"].alias("tag"),
-                        t["wanted"].alias("wanted"),
+        key = F.concat("\n", t["tag"], " ")
+        # what was opened after the nearest element of the name; all if there is none
+        after = F.substring_index(state["open"], key, -1)
+        matched = F.octet_length(after) < F.octet_length(state["open"])
+        before = F.substring(
+            state["open"].cast("binary"),
+            1,
+            F.octet_length(state["open"]) - F.octet_length(after) - F.octet_length(key),
+        ).cast("string")
+        opened = F.concat(
+            state["open"], key, F.when(t["wanted"], t["pos"].cast("string")).otherwise("")
+        )
+        return (
+            F.when(
+                t["open"],
+                F.struct(opened.alias("open"), state["done"].alias("done")),
+            )
+            .when(
+                matched,
+                F.struct(
+                    before.alias("open"),
+                    F.when(
+                        after.rlike(r"[0-9](?:\n|\z)"),
+                        F.concat(state["done"], block(t["pos"].cast("string"), F.concat("x ", after))),
                     )
+                    .otherwise(state["done"])
+                    .alias("done"),
                 ),
-            ).alias("open"),
-            state["done"].alias("done"),
+            )
+            .otherwise(state)
         )
-        # how many open elements the end tag closes, 0 if it matches none
-        popped = let(
-            F.array_position(F.reverse(state["open"]["tag"]), t["tag"]).cast("int"),
-            lambda n: F.when(n == 0, state).otherwise(
-                F.struct(
-                    F.slice(state["open"], F.lit(1), F.size(state["open"]) - n).alias(
-                        "open"
+
+    def read(text: Expr) -> Expr:
+        """The wanted elements of a block."""
+        return let(
+            F.split(text, "\n"),
+            lambda lines: F.transform(
+                F.filter(
+                    F.transform(
+                        F.filter(lines, lambda line, i: i > 0),
+                        lambda line: F.substring_index(line, " ", -1),
                     ),
-                    F.concat(
-                        state["done"],
-                        _closed_part(F.slice(state["open"], -n, n), t["pos"]),
-                    ).alias("done"),
-                )
+                    lambda pos: pos != "",
+                ),
+                lambda pos: F.struct(
+                    pos.cast("int").alias("pos"),
+                    F.get(lines, 0).cast("int").alias("close"),
+                ),
             ),
         )
-        return F.when(t["open"], pushed).otherwise(popped)
 
     return F.aggregate(
         items,
         start,
         step,
         lambda state: F.array_sort(
-            F.concat(state["done"], _closed_part(state["open"], end))
+            F.flatten(
+                F.transform(
+                    F.filter(
+                        F.split(
+                            F.concat(state["done"], block(end.cast("string"), state["open"])),
+                            "\\f",
+                        ),
+                        lambda text: text != "",
+                    ),
+                    read,
+                )
+            )
         ),
     )
 
 
 def span_text(token_array: Expr, pos: Expr, close: Expr) -> Expr:
-    """Text between an element's start tag and its end."""
-    return joined_text(
-        F.slice(token_array, pos + 2, F.greatest(close - pos - 1, F.lit(0)))
+    """Text between an element's start tag and its end.
+
+    Tokens are fetched one by one: ``slice`` would copy the page for every element.
+    """
+    pieces = F.transform(
+        F.sequence(pos + 1, close - 1),
+        lambda i: let(
+            F.get(token_array, i), lambda t: F.when(t["kind"] == "text", t["raw"]).otherwise("")
+        ),
+    )
+    return unescape(
+        F.array_join(
+            F.when(close - pos > 1, pieces).otherwise(F.empty("array<string>")), ""
+        )
     )

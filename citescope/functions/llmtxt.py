@@ -201,10 +201,14 @@ def from_meta(head_array: Expr) -> Expr:
 
 
 def _may_be_marked(token: Expr) -> Expr:
-    """Cheap test on a tag's source before its attributes are read."""
+    """Cheap test on a tag's source before its attributes are read.
+
+    A tag with a character reference may spell anything, so it always passes.
+    """
     return let(
         F.lower(token["raw"]),
-        lambda raw: contains_any(raw, ["llm", "ai", "assistant"])
+        lambda raw: raw.contains("&")
+        | contains_any(raw, ["llm", "ai", "assistant"])
         | (token["tag"].isin(fixed.HIDDEN_TAGS) & raw.contains("style")),
     )
 
@@ -227,44 +231,45 @@ def marked_texts(token_array: Expr) -> Expr:
     Attributes are read once per element for both kinds, and pages without such an
     element (most of them) are not searched for element ends.
     """
-    starts = F.filter(
-        F.transform(
-            token_array,
-            lambda t, i: F.when(
-                (t["kind"] == "start") & _may_be_marked(t),
-                F.struct(
-                    i.alias("pos"), t["tag"], H.attributes(t["raw"]).alias("attrs")
-                ),
-            ),
-        ),
-        lambda s: s.isNotNull(),
-    )
-    chosen = F.filter(
-        F.transform(
-            starts,
-            lambda s: F.struct(
-                s["pos"],
-                _selectors(s["attrs"]).alias("selectors"),
+
+    def marks(token: Expr) -> Expr:
+        return let(
+            H.attributes(token["raw"]),
+            lambda attrs: F.struct(
+                _selectors(attrs).alias("selectors"),
                 F.coalesce(
-                    s["tag"].isin(fixed.HIDDEN_TAGS)
+                    token["tag"].isin(fixed.HIDDEN_TAGS)
                     & contains_any(
-                        F.lower(H.attribute(s["attrs"], "style")), fixed.HIDDEN_STYLES
+                        F.lower(H.attribute(attrs, "style")), fixed.HIDDEN_STYLES
                     ),
                     False,
                 ).alias("hidden"),
             ),
-        ),
-        lambda s: s["hidden"] | (F.size(s["selectors"]) > 0),
+        )
+
+    def candidate(token: Expr) -> Expr:
+        # void elements have no span and no text
+        return (
+            (token["kind"] == "start")
+            & ~token["tag"].isin(H.VOID_TAGS)
+            & _may_be_marked(token)
+        )
+
+    def marked(m: Expr) -> Expr:
+        return m["hidden"] | (F.size(m["selectors"]) > 0)
+
+    chosen = F.filter(
+        F.transform(token_array, lambda t: F.when(candidate(t), marks(t))),
+        lambda m: m.isNotNull() & marked(m),
     )
 
     def read(found):
-        positions = F.transform(found, lambda s: s["pos"])
-        # void elements have no span and no text
+        # spans come in the order of the start tags, one for each of them
         texts = F.transform(
-            H.spans(token_array, lambda t, i: F.array_contains(positions, i)),
-            lambda s: F.struct(
+            H.spans(token_array, lambda t, i: candidate(t) & marked(marks(t))),
+            lambda s, i: F.struct(
                 strip(H.span_text(token_array, s["pos"], s["close"])).alias("text"),
-                first(F.filter(found, lambda f: f["pos"] == s["pos"])).alias("at"),
+                F.get(found, i).alias("at"),
             ),
         )
         usable = F.filter(texts, lambda e: is_valid(e["text"]))

@@ -66,14 +66,29 @@ def count_of(text: Expr, needles) -> Expr:
 _END = "end of text"
 
 
+def _plain_numbers(text: Expr) -> Expr:
+    """JSON text whose numbers without a value, which Spark refuses, are strings."""
+    pieces = F.transform(
+        F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"?|[^"]+'), F.lit(0)),
+        lambda piece: F.when(piece.startswith('"'), piece).otherwise(
+            F.regexp_replace(piece, r"(?<![\w.])-?(?:NaN|Infinity)(?![\w.])", '"$0"')
+        ),
+    )
+    return F.when(
+        text.contains("NaN") | text.contains("Infinity"), F.array_join(pieces, "")
+    ).otherwise(text)
+
+
 def parse_json(text: Expr) -> Expr:
     """VARIANT of a text that is JSON from end to end, else null.
 
     ``try_parse_json`` stops after the first value and accepts what follows it, so the
-    text is parsed as the first of two array elements.
+    text is parsed as the first of two array elements.  ``NaN`` and ``Infinity`` outside
+    strings are accepted, and read as strings of that name.  Repeated keys need the session
+    setting ``spark.sql.variant.allowDuplicateKeys``; the last one then wins.
     """
     return let(
-        F.try_parse_json(F.concat("[", text, f',"{_END}"]')),
+        F.try_parse_json(F.concat("[", _plain_numbers(text), f',"{_END}"]')),
         lambda v: F.when(
             (F.try_variant_get(v, "$[1]", "string") == _END)
             & F.try_variant_get(v, "$[2]", "variant").isNull(),
@@ -90,7 +105,7 @@ _REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?|[^&]+|&"
 
 def _named_references() -> dict[str, str]:
     """The classic named references, with and (where HTML allows it) without ``;``."""
-    table = {f"&{name};": chr(code) for name, code in name2codepoint.items()}
+    table = {f"&{name};": html5[f"{name};"] for name in name2codepoint}
     table["&apos;"] = "'"
     table.update(
         {f"&{name}": text for name, text in html5.items() if not name.endswith(";")}
@@ -98,6 +113,13 @@ def _named_references() -> dict[str, str]:
     return table
 
 
+def _further_references() -> dict[str, str]:
+    """All other named references of HTML5, which are rarer."""
+    known = _named_references()
+    table = {f"&{name}": text for name, text in html5.items()}
+    return {key: text for key, text in table.items() if key not in known}
+
+
 def _windows_controls() -> dict[str, str]:
     """Code points 128..159, which browsers read as windows-1252."""
     table = {}
@@ -111,8 +133,8 @@ def _windows_controls() -> dict[str, str]:
 
 def _literal_map(table: dict[str, str]) -> Expr:
     """One folded literal; a ``create_map`` of every entry would bloat the plan."""
-    lines = "\n".join(f"{key}\t{value}" for key, value in table.items())
-    return F.str_to_map(F.lit(lines), F.lit("\n"), F.lit("\t"))
+    lines = "\x1e".join(f"{key}\x1f{value}" for key, value in table.items())
+    return F.str_to_map(F.lit(lines), F.lit("\x1e"), F.lit("\x1f"))
 
 
 def _decode_reference(piece: Expr) -> Expr:
@@ -134,7 +156,12 @@ def _decode_reference(piece: Expr) -> Expr:
         | (code > "0010FFFF")
         | code.between("0000D800", "0000DFFF")
     )
-    named = F.try_element_at(_literal_map(_named_references()), piece)
+    named = F.coalesce(
+        F.try_element_at(_literal_map(_named_references()), piece),
+        F.when(
+            piece.endswith(";"), F.try_element_at(_literal_map(_further_references()), piece)
+        ),
+    )
     return (
         F.when(~piece.startswith("&") | (piece == "&"), piece)
         .when(~piece.startswith("&#"), F.coalesce(named, piece))

@@ -14,7 +14,7 @@ share of all links is combined on the map side and not gathered anywhere.  Repor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citescope.functions import fixed_values as fixed
@@ -23,26 +23,20 @@ from citescope.functions.sql import col, select
 from citescope.functions.urls import normalize_domain, url_netloc
 from citescope.operators.query_sets import percent_of, query_type_summary
 
-SALTS = 16
-
 
 # ---------------------------------------------------------------------------------
 # grounding
 
 
-def resolve_redirects(
-    links: DataFrame, redirects: DataFrame, salts: int = SALTS
-) -> DataFrame:
+def resolve_redirects(links: DataFrame, redirects: DataFrame) -> DataFrame:
     """Adds ``actual_url`` to rows with a ``redirect_url``; null where unresolved.
 
-    Each address is resolved once.  One address may be cited by a large share of all
-    rows, so rows are spread over ``salts`` copies of the (one row per address) table;
-    a small table is broadcast by Spark and the salt is then only a column.
+    Each address is resolved once.  One address may be cited by a large share of all rows;
+    Spark's adaptive execution splits such rows, and repeats their one address, or
+    broadcasts the addresses when they turn out to be few.
     """
     resolved = redirects.groupBy("redirect_url").agg(F.min("actual_url").alias("actual_url"))
-    copies = resolved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = links.withColumn("salt", F.pmod(F.xxhash64(*links.columns), F.lit(salts)).cast("int"))
-    return spread.join(copies, ["redirect_url", "salt"], "left").drop("salt")
+    return links.join(resolved, "redirect_url", "left")
 
 
 def answer_chunks(answers: DataFrame) -> DataFrame:
@@ -141,29 +135,28 @@ def extract_domains(links: DataFrame, grain: str = "domain") -> DataFrame:
 def domain_counts(domains: DataFrame) -> DataFrame:
     """``query_id, domain, count, first_segment, first_link`` per query and domain.
 
-    Reports list a query's domains by count (descending), then by first appearance.
+    The first appearance is the minimum of one number, so counting needs no sort.
     """
+    place = F.col("segment_pos").cast("bigint") * 2**31 + F.col("link_pos")
     return (
         domains.groupBy("query_id", "domain")
-        .agg(
-            F.count("*").alias("count"),
-            F.min(F.struct("segment_pos", "link_pos")).alias("seen"),
-        )
+        .agg(F.count("*").alias("count"), F.min(place).alias("seen"))
         .select(
             "query_id",
             "domain",
             "count",
-            F.col("seen.segment_pos").alias("first_segment"),
-            F.col("seen.link_pos").alias("first_link"),
+            F.floor(F.col("seen") / F.lit(2**31)).cast("bigint").alias("first_segment"),
+            (F.col("seen") % F.lit(2**31)).cast("bigint").alias("first_link"),
         )
     )
 
 
-def ordered_counts(counts: DataFrame) -> DataFrame:
-    """Counts in report order, as one range-partitioned sort over all queries."""
-    return counts.orderBy(
-        "query_id", F.desc("count"), "first_segment", "first_link", "domain"
+def ranked_counts(counts: DataFrame) -> DataFrame:
+    """Counts with their ``rank`` in the query's report: by count, then first appearance."""
+    order = Window.partitionBy("query_id").orderBy(
+        F.desc("count"), "first_segment", "first_link", "domain"
     )
+    return counts.withColumn("rank", F.row_number().over(order).cast("bigint"))
 
 
 def analyze_queries(
@@ -255,9 +248,13 @@ def domain_breakdown(
     )
 
 
-def domain_totals(counts: DataFrame) -> DataFrame:
-    """Number of links per domain over all queries."""
-    return counts.groupBy("domain").agg(F.sum("count").alias("count"))
+def domain_totals(
+    counts: DataFrame, queries: DataFrame | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Number of links per domain over all queries, or over those of each group."""
+    if by:
+        counts = counts.join(queries.select("query_id", *by), "query_id")
+    return counts.groupBy(*by, "domain").agg(F.sum("count").alias("count"))
 
 
 def query_details(
@@ -287,8 +284,17 @@ def query_details(
     )
 
 
-def top_domains(breakdown: DataFrame, n: int = fixed.CHART_DOMAINS) -> DataFrame:
-    """The first ``n`` domains of a breakdown for the chart."""
+def top_domains(
+    breakdown: DataFrame, n: int = fixed.CHART_DOMAINS, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """The first ``n`` domains of a breakdown (of each group) for the chart."""
+    if by:
+        order = Window.partitionBy(*by).orderBy(F.desc("total_percentage"), "domain")
+        return (
+            breakdown.withColumn("place", F.row_number().over(order))
+            .where(F.col("place") <= n)
+            .select(*by, "domain", "direct_percentage", "generic_percentage")
+        )
     return (
         breakdown.orderBy(F.desc("total_percentage"), "domain")
         .limit(n)

@@ -115,7 +115,7 @@ def with_llm_sources(headed: DataFrame) -> DataFrame:
         "*",
         L.script_bodies(HEADS).alias("bodies"),
         X.marked_texts(TOKENS).alias("marked"),
-        H.joined_text(TOKENS).alias("all_text"),
+        H.joined_text(H.readable(TOKENS)).alias("all_text"),
     )
 
 
@@ -183,9 +183,11 @@ LLM_TXT = [
 ]
 
 
-def merge_llm_txt(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
+def merge_llm_txt(parsed: DataFrame, resolved: DataFrame | None) -> DataFrame:
     """llm.txt columns from rows with an ``embedded`` struct and ``llm_resolve`` rows.
 
+    Without site files the columns are the same, and only embedded content is found.
+
     Other columns of ``parsed`` stay, so a caller that already reads the pages for
     something else searches them in the same pass.
     """
@@ -195,8 +197,18 @@ def merge_llm_txt(parsed: DataFrame, resolved: DataFrame) -> DataFrame:
     none_tried = S.empty(
         "array<struct<url:string,success:boolean,status_code:int,error:string>>"
     )
+    if resolved is None:
+        joined = select(
+            parsed,
+            "*",
+            S.lit(False).alias("found"),
+            *[S.lit(None).cast("string").alias(c) for c in ("llm_txt_url", "llm_txt_content", "extraction_method")],
+            none_tried.alias("attempts"),
+        )
+    else:
+        joined = parsed.join(resolved, "page_id", "left")
     merged = select(
-        parsed.join(resolved, "page_id", "left"),
+        joined,
         *others,
         S.coalesce(found_inside | col("found"), False).alias("llm_txt_found"),
         S.when(~found_inside, col("llm_txt_url")).alias("llm_txt_url"),

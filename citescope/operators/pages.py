@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citescope.functions import extract as X
-from citescope.functions import fixed_values as fixed
 from citescope.functions import html as H
 from citescope.functions import jsonld as L
 from citescope.functions import sql as S
@@ -128,8 +127,9 @@ def meta_twitter(pages: DataFrame) -> DataFrame:
     return _map_rows(pages, X.twitter(HEADS))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    return _rows(tokenised(pages), X.links(TOKENS, BASE_URL))
+def page_links(pages: DataFrame, text_length: int | None = None) -> DataFrame:
+    """One row per link; ``text_length`` cuts link texts, which are whole by default."""
+    return _rows(tokenised(pages), X.links(TOKENS, BASE_URL, text_length))
 
 
 def page_images(pages: DataFrame) -> DataFrame:
@@ -162,14 +162,15 @@ def _changed_only(html: Expr) -> Expr:
     return S.when(RAW != RENDERED, html)
 
 
-def dom_diff(pages: DataFrame) -> DataFrame:
+def dom_diff(pages: DataFrame, sample: int | None = None) -> DataFrame:
+    """Element ids that rendering added and removed; ``sample`` bounds both lists."""
     both = select(
         pages,
         "page_id",
         H.tokens(_changed_only(RAW)).alias("before"),
         H.tokens(_changed_only(RENDERED)).alias("after"),
     )
-    return _flat(both, X.dom_diff(col("before"), col("after")))
+    return _flat(both, X.dom_diff(col("before"), col("after"), sample))
 
 
 def js_detection(pages: DataFrame) -> DataFrame:
@@ -189,7 +190,10 @@ def content_stats(pages: DataFrame) -> DataFrame:
     )
 
 
-def _crawl_info(pages: DataFrame, text: Expr, js: Expr) -> Expr:
+EXTRACTION_METHOD = "landed_page"
+
+
+def _crawl_info(pages: DataFrame, text: Expr, js: Expr, method: str) -> Expr:
     return S.struct(
         col("url"),
         base_url(pages).alias("final_url"),
@@ -202,11 +206,12 @@ def _crawl_info(pages: DataFrame, text: Expr, js: Expr) -> Expr:
         S.length(text).alias("content_length"),
         S.length(RAW).alias("html_length"),
         S.length(RENDERED).alias("rendered_html_length"),
-        S.lit(fixed.EXTRACTION_METHOD).alias("extraction_method"),
+        S.lit(method).alias("extraction_method"),
     )
 
 
-def crawl_info(pages: DataFrame) -> DataFrame:
+def crawl_info(pages: DataFrame, method: str = EXTRACTION_METHOD) -> DataFrame:
+    """Lengths, flags and addresses of pages; ``method`` labels where they come from."""
     tokens = select(pages, "*", H.tokens(RENDERED).alias("tokens"))
     staged = select(
         tokens,
@@ -214,7 +219,7 @@ def crawl_info(pages: DataFrame) -> DataFrame:
         H.page_text(TOKENS).alias("clean_text"),
         X.js_detection(RAW).alias("js"),
     )
-    return _flat(staged, _crawl_info(staged, col("clean_text"), col("js")))
+    return _flat(staged, _crawl_info(staged, col("clean_text"), col("js"), method))
 
 
 def json_ld(pages: DataFrame) -> DataFrame:
@@ -240,39 +245,28 @@ def json_ld_normalized(pages: DataFrame) -> DataFrame:
     return _flat(objects, L.normalized(col("items")))
 
 
-def _with_http_info(pages: DataFrame, http_info: DataFrame) -> DataFrame:
-    """Pages with their landed HTTP data; the answered address becomes the base."""
-    fields = [col(c) for c in http_info.columns if c != "page_id"]
-    landed = select(http_info, "page_id", S.struct(*fields).alias("http_info"))
-    joined = pages.join(landed, "page_id", "left")
-    return joined.withColumn(
-        "final_url",
-        S.coalesce(
-            _optional(pages, "final_url", "string"),
-            col("http_info.final_url"),
-            col("url"),
-        ).col(),
-    )
-
-
 def crawl_record(
     pages: DataFrame,
     http_info: DataFrame | None = None,
     site_files: DataFrame | None = None,
     keep_source: bool = True,
+    max_links: int | None = None,
+    max_images: int | None = None,
+    text_length: int | None = None,
+    sample: int | None = None,
+    method: str = EXTRACTION_METHOD,
 ) -> DataFrame:
     """One nested record per page.
 
-    Every part comes out of one pass over the row.  ``http_info`` and ``site_files`` are
-    joined by ``page_id`` when given; both joins use one partitioning of the pages, and
-    tables bucketed by ``page_id`` need none.  ``keep_source=False`` leaves the page
-    sources out of the record, so that they stay out of the second join as well.
-    Statistics use all links and images, the record keeps the first 100 and 50.
+    Every part comes out of one pass over the row, before any join; links and images keep
+    their addresses as written until the HTTP data, which name the base, are joined.
+    ``http_info`` and ``site_files`` are joined by ``page_id`` when given.  With
+    ``keep_source=False`` only the narrow record takes part in these joins.
+
+    ``max_links``, ``max_images``, ``text_length`` and ``sample`` (changed ids) bound the
+    lists of the record; by default everything is kept.  Statistics use all links and
+    images.
     """
-    resolved = None if site_files is None else llm_resolve(pages, site_files)
-    if http_info is not None:
-        pages = _with_http_info(pages, http_info)
-    landed = ["http_info"] if http_info is not None else []
     source = ["raw_html", "rendered_html"] if keep_source else []
     staged = select(
         pages,
@@ -280,10 +274,9 @@ def crawl_record(
         "url",
         "raw_html",
         "rendered_html",
-        base_url(pages).alias("final_url"),
+        _optional(pages, "final_url", "string"),
         _optional(pages, "crawled_at", "timestamp"),
         _optional(pages, "extraction_time_seconds", "double"),
-        *landed,
         H.tokens(RENDERED).alias("tokens"),
         H.tokens(_changed_only(RAW)).alias("raw_tokens"),
         X.js_detection(RAW).alias("js"),
@@ -297,23 +290,24 @@ def crawl_record(
     arrays = select(
         with_llm_sources(headed),
         "*",
-        X.links(TOKENS, col("final_url")).alias("all_links"),
-        X.images(HEADS, col("final_url")).alias("all_images"),
+        X.raw_links(TOKENS, text_length).alias("raw_links"),
+        X.raw_images(HEADS).alias("raw_images"),
         X.hreflang(HEADS).alias("hreflang"),
         L.parsed(col("bodies")).alias("items"),
     )
     parsed = select(arrays, "*", L.objects(col("items")).alias("objects"))
-    header_language = (
-        col("http_info.content_language") if landed else S.lit(None).cast("string")
-    )
-    record = select(
+    read = select(
         parsed,
         "page_id",
-        _crawl_info(parsed, col("clean_text"), col("js")).alias("crawl_info"),
-        *landed,
+        "url",
+        "final_url",
+        "js",
+        _crawl_info(parsed, col("clean_text"), col("js"), method).alias("info"),
         *source,
         "clean_text",
-        X.dom_diff(col("raw_tokens"), TOKENS).alias("dom_diff"),
+        "raw_links",
+        "raw_images",
+        X.dom_diff(col("raw_tokens"), TOKENS, sample).alias("dom_diff"),
         S.struct(
             S.transform(
                 col("items"),
@@ -329,20 +323,59 @@ def crawl_record(
             X.open_graph(HEADS).alias("open_graph"),
             X.twitter(HEADS).alias("twitter"),
         ).alias("meta"),
+        X.html_lang(HEADS).alias("html_lang"),
+        embedded_column().alias("embedded"),
+    )
+    landed = []
+    if http_info is not None:
+        fields = [col(c) for c in http_info.columns if c != "page_id"]
+        answers = select(http_info, "page_id", S.struct(*fields).alias("http_info"))
+        read, landed = read.join(answers, "page_id", "left"), ["http_info"]
+    answered_url = col("http_info.final_url") if landed else S.lit(None).cast("string")
+    header_language = (
+        col("http_info.content_language") if landed else S.lit(None).cast("string")
+    )
+    based = select(
+        read, "*", S.coalesce(col("final_url"), answered_url, col("url")).alias("base")
+    )
+    linked = select(
+        based,
+        "*",
+        X.resolved_links(col("raw_links"), col("base")).alias("all_links"),
+        X.resolved_images(col("raw_images"), col("base")).alias("all_images"),
+    )
+
+    def kept(items: Expr, most: int | None) -> Expr:
+        return items if most is None else S.slice(items, 1, most)
+
+    info = [
+        (col("base") if f == "final_url" else col(f"info.{f}")).alias(f)
+        for f in linked.schema["info"].dataType.names
+    ]
+    record = select(
+        linked,
+        "page_id",
+        S.struct(*info).alias("crawl_info"),
+        *landed,
+        *source,
+        "clean_text",
+        "dom_diff",
+        "structured_data",
+        "structured_data_normalized",
+        "meta",
         S.struct(
-            X.html_lang(HEADS).alias("html_lang"),
+            col("html_lang"),
             header_language.alias("content_language_header"),
-            col("hreflang").alias("hreflang_alternatives"),
+            col("meta.hreflang").alias("hreflang_alternatives"),
         ).alias("language"),
-        S.slice(col("all_links"), 1, fixed.RECORD_LINKS).alias("links"),
-        S.slice(col("all_images"), 1, fixed.RECORD_IMAGES).alias("images"),
+        kept(col("all_links"), max_links).alias("links"),
+        kept(col("all_images"), max_images).alias("images"),
         X.content_stats(
             col("clean_text"), col("all_links"), col("all_images")
         ).alias("content_stats"),
-        embedded_column().alias("embedded"),
+        "embedded",
     )
-    if resolved is None:
-        return record.withColumnRenamed("embedded", "llm_txt")
-    kept = [c for c in record.columns if c != "embedded"]
+    kept_columns = [c for c in record.columns if c != "embedded"]
+    resolved = None if site_files is None else llm_resolve(pages, site_files)
     merged = merge_llm_txt(record, resolved)
-    return select(merged, *kept, S.struct(*map(col, LLM_TXT)).alias("llm_txt"))
+    return select(merged, *kept_columns, S.struct(*map(col, LLM_TXT)).alias("llm_txt"))

@@ -66,16 +66,16 @@ def read_pages(spark, sf_dir):
 
 @registered
 def read_site_files(spark, sf_dir):
-    return fx.geo_site_files(spark, sf_dir)
+    """Site files written as a landed table, and read."""
+    path = fx.landed(fx.geo_site_files(spark, sf_dir), lambda df, p: df.write.parquet(p))
+    return readers.read_site_files(spark, path)
 
 
 @registered
 def read_http_info(spark, sf_dir):
-    rows = fx.http_info(spark, sf_dir).select(
-        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line")
-    )
-    parsed = rows.select(F.from_json("line", readers.HTTP_INFO).alias("h")).select("h.*")
-    return parsed.select(
+    """HTTP data written as JSON lines, and read with the declared schema."""
+    path = fx.landed(fx.http_info(spark, sf_dir), writers.write_results)
+    return readers.read_http_info(spark, path).select(
         "page_id",
         "final_url",
         "status_code",
@@ -87,23 +87,24 @@ def read_http_info(spark, sf_dir):
 
 @registered
 def read_answers(spark, sf_dir):
+    """Answers saved as JSON lines, read, and their links."""
     links = F.expr(
         "transform(filter(chunks, c -> c.uri IS NOT NULL), c -> named_struct("
         "'title', c.title, 'redirect_url', c.uri, 'actual_url', c.uri))"
     )
     saved = fx.answers(spark, sf_dir).select(
-        "query_id",
-        F.to_json(
-            F.struct(
-                "response_text",
-                F.array(F.struct("response_text", links.alias("links"))).alias(
-                    "grounding_metadata"
-                ),
-                F.lit(True).alias("has_grounding"),
-            )
-        ).alias("line"),
+        F.col("query_id").cast("string").alias("query"),
+        "response_text",
+        F.array(F.struct(F.col("response_text").alias("text"), links.alias("links"))).alias(
+            "grounding_metadata"
+        ),
+        F.lit(True).alias("has_grounding"),
+    )
+    path = fx.landed(saved, writers.write_results)
+    read = readers.segment_links(readers.read_answers(spark, path, lines=True), key="query")
+    return read.selectExpr(
+        "CAST(query AS bigint) AS query_id", "segment_pos", "link_pos", "title", "actual_url"
     )
-    return readers.segment_links(readers.parse_answers(saved, "line"))
 
 
 @registered
@@ -126,8 +127,8 @@ def crawl_record(spark, sf_dir):
         "structured_data.microdata_count AS microdata_count",
         "size(structured_data.schema_org) AS parsed_items",
         "structured_data_normalized.author AS author",
-        "size(links) AS kept_links",
-        "size(images) AS kept_images",
+        "md5(array_join(transform(links, x -> concat(x.href, ' ', x.text)), '|')) AS links_md5",
+        "md5(array_join(transform(images, x -> x.src), '|')) AS images_md5",
         "content_stats.link_count AS link_count",
         "content_stats.word_count AS word_count",
         "dom_diff.added_nodes_count AS added_ids",
@@ -376,8 +377,8 @@ def llm_candidates(spark, sf_dir):
 
 @registered
 def llm_valid(spark, sf_dir):
-    files = fx.geo_site_files(spark, sf_dir)
-    return llm.llm_valid(files).select("page_id", "file_url", "is_valid")
+    texts = fx.any_texts(spark, sf_dir).selectExpr("id AS page_id", "text AS content")
+    return llm.llm_valid(texts).select("page_id", "is_valid")
 
 
 @registered
@@ -406,9 +407,8 @@ _on_pages("llm_embedded", llm.llm_embedded)
 
 
 def _file_texts(spark, sf_dir):
-    """Valid site files, and the text of every answer, as llm.txt contents."""
-    files = fx.geo_site_files(spark, sf_dir).where("content IS NOT NULL")
-    return files.selectExpr("page_id", "content AS llm_txt_content")
+    """Site files, documents and turns of conversations, as llm.txt contents."""
+    return fx.any_texts(spark, sf_dir).selectExpr("id AS page_id", "text AS llm_txt_content")
 
 
 @registered
@@ -611,13 +611,13 @@ def _counts(spark, sf_dir, grain="domain"):
 
 @registered
 def domain_counts(spark, sf_dir):
-    return citations.ordered_counts(_counts(spark, sf_dir))
+    return citations.ranked_counts(_counts(spark, sf_dir))
 
 
 @registered
 def analyze_queries(spark, sf_dir):
     queries = fx.geo_queries(spark, sf_dir)
-    answered = fx.geo_links(spark, sf_dir).select("query_id")
+    answered = fx.answer_turns(spark, sf_dir).select("query_id")
     return citations.analyze_queries(queries, _counts(spark, sf_dir), answered).select(
         "query_id", "query", "query_type", "answered", "domain", "count"
     )
@@ -651,13 +651,11 @@ def domain_totals(spark, sf_dir):
 
 @registered
 def query_details(spark, sf_dir):
-    answers = fx.geo_queries(spark, sf_dir).selectExpr(
-        "query_id", "concat('Re: ', query) AS response_text"
+    answers = fx.answer_turns(spark, sf_dir).groupBy("query_id").agg(
+        F.concat(F.lit("Re: "), F.min("turn")).alias("response_text")
     )
     details = citations.query_details(
-        fx.geo_queries(spark, sf_dir),
-        _counts(spark, sf_dir),
-        answers.where("query_id % 4 <> 1"),
+        fx.geo_queries(spark, sf_dir), _counts(spark, sf_dir), answers
     )
     return details.select(
         "query_id", "query_type", "response_text", "domain", "count"
@@ -688,8 +686,9 @@ def aggregate_results(spark, sf_dir):
 
 @registered
 def write_results(spark, sf_dir):
-    """JSON lines of every query's domain counts, failures included."""
+    """Domain counts of every query, failures included, written and read again."""
     rows = citations.analyze_queries(
         fx.geo_queries(spark, sf_dir), _counts(spark, sf_dir)
-    )
-    return writers.json_lines(rows.select("query_id", "query_type", "domain", "count"))
+    ).select("query_id", "query_type", "domain", "count")
+    path = fx.landed(rows, writers.write_results)
+    return spark.read.schema(rows.schema).json(path)

@@ -35,8 +35,8 @@ CHECKS["read_site_files"] = query(
 )
 CHECKS["read_http_info"] = query(
     """SELECT page_id, final_url, CAST(status_code AS BIGINT) AS status_code, content_language,
-  CAST(CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS hops,
-  CASE WHEN page_id % 5 = 0 THEN final_url END AS last_hop FROM http_info""",
+  CAST(contains(final_url, '&r=1') AS BIGINT) AS hops,
+  CASE WHEN contains(final_url, '&r=1') THEN final_url END AS last_hop FROM http_info""",
     "http_info",
 )
 CHECKS["read_answers"] = query(
@@ -167,7 +167,7 @@ CHECKS["microdata_count"] = query(
 )
 CHECKS["dom_diff"] = query(
     """SELECT page_id, len(a) AS added_nodes_count, CAST(0 AS BIGINT) AS removed_nodes_count,
-  coalesce(array_to_string(list_sort(a), '|'), '') AS sample_added_selectors,
+  coalesce(array_to_string(list_sort(a), '|'), '') AS added_selectors, '' AS removed_selectors,
   len(a) > 0 OR len(regexp_extract_all(rendered_html, '<script')) > len(regexp_extract_all(raw_html, '<script')) AS has_significant_changes
 FROM (SELECT *, list_distinct(regexp_extract_all(rendered_html, ' id="([^"]*)"', 1)) AS a FROM geo_pages)""",
     "geo_pages",
@@ -189,7 +189,7 @@ CHECKS["crawl_info"] = query(
     f"""SELECT t.page_id, t.url, t.url AS final_url, p.html <> '' AS javascript_executed,
   {_JS.replace('html', 'p.html')} AS javascript_modified_dom, length(clean_text) AS content_length,
   length(p.html) AS html_length, length(t.html) AS rendered_html_length,
-  '{fixed.EXTRACTION_METHOD}' AS extraction_method FROM texts t JOIN pages p USING (page_id)""",
+  'landed_page' AS extraction_method FROM texts t JOIN pages p USING (page_id)""",
     "texts",
 )
 
@@ -295,8 +295,11 @@ candidates AS (SELECT page_id, h * {len(fixed.LLM_PATHS)} + k AS ord, scheme ||
 CHECKS["llm_candidates"] = (
     f"WITH {CANDIDATES} SELECT page_id, CAST(ord AS BIGINT) AS ord, file_url FROM candidates"
 )
+ANY_TEXTS = """any_texts AS (SELECT page_id, content FROM geo_site_files WHERE content IS NOT NULL
+  UNION ALL SELECT 1000000000 + doc_id, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 2000000000 + conv_id * 100 + turn, text FROM conversations WHERE text IS NOT NULL)"""
 CHECKS["llm_valid"] = query(
-    f"SELECT page_id, file_url, {valid('content')} AS is_valid FROM geo_site_files",
+    f"WITH {ANY_TEXTS} SELECT page_id, {valid('content')} AS is_valid FROM any_texts",
     "geo_site_files",
 )
 RESOLVED = f"""{CANDIDATES},
@@ -375,7 +378,7 @@ def _sections(source: str) -> str:
     )
     return f"""lines AS (SELECT id, page_id, trim(unnest(l)) AS line, generate_subscripts(l, 1) AS ord
   FROM (SELECT row_number() OVER () AS id, page_id, string_split(content, chr(10)) AS l FROM {source})),
-labelled AS (SELECT *, CASE WHEN starts_with(line, '#') THEN 'headers' {chain} END AS section FROM lines WHERE line <> ''),
+labelled AS (SELECT *, CASE WHEN line = '' THEN NULL WHEN starts_with(line, '#') THEN 'headers' {chain} END AS section FROM lines),
 sectioned AS (SELECT id, page_id, {', '.join(
     f"coalesce(string_agg(line, '|' ORDER BY ord) FILTER (WHERE section = '{s}'), '') AS {s}" for s in fixed.LLM_SECTIONS)},
   count(section) AS items FROM labelled GROUP BY id, page_id)"""
@@ -387,13 +390,12 @@ _POINTS = " + ".join(
 )
 SCORE = f"""CAST(least(CASE WHEN items > 0 THEN {fixed.LLM_SCORE_ANY} ELSE 0 END + {_POINTS}
   + CASE WHEN items > 10 THEN 10 WHEN items > 5 THEN 5 ELSE 0 END, {fixed.LLM_SCORE_MAX}) AS BIGINT)"""
-_FILES = "files AS (SELECT page_id, content FROM geo_site_files WHERE content IS NOT NULL)"
 CHECKS["llm_sections"] = query(
-    f"WITH {_FILES}, {_sections('files')} SELECT page_id, {', '.join(fixed.LLM_SECTIONS)} FROM sectioned",
+    f"WITH {ANY_TEXTS}, {_sections('any_texts')} SELECT page_id, {', '.join(fixed.LLM_SECTIONS)} FROM sectioned",
     "geo_site_files",
 )
 CHECKS["llm_score"] = query(
-    f"WITH {_FILES}, {_sections('files')} SELECT page_id, {SCORE} AS geo_relevance_score FROM sectioned",
+    f"WITH {ANY_TEXTS}, {_sections('any_texts')} SELECT page_id, {SCORE} AS geo_relevance_score FROM sectioned",
     "geo_site_files",
 )
 LLM_TXT = f"""{EMBEDDED}, {RESOLVED},
@@ -688,12 +690,13 @@ counts AS (SELECT query_id, domain, count(*) AS count, min(segment_pos * 10 + li
 
 _CITATION_VIEWS = ("geo_queries", "geo_links")
 CHECKS["domain_counts"] = query(
-    f"""WITH {_counted()} SELECT query_id, domain, count, seen // 10 AS first_segment, seen % 10 AS first_link FROM counts""",
+    f"""WITH {_counted()} SELECT query_id, domain, count, seen // 10 AS first_segment, seen % 10 AS first_link,
+  row_number() OVER (PARTITION BY query_id ORDER BY count DESC, seen, domain) AS rank FROM counts""",
     *_CITATION_VIEWS,
 )
 CHECKS["analyze_queries"] = query(
     f"""WITH {_counted()} SELECT q.query_id, q.query, q.type AS query_type,
-  q.query_id IN (SELECT query_id FROM geo_links) AS answered, c.domain, c.count
+  q.query_id IN (SELECT query_id FROM answer_turns WHERE role = 'assistant') AS answered, c.domain, c.count
 FROM geo_queries q LEFT JOIN counts c ON c.query_id = q.query_id""",
     *_CITATION_VIEWS,
 )
@@ -740,8 +743,9 @@ CHECKS["domain_totals"] = query(
 )
 CHECKS["query_details"] = query(
     f"""WITH {_counted()} SELECT q.query_id, q.type AS query_type,
-  CASE WHEN q.query_id % 4 <> 1 THEN concat('Re: ', q.query) ELSE '' END AS response_text, c.domain, c.count
-FROM geo_queries q LEFT JOIN counts c ON c.query_id = q.query_id""",
+  coalesce(a.response_text, '') AS response_text, c.domain, c.count
+FROM geo_queries q LEFT JOIN (SELECT query_id, concat('Re: ', min(turn)) AS response_text FROM answer_turns
+  WHERE role = 'assistant' GROUP BY query_id) a ON a.query_id = q.query_id LEFT JOIN counts c ON c.query_id = q.query_id""",
     *_CITATION_VIEWS,
 )
 CHECKS["top_domains"] = query(
@@ -768,8 +772,10 @@ UNION ALL SELECT 'domain_breakdown', domain, NULL, direct_count, generic_count,
 
 CHECKS["crawl_record"] = query(
     f"""WITH {LLM_TXT}, {_sections('llm')},
-l AS (SELECT page_id, count(*) AS n FROM links GROUP BY page_id),
-i AS (SELECT page_id, count(*) AS n FROM imgs GROUP BY page_id),
+l AS (SELECT page_id, count(*) AS n, md5(string_agg(href || ' ' || text, '|' ORDER BY pos)) AS m
+  FROM links GROUP BY page_id),
+i AS (SELECT page_id, count(*) AS n, md5(string_agg(CASE WHEN contains(tag, 'src="data:') THEN regexp_extract(tag, 'src="([^"]*)"', 1)
+  ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_extract(tag, 'src="([^"]*)"', 1) END, '|' ORDER BY pos)) AS m FROM imgs GROUP BY page_id),
 s AS (SELECT page_id, count(*) AS n, count(*) FILTER (WHERE json_valid(body)) AS parsed FROM scripts GROUP BY page_id),
 w AS (SELECT page_id, {_latest("$.author", "author", _name("$.author"))} FROM typed GROUP BY page_id)
 SELECT p.page_id, coalesce(h.final_url, p.url) AS final_url, CAST(h.status_code AS BIGINT) AS status_code,
@@ -778,8 +784,8 @@ SELECT p.page_id, coalesce(h.final_url, p.url) AS final_url, CAST(h.status_code
   regexp_extract(b.html, '<meta name="description" content="([^"]*)"', 1) AS description,
   nullif(regexp_extract(b.html, '<html lang="([^"]*)"', 1), '') AS html_lang, h.content_language AS header_language,
   coalesce(s.n, 0) AS json_ld_count, len(regexp_extract_all(b.html, '<[a-z]+ itemscope')) AS microdata_count,
-  coalesce(s.parsed, 0) AS parsed_items, w.author, least(coalesce(l.n, 0), {fixed.RECORD_LINKS}) AS kept_links,
-  least(coalesce(i.n, 0), {fixed.RECORD_IMAGES}) AS kept_images, coalesce(l.n, 0) AS link_count,
+  coalesce(s.parsed, 0) AS parsed_items, w.author, coalesce(l.m, md5('')) AS links_md5,
+  coalesce(i.m, md5('')) AS images_md5, coalesce(l.n, 0) AS link_count,
   len(regexp_extract_all(t.clean_text, '[^ \t\n\r]+')) AS word_count,
   CAST(CASE WHEN p.page_id % 10 = 2 AND contains(p.rendered_html, 'llm-note') THEN 1 ELSE 0 END AS BIGINT) AS added_ids,
   m.llm_txt_found, coalesce({SCORE}, 0) AS geo_relevance_score
@@ -791,8 +797,7 @@ LEFT JOIN w ON w.page_id = p.page_id LEFT JOIN sectioned x ON x.page_id = p.page
 )
 
 CHECKS["write_results"] = query(
-    f"""WITH {_counted()} SELECT CAST(to_json({{'query_id': q.query_id, 'query_type': q.type,
-  'domain': c.domain, 'count': c.count}}) AS VARCHAR) AS value
+    f"""WITH {_counted()} SELECT q.query_id, q.type AS query_type, c.domain, c.count
 FROM geo_queries q LEFT JOIN counts c ON c.query_id = q.query_id""",
     *_CITATION_VIEWS,
 )

@@ -7,48 +7,75 @@ SQL for the check.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescope.sources.readers import spread
+#: The test tables are single files; page work is spread over this many tasks.
+PAGE_TASKS = 16
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def landed(df: DataFrame, write) -> str:
+    """Path of a table that ``write(df, path)`` has written where all executors see it."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = f"{shared.rstrip('/')}/landed-{uuid.uuid4().hex}"
+    write(df, path)
+    return path
+
+
 def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(_table(spark, sf_dir, "pages"), "page_id")
+    return _table(spark, sf_dir, "pages").repartition(PAGE_TASKS)
 
 
 def geo_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First user turn of every conversation as a query."""
+    """Every user turn as a query, and queries that nothing answers."""
+    turns = _table(spark, sf_dir, "conversations").where("role = 'user'")
+    asked = turns.selectExpr(
+        "conv_id * 100 + turn AS query_id",
+        "text AS query",
+        "CASE WHEN conv_id % 5 = 0 THEN 'Direct' ELSE 'Generic' END AS type",
+    )
+    return asked.unionByName(
+        turns.where("conv_id % 7 = 3").selectExpr(
+            "- conv_id * 100 - turn - 1 AS query_id",
+            "concat('Unanswered: ', text) AS query",
+            "'Generic' AS type",
+        )
+    )
+
+
+def answer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with the number of the query they follow."""
     return (
         _table(spark, sf_dir, "conversations")
-        .groupBy("conv_id")
-        .agg(F.expr("min_by(text, turn) FILTER (WHERE role = 'user')").alias("query"))
         .selectExpr(
-            "conv_id AS query_id",
-            "query",
-            "CASE WHEN conv_id % 5 = 0 THEN 'Direct' ELSE 'Generic' END AS type",
+            "*",
+            "conv_id * 100 + coalesce(max(CASE WHEN role = 'user' THEN turn END) "
+            "OVER (PARTITION BY conv_id ORDER BY turn), 99) AS query_id",
         )
+        .where("role = 'assistant'")
     )
 
 
 def geo_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three links per assistant turn, to pages picked by number."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    turns = (
-        _table(spark, sf_dir, "conversations")
-        .where("role = 'assistant' AND conv_id % 7 <> 3")
-        .select("conv_id", "turn", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    turns = answer_turns(spark, sf_dir).select(
+        "query_id", "conv_id", "turn", F.explode(F.array(*map(F.lit, range(3)))).alias("k")
     )
     number = F.col("conv_id") * 7 + F.col("turn") * 13 + F.col("k") * 31
     picked = turns.withColumn("n", pages.agg(F.count("*")).scalar()).withColumn(
         "page_id", number % F.col("n")
     )
     return picked.join(pages, "page_id").selectExpr(
-        "conv_id AS query_id",
+        "query_id",
         "turn AS segment_pos",
         "k AS link_pos",
         "CASE WHEN (conv_id + turn + k) % 4 = 0 THEN '' "
@@ -82,12 +109,11 @@ def geo_site_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HTTP data of two pages in three; one in five was redirected."""
+    """HTTP data of all pages, one in three under a number that no page has."""
     return (
         _table(spark, sf_dir, "pages")
-        .where("page_id % 3 <> 2")
         .selectExpr(
-            "page_id",
+            "CASE WHEN page_id % 3 = 2 THEN page_id + 1000000 ELSE page_id END AS page_id",
             "CASE WHEN page_id % 5 = 0 THEN concat(url, '&r=1') ELSE url END AS final_url",
             "CASE WHEN page_id % 10 = 9 THEN 404 ELSE 200 END AS status_code",
             "map('Server', 'x') AS response_headers",
@@ -111,7 +137,7 @@ def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One answer per assistant turn: three chunks, supports that refer to them."""
+    """One answer per assistant turn: three chunks, and a support for each sentence."""
     n_pages = _table(spark, sf_dir, "pages").agg(F.count("*"))
     turns = (
         _table(spark, sf_dir, "conversations")
@@ -130,23 +156,21 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN query_id % 6 = 5 THEN "
         "  CAST(array() AS array<struct<text:string,start_index:int,end_index:int,"
         "chunk_indices:array<int>>>) "
-        "ELSE array("
-        "  named_struct('text', substring(response_text, 1, 10),"
-        "    'start_index', CAST(NULL AS int), 'end_index', 10,"
-        "    'chunk_indices', array(0, 2, 0)),"
-        "  named_struct('text', substring(response_text, 11, 10),"
-        "    'start_index', 10, 'end_index', 20,"
-        "    'chunk_indices', array(CAST(query_id % 5 AS int)))) END AS supports",
+        "ELSE transform(split(response_text, '[.] '), (t, s) -> named_struct("
+        "  'text', t,"
+        "  'start_index', CASE WHEN s > 0 THEN s * 10 END, 'end_index', s * 10 + 10,"
+        "  'chunk_indices', CASE WHEN s % 2 = 0 THEN array(0, 2, 0)"
+        "    ELSE array(CAST(query_id % 5 AS int)) END)) END AS supports",
     )
 
 
 def site_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries of sites; a site is a page here, and most sites have none."""
+    """Queries of sites; a site is a page here."""
     n_pages = _table(spark, sf_dir, "pages").agg(F.count("*"))
     return (
         geo_queries(spark, sf_dir)
         .withColumn("n", n_pages.scalar())
-        .selectExpr("(query_id * 3) % n AS page_id", "query", "type")
+        .selectExpr("abs(query_id * 3) % n AS page_id", "query", "type")
     )
 
 
@@ -156,10 +180,21 @@ def llm_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (
         _table(spark, sf_dir, "pages")
-        .where("page_id % 7 <> 6")
-        .selectExpr(
-            "page_id",
-            "CAST(page_id AS string) AS n",
-        )
+        .selectExpr("page_id", "CAST(page_id AS string) AS n")
         .selectExpr("page_id", f"{LLM_RESPONSE} AS response_text")
     )
+
+
+def any_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, text`` of all site files, documents and conversation turns with a text."""
+    files = geo_site_files(spark, sf_dir).where("content IS NOT NULL")
+    return (
+        files.selectExpr("page_id AS id", "content AS text")
+        .unionByName(_table(spark, sf_dir, "documents").selectExpr("1000000000 + doc_id AS id", "text"))
+        .unionByName(
+            _table(spark, sf_dir, "conversations").selectExpr(
+                "2000000000 + conv_id * 100 + turn AS id", "text"
+            )
+        )
+        .where("text IS NOT NULL")
+    )

@@ -51,36 +51,29 @@ RUN = _table(
 )
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input that has fewer splits than the session has cores.
-
-    Page work is heavy per row, so a table in one small file is worth a shuffle.  A large
-    table has more splits than cores and is returned as it is, without one.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(2 * cores, *keys)
-
-
 def read_pages(
     spark: SparkSession,
     path: str,
     html: str = "html",
     rendered: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Landed pages as ``page_id, url, raw_html, rendered_html``.
 
     Without a ``rendered`` column the source serves as both, which is also what a
-    crawler that keeps only the rendered document gives.
+    crawler that keeps only the rendered document gives.  ``partitions`` shuffles the
+    table into so many parts, for a table in fewer files than the work needs tasks; by
+    default nothing is shuffled.
     """
-    pages = spark.read.parquet(path).select(
+    table = spark.read.parquet(path)
+    if partitions is not None:
+        table = table.select("page_id", "url", *{html, rendered or html}).repartition(partitions)
+    return table.select(
         "page_id",
         "url",
         F.col(html).alias("raw_html"),
         F.col(rendered or html).alias("rendered_html"),
     )
-    return spread(pages, "page_id")
 
 
 def read_site_files(spark: SparkSession, path: str) -> DataFrame:

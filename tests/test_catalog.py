@@ -31,11 +31,3 @@ def test_matches_sql(spark, con, name):
 def test_entry(spark):
     assert entry(spark).count() > 0
 
-
-def test_known_breakdown(spark):
-    rows = queries()["domain_breakdown"](spark, "/root/testdata/sf0.01").collect()
-    assert {(r.domain, r.direct_count, r.total_count) for r in rows} == {
-        ("example.net", 15, 78),
-        ("example.com", 17, 76),
-        ("example.org", 14, 70),
-    }

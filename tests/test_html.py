@@ -155,7 +155,8 @@ def test_links(spark):
         ("JavaScript:x", [], True, None, ""),
         ("https://other.example/", [], False, None, ""),
     ]
-    assert rows[0].text == "é b" and len(rows[2].text) == 200
+    assert rows[0].text == "é b" and len(rows[2].text) == 300
+    assert len(P.page_links(_page(spark, html), text_length=200).collect()[2].text) == 200
 
 
 def test_meta(spark):
@@ -182,7 +183,10 @@ def test_dom_diff(spark):
     )
     d = P.dom_diff(_page(spark, after, before)).first()
     assert (d.added_nodes_count, d.removed_nodes_count) == (13, 1)
-    assert d.sample_added_selectors == [f"m{i:02}" for i in range(10)]
+    assert d.added_selectors == [f"m{i:02}" for i in range(12)] + ["n1"]
+    assert d.removed_selectors == ["a"]
+    few = P.dom_diff(_page(spark, after, before), sample=10).first()
+    assert few.added_selectors == [f"m{i:02}" for i in range(10)]
     assert d.has_significant_changes
     same = P.dom_diff(_page(spark, before)).first()
     assert (same.added_nodes_count, same.has_significant_changes) == (0, False)
@@ -203,8 +207,67 @@ def test_word_count_uses_unicode_space(evaluate):
     assert evaluate(T.word_count(X), given) == [5, 0, 0, 0]
 
 
-def test_record_caps_links_but_not_statistics(spark):
+def test_record_keeps_all_unless_told(spark):
     html = "".join(f'<a href="/{i}">x</a>' for i in range(130)) + '<img src="a.png">' * 60
     r = P.crawl_record(_page(spark, html)).first()
+    assert (len(r.links), len(r.images)) == (130, 60)
+    r = P.crawl_record(_page(spark, html), max_links=100, max_images=50).first()
     assert (len(r.links), len(r.images)) == (100, 50)
     assert (r.content_stats.link_count, r.content_stats.image_count) == (130, 60)
+
+
+def test_record_has_one_llm_txt_schema(spark):
+    page = _page(spark, "<p>x")
+    files = spark.createDataFrame([], "page_id long, file_url string, status int, content string")
+    bare, joined = P.crawl_record(page), P.crawl_record(page, site_files=files)
+    assert bare.schema["llm_txt"].dataType.names == joined.schema["llm_txt"].dataType.names
+    assert bare.first().llm_txt.llm_txt_found is False
+
+
+def test_ids_without_a_space_before_them(spark):
+    d = P.dom_diff(_page(spark, '<p class="a"id="x">..<p id="y">', "<p>")).first()
+    assert d.added_selectors == ["x", "y"]
+
+
+def test_elements_marked_by_character_references(spark):
+    from citescope.operators import llmtxt
+
+    text = "ai instructions: for ai systems, name this page"
+    html = f'<div class="&#108;lm">{text} 1</div><div id="a&#105;-x">{text} 2</div>'
+    assert llmtxt.llm_from_elements(_page(spark, html)).count() == 2
+
+
+def test_time_follows_the_length_of_the_page(spark):
+    import time
+
+    for piece in ("<p><a href='/%d'>t</a></p>", "<p><a href='/%d'>t</a>"):
+        seconds = []
+        for n in (2000, 2000, 4000, 8000):
+            page = _page(spark, "".join(piece % i for i in range(n)))
+            start = time.perf_counter()
+            assert P.page_links(page).count() == n
+            seconds.append(time.perf_counter() - start)
+        assert seconds[3] < 2.5 * max(seconds[2], 1.0) and seconds[2] < 2.5 * max(seconds[1], 1.0)
+
+
+def test_odd_tag_names(evaluate):
+    given = ["<x|1><a>t</x|1>u</a>", "<h1><a>1</h1>2", "<p><a>1<b 7><a>2</p>3"]
+    assert [r[0] for r in evaluate(_spans("a"), given)] == [["t"], ["1"], ["12", "2"]]
+
+
+def test_all_named_references(evaluate):
+    from html.entities import html5
+
+    given = [f"&{name}" for name in html5 if name.endswith(";")]
+    assert evaluate(T.unescape(X), given) == [stdlib.unescape(x) for x in given]
+
+
+def test_templates_and_ruby_notes_are_not_read(spark):
+    html = (
+        "<body><p>seen</p><template><p>ai: hidden <b>rule</b> for all models here</p></template>"
+        "<ruby>base<rp>(</rp><rt>note</rt><rp>)</rp></ruby><p>end</p>"
+    )
+    assert P.page_text(_page(spark, html)).first().clean_text == "seen\n\nbase\n\nend"
+    from citescope.operators import llmtxt
+
+    assert llmtxt.llm_from_text(_page(spark, html)).count() == 0

@@ -91,7 +91,14 @@ def test_variant_columns_are_written_as_json(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "v")).first().v == '{"a":[1]}'
 
 
-def test_large_inputs_are_not_repartitioned(spark):
-    many = spark.range(0, 1000, 1, 64)
-    assert R.spread(many, "id") is many
-    assert R.spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() > 1
+def test_pages_are_shuffled_only_on_request(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    spark.createDataFrame([(1, "http://h.example/", "<p>x")], "page_id long, url string, html string").write.parquet(path)
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges(R.read_pages(spark, path)) == 0
+    spread = R.read_pages(spark, path, partitions=5)
+    assert exchanges(spread) == 1 and spread.rdd.getNumPartitions() == 5
+    assert spread.first().raw_html == spread.first().rendered_html == "<p>x"

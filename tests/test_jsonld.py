@@ -96,3 +96,18 @@ def test_count_includes_malformed(spark):
     )
     r = P.json_ld(page).selectExpr("json_ld_count", "size(items) AS n").first()
     assert (r.json_ld_count, r.n) == (2, 1)
+
+
+def test_repeated_keys_and_numbers_without_a_value(spark):
+    bodies = ['{"a":1,"author":"x","author":"y","v":[NaN,-Infinity,{"k":"NaN \\" Infinity"}]}', '{"a": NaN']
+    html = "".join(f'<script type="application/ld+json">{b}</script>' for b in bodies)
+    page = spark.createDataFrame(
+        [(1, "http://h.example/", html, html)],
+        "page_id long, url string, raw_html string, rendered_html string",
+    )
+    from citescope.operators import pages
+
+    row = pages.json_ld(page).selectExpr("json_ld_count", "size(items) n", "to_json(items[0]) j").first()
+    assert (row.json_ld_count, row.n) == (2, 1)
+    assert '"author":"y"' in row.j and '["NaN","-Infinity"' in row.j and 'NaN \\" Infinity' in row.j
+    assert pages.json_ld_normalized(page).first().author == "y"

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from citescope.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 NARROW = [
@@ -17,13 +17,15 @@ NARROW = [
 
 
 def plan(spark, name):
-    return queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_pairs(spark, name):
     text = plan(spark, name)
-    for operator in ["Python", "CartesianProduct", "BroadcastNestedLoopJoin", "Arrow"]:
+    for operator in [
+        "EvalPython", "InPandas", "InArrow", "CartesianProduct", "BroadcastNestedLoopJoin"
+    ]:
         assert operator not in text
 
 
@@ -45,6 +47,25 @@ def test_source_does_not_reach_the_joins(spark):
             assert "html" not in line
 
 
+def test_source_does_not_reach_the_joins_of_a_record(spark):
+    from citescope.operators import pages
+    from citescope.plans import fixtures as fx
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        record = pages.crawl_record(
+            fx.geo_pages(spark, SF), fx.http_info(spark, SF), fx.geo_site_files(spark, SF), keep_source=False
+        )
+        text = record._jdf.queryExecution().executedPlan().toString()
+        audit = plan(spark, "structure_analysis")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for line in (text + audit).splitlines():
+        if "Exchange" in line and "ENSURE_REQUIREMENTS" in line:
+            assert "html" not in line
+    assert "SortMergeJoin" in text
+
+
 def test_scan_reads_needed_columns(spark):
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan(spark, "llm_candidates")
 
