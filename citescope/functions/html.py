@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from citescope.functions import sql as F
 from citescope.functions.sql import Expr
-from citescope.functions.text import first, last, let, strip, unescape
+from citescope.functions.text import last, let, numeric_references, strip, unescape
 
 # Possessive quantifiers keep the matcher iterative (no stack growth on long tags) and
 # free of backtracking.
@@ -66,14 +66,27 @@ def _token(raw: Expr) -> Expr:
     )
 
 
-def tokens(html: Expr) -> Expr:
+def tokens(html: Expr, as_written: bool = False) -> Expr:
     """array<struct<kind, tag, raw>>; element *i* is the token at position *i*.
 
-    ``raw`` tokens are whole script and style elements, whose body is not markup.
+    ``raw`` tokens are whole script and style elements, whose body is not markup.  In texts
+    and start tags the rarer named references become numeric, unless ``as_written``.
     """
-    return F.transform(
+    found = F.transform(
         F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_TOKEN), F.lit(0)), _token
     )
+    if as_written:
+        return found
+    return F.transform(
+        found,
+        lambda t: F.struct(
+            t["kind"],
+            t["tag"],
+            F.when(t["kind"].isin("text", "start"), numeric_references(t["raw"]))
+            .otherwise(t["raw"])
+            .alias("raw"),
+        ),
+    )
 
 
 def elements(token_array: Expr, *tags: str) -> Expr:

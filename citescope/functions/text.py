@@ -114,10 +114,13 @@ def _named_references() -> dict[str, str]:
 
 
 def _further_references() -> dict[str, str]:
-    """All other named references of HTML5, which are rarer."""
+    """All other named references of HTML5, as numeric ones."""
     known = _named_references()
-    table = {f"&{name}": text for name, text in html5.items()}
-    return {key: text for key, text in table.items() if key not in known}
+    return {
+        f"&{name}": "".join(f"&#{ord(char)};" for char in text)
+        for name, text in html5.items()
+        if f"&{name}" not in known
+    }
 
 
 def _windows_controls() -> dict[str, str]:
@@ -156,12 +159,7 @@ def _decode_reference(piece: Expr) -> Expr:
         | (code > "0010FFFF")
         | code.between("0000D800", "0000DFFF")
     )
-    named = F.coalesce(
-        F.try_element_at(_literal_map(_named_references()), piece),
-        F.when(
-            piece.endswith(";"), F.try_element_at(_literal_map(_further_references()), piece)
-        ),
-    )
+    named = F.try_element_at(_literal_map(_named_references()), piece)
     return (
         F.when(~piece.startswith("&") | (piece == "&"), piece)
         .when(~piece.startswith("&#"), F.coalesce(named, piece))
@@ -174,8 +172,36 @@ def _decode_reference(piece: Expr) -> Expr:
     )
 
 
+def numeric_references(text: Expr) -> Expr:
+    """Text whose rarer named references, some two thousand, are numeric ones.
+
+    Done once per page, where it is cut into tokens, so that ``unescape``, which stands in
+    many expressions, can do with the classic names.
+    """
+    return let(
+        text,
+        lambda t: F.when(~t.contains("&"), t).otherwise(
+            F.array_join(
+                F.transform(
+                    F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)),
+                    lambda piece: F.when(
+                        piece.rlike("^&[a-zA-Z].*;$"),
+                        F.coalesce(
+                            F.try_element_at(_literal_map(_further_references()), piece), piece
+                        ),
+                    ).otherwise(piece),
+                ),
+                "",
+            )
+        ),
+    )
+
+
 def unescape(text: Expr) -> Expr:
-    """Decode character references; text without ``&`` is passed through."""
+    """Decode character references; text without ``&`` is passed through.
+
+    Of named references, the classic ones; see ``numeric_references``.
+    """
     return let(
         text,
         lambda t: F.when(~t.contains("&"), t).otherwise(

@@ -72,7 +72,7 @@ def _rows(df: DataFrame, structs: Expr) -> DataFrame:
 
 def page_tokens(pages: DataFrame) -> DataFrame:
     """One row per token: ``page_id, pos, kind, tag, attrs, text``."""
-    rows = _rows(pages, H.tokens(RENDERED))
+    rows = _rows(pages, H.tokens(RENDERED, as_written=True))
     attrs = S.when(col("kind").isin("start", "raw"), H.attributes(col("raw")))
     return select(
         rows, "page_id", "pos", "kind", "tag", attrs.alias("attrs"), col("raw").alias("text")

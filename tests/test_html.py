@@ -259,7 +259,11 @@ def test_all_named_references(evaluate):
     from html.entities import html5
 
     given = [f"&{name}" for name in html5 if name.endswith(";")]
-    assert evaluate(T.unescape(X), given) == [stdlib.unescape(x) for x in given]
+    read = evaluate(H.joined_text(H.tokens(X)), given)
+    assert read == [stdlib.unescape(x) for x in given]
+    tagged = [f'<i title="{x}">' for x in given[:200]]
+    title = H.attribute(H.attributes(S.get(H.tokens(X), 0)["raw"]), "title")
+    assert evaluate(title, tagged) == [stdlib.unescape(x) for x in given[:200]]
 
 
 def test_templates_and_ruby_notes_are_not_read(spark):
