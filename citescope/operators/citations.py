@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from citescope.functions import fixed_values as fixed
 from citescope.functions import sql as S
-from citescope.functions.sql import col, select
+from citescope.functions.sql import Expr, col, select
 from citescope.functions.urls import normalize_domain, url_netloc
 from citescope.operators.query_sets import percent_of, query_type_summary
 
@@ -56,24 +56,46 @@ def resolve_chunks(answers: DataFrame, redirects: DataFrame) -> DataFrame:
     )
 
 
-def ground_segments(answers: DataFrame) -> DataFrame:
-    """Supported segments with their sources, one row per segment and link.
-
-    ``query_id, segment_pos, text, start_index, end_index, link_pos, title,
-    redirect_url``; a segment without a usable link keeps one row with null link
-    columns.  Chunks are looked up inside the answer's own row, so nothing is shuffled.
-    Unknown chunk numbers are dropped; order and repeats are kept.
-    """
-    links = S.filter(
+def _segment_chunks(support: Expr) -> Expr:
+    """The usable chunks a support refers to, looked up in the answer's own row."""
+    return S.filter(
         S.transform(
             S.filter(
-                S.col("s.chunk_indices"),
+                support["chunk_indices"],
                 lambda i: (i >= 0) & (i < S.size(col("chunks"))),
             ),
             lambda i: S.get(col("chunks"), i),
         ),
         lambda c: c["uri"].isNotNull(),
     )
+
+
+def grounding(answers: DataFrame) -> DataFrame:
+    """``query_id, response_text, segments``: each answer with its segments and their links."""
+    segments = S.transform(
+        col("supports"),
+        lambda s: S.struct(
+            s["text"],
+            s["start_index"],
+            s["end_index"],
+            S.transform(
+                _segment_chunks(s),
+                lambda c: S.struct(c["title"], c["uri"].alias("redirect_url")),
+            ).alias("links"),
+        ),
+    )
+    return select(answers, "query_id", "response_text", segments.alias("segments"))
+
+
+def ground_segments(answers: DataFrame) -> DataFrame:
+    """Supported segments with their sources, one row per segment and link.
+
+    ``query_id, segment_pos, text, start_index, end_index, link_pos, title,
+    redirect_url``; a segment without a usable link keeps one row with null link
+    columns.  Chunks are looked up inside the answer's own row, so nothing is shuffled.
+    Unknown chunk numbers are dropped; order and repeats are kept.
+    """
+    links = _segment_chunks(S.col("s"))
     segments = answers.select(
         "query_id", "chunks", F.posexplode("supports").alias("segment_pos", "s")
     )
@@ -263,10 +285,11 @@ def query_details(
     answers: DataFrame,
     query: str | None = None,
 ) -> DataFrame:
-    """Type, answer text and domain counts of a query (of all queries if not given).
+    """One row per query (or for one query): type, answer, segments, domains in order.
 
-    Of queries with equal text the first one answers.  The filter on the text reaches
-    the scan of ``queries``.
+    ``domains`` is array<struct<rank, domain, count>>.  ``segments`` is there if the answers
+    have ``chunks`` and ``supports``.  Of queries with equal text the first one answers; the
+    filter on the text reaches the scan of ``queries``.
     """
     chosen = queries
     if query is not None:
@@ -275,12 +298,21 @@ def query_details(
             .orderBy("query_id")
             .limit(1)
         )
-    texts = answers.select("query_id", "response_text")
+    grounded = {"chunks", "supports"} <= set(answers.columns)
+    texts = grounding(answers) if grounded else answers.select("query_id", "response_text")
+    # a query's domains are no more than its links
+    listed = ranked_counts(counts).groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "domain", "count"))).alias("domains")
+    )
     return (
         chosen.select("query_id", "query", F.col("type").alias("query_type"))
         .join(texts, "query_id", "left")
         .withColumn("response_text", F.coalesce("response_text", F.lit("")))
-        .join(counts, "query_id", "left")
+        .join(listed, "query_id", "left")
+        .withColumn(
+            "domains",
+            F.coalesce("domains", F.expr("CAST(array() AS array<struct<rank:bigint,domain:string,count:bigint>>)")),
+        )
     )
 
 

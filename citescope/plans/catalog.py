@@ -651,14 +651,18 @@ def domain_totals(spark, sf_dir):
 
 @registered
 def query_details(spark, sf_dir):
-    answers = fx.answer_turns(spark, sf_dir).groupBy("query_id").agg(
-        F.concat(F.lit("Re: "), F.min("turn")).alias("response_text")
-    )
-    details = citations.query_details(
-        fx.geo_queries(spark, sf_dir), _counts(spark, sf_dir), answers
-    )
-    return details.select(
-        "query_id", "query_type", "response_text", "domain", "count"
+    """Details of every answered turn: its text, grounded segments and cited domains."""
+    answers = fx.answers(spark, sf_dir)
+    queries = answers.selectExpr("query_id", "response_text AS query", "'Generic' AS type")
+    links = citations.answer_links(answers, fx.redirects(spark, sf_dir))
+    counts = citations.domain_counts(citations.extract_domains(links))
+    details = citations.query_details(queries, counts, answers)
+    return details.selectExpr(
+        "query_id", "query_type", "response_text",
+        "size(segments) AS segments",
+        "aggregate(segments, 0, (n, s) -> n + size(s.links)) AS links",
+        "array_join(transform(segments, s -> s.text), '|') AS segment_texts",
+        "array_join(transform(domains, d -> concat(d.rank, ' ', d.domain, ' ', d.count)), '|') AS domains",
     )
 
 

@@ -742,11 +742,19 @@ CHECKS["domain_totals"] = query(
     *_CITATION_VIEWS,
 )
 CHECKS["query_details"] = query(
-    f"""WITH {_counted()} SELECT q.query_id, q.type AS query_type,
-  coalesce(a.response_text, '') AS response_text, c.domain, c.count
-FROM geo_queries q LEFT JOIN (SELECT query_id, concat('Re: ', min(turn)) AS response_text FROM answer_turns
-  WHERE role = 'assistant' GROUP BY query_id) a ON a.query_id = q.query_id LEFT JOIN counts c ON c.query_id = q.query_id""",
-    *_CITATION_VIEWS,
+    f"""WITH cited AS (SELECT g.query_id, g.segment_pos, g.link_pos,
+    coalesce(nullif({domain('g.title')}, ''), nullif({domain(netloc('r.actual_url'))}, '')) AS domain
+  FROM grounded g LEFT JOIN redirects r ON r.redirect_url = g.redirect_url),
+c AS (SELECT query_id, domain, count(*) AS n, min(segment_pos * 1000 + link_pos) AS seen FROM cited
+  WHERE domain IS NOT NULL GROUP BY query_id, domain),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, seen, domain) AS rank FROM c),
+d AS (SELECT query_id, string_agg(concat(rank, ' ', domain, ' ', n), '|' ORDER BY rank) AS domains FROM ranked GROUP BY query_id),
+s AS (SELECT query_id, count(*) AS n, string_agg(text, '|' ORDER BY segment_pos) AS texts FROM supports GROUP BY query_id),
+l AS (SELECT query_id, count(*) AS n FROM grounded GROUP BY query_id)
+SELECT t.query_id, 'Generic' AS query_type, t.response_text, coalesce(s.n, 0) AS segments, coalesce(l.n, 0) AS links,
+  coalesce(s.texts, '') AS segment_texts, coalesce(d.domains, '') AS domains
+FROM turns t LEFT JOIN s ON s.query_id = t.query_id LEFT JOIN l ON l.query_id = t.query_id LEFT JOIN d ON d.query_id = t.query_id""",
+    "grounded", "redirects", "turns",
 )
 CHECKS["top_domains"] = query(
     f"""WITH {_breakdown('', _HOST)} SELECT domain, direct_percentage, generic_percentage FROM breakdown
