@@ -343,6 +343,7 @@ REPORT_COLUMNS = {
     "section": "string",
     "item": "string",
     "kind": "string",
+    "query_id": "bigint",
     "direct_count": "bigint",
     "generic_count": "bigint",
     "total_count": "bigint",
@@ -352,16 +353,20 @@ REPORT_COLUMNS = {
 }
 
 
-def aggregate_results(queries: DataFrame, counts: DataFrame) -> DataFrame:
+def aggregate_results(
+    queries: DataFrame, counts: DataFrame, by: tuple[str, ...] = ()
+) -> DataFrame:
     """Everything the results page shows, as rows of one report table.
 
     Sections ``query``, ``query_types``, ``domain_percentages`` and
-    ``domain_breakdown``.  Rows instead of one bundled document, so that a report of
-    many queries is still written in parallel.
+    ``domain_breakdown``; with ``by`` (a run, a site or its address) one report for each
+    group, which its columns name.  Rows instead of one bundled document, so that a report
+    of many queries is still written in parallel.
     """
 
     def section(name: str, df: DataFrame) -> DataFrame:
         return df.select(
+            *by,
             *[
                 (
                     F.lit(name)
@@ -371,24 +376,29 @@ def aggregate_results(queries: DataFrame, counts: DataFrame) -> DataFrame:
                 .cast(type_name)
                 .alias(c)
                 for c, type_name in REPORT_COLUMNS.items()
-            ]
+            ],
         )
 
-    types = query_type_summary(queries).select(
+    types = query_type_summary(queries, by).select(
+        *by,
         F.col("direct").alias("direct_count"),
         F.col("generic").alias("generic_count"),
         F.col("total").alias("total_count"),
         "direct_percentage",
         "generic_percentage",
     )
-    percentages = domain_percentages(queries, counts).select(
+    percentages = domain_percentages(queries, counts, by).select(
+        *by,
         F.col("domain").alias("item"),
         F.col("query_count").alias("total_count"),
         F.col("percentage").alias("total_percentage"),
     )
-    breakdown = domain_breakdown(queries, counts).withColumnRenamed("domain", "item")
+    breakdown = domain_breakdown(queries, counts, by).withColumnRenamed("domain", "item")
+    listed = queries.select(
+        *by, "query_id", F.col("query").alias("item"), F.col("type").alias("kind")
+    )
     return (
-        section("query", queries.select(F.col("query").alias("item"), F.col("type").alias("kind")))
+        section("query", listed)
         .unionByName(section("query_types", types))
         .unionByName(section("domain_percentages", percentages))
         .unionByName(section("domain_breakdown", breakdown))

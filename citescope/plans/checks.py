@@ -768,12 +768,12 @@ CHECKS["query_domain_chart"] = query(
 _NULLS = "CAST(NULL AS DOUBLE)"
 CHECKS["aggregate_results"] = query(
     f"""WITH {_breakdown()}, types AS ({_types('geo_queries')})
-SELECT 'query' AS section, query AS item, type AS kind, CAST(NULL AS BIGINT) AS direct_count, CAST(NULL AS BIGINT) AS generic_count,
+SELECT 'query' AS section, query AS item, type AS kind, query_id, CAST(NULL AS BIGINT) AS direct_count, CAST(NULL AS BIGINT) AS generic_count,
   CAST(NULL AS BIGINT) AS total_count, {_NULLS} AS direct_percentage, {_NULLS} AS generic_percentage, {_NULLS} AS total_percentage FROM geo_queries
-UNION ALL SELECT 'query_types', NULL, NULL, direct, generic, total, direct_percentage, generic_percentage, NULL FROM types
-UNION ALL SELECT 'domain_percentages', domain, NULL, NULL, NULL, count(*), NULL, NULL,
+UNION ALL SELECT 'query_types', NULL, NULL, NULL, direct, generic, total, direct_percentage, generic_percentage, NULL FROM types
+UNION ALL SELECT 'domain_percentages', domain, NULL, NULL, NULL, NULL, count(*), NULL, NULL,
   {percent('count(*)', '(SELECT count(*) FROM geo_queries)')} FROM counts GROUP BY domain
-UNION ALL SELECT 'domain_breakdown', domain, NULL, direct_count, generic_count, total_count,
+UNION ALL SELECT 'domain_breakdown', domain, NULL, NULL, direct_count, generic_count, total_count,
   direct_percentage, generic_percentage, total_percentage FROM breakdown""",
     *_CITATION_VIEWS,
 )
