@@ -26,8 +26,8 @@ from citescope.llm import words as W
 from citescope.llm.bins import RoomTree
 from citescope.llm.shared import Scratch
 
-#: Distinct words, and half as many runs, that a worker remembers before it starts anew.
-CACHED = 1 << 19
+#: Distinct words and runs of characters that a worker remembers before it starts anew.
+CACHED = 3 << 17
 #: The character that stands for each byte in a byte-level vocabulary: printable ones of
 #: Latin-1 for themselves, the others in order from U+0100 on.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -63,8 +63,8 @@ class Ids:
         self.pattern = regex.compile(pattern) if drops and plain else None
         spaces = [c for c in map(chr, range(0x3001)) if c.isspace() != bool(regex.match(r"\s", c))]
         self.whole_if = [t["content"] for t in found.get("added_tokens", [])] + spaces
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        #: Words, and runs of several words; a run that is one word is the same entry.
+        self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -79,12 +79,10 @@ class Ids:
         return b"".join(map(self._whole, self.pattern.findall(run)))
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        found = self.known.get(word)
         if found is None:
-            if len(self.words) > CACHED:
-                self.words.clear()
             tokens = self.tokenizer.model.tokenize("".join([BYTE_CHARACTERS[b] for b in word.encode()]))
-            found = self.words[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            found = self.known[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
         return found
 
     def __call__(self, text: str) -> bytes:
@@ -94,11 +92,11 @@ class Ids:
             text = unicodedata.normalize("NFC", text)
         # Lower case goes letter by letter; only sigma has a form that depends on neighbours.
         found = (text.lower() if "Σ" not in text else "".join(map(str.lower, text))).split()
-        known = self.runs
+        known = self.known
         try:
             return b"".join([known[r] for r in found])
         except KeyError:
-            if len(known) > CACHED // 2:
+            if len(known) > CACHED:
                 known.clear()
             for r in found:
                 if r not in known:
