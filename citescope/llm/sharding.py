@@ -2,7 +2,8 @@
 
 Groups of equal texts stay together.  The few groups that hold a large share of all bytes
 are items by themselves; all others are put by hash into parcels of texts of about the same
-size.  So the number of items is bounded by parameters, whatever the number of documents,
+size.  Each size class has as many parcels as keep their average to a small part of a shard's
+bytes.  So the number of items is bounded by parameters, whatever the number of documents,
 and best-fit-decreasing packs them on the driver: items by decreasing size enter the
 shard with the least remaining capacity that has room, found in a balanced tree.  The
 smallest capacity that needs no more than the given shards is found by halving; small
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from citescope.llm.bins import best_fit_decreasing
 from citescope.llm.shared import Scratch
 
-#: Parcels per class of text sizes, and the share of a shard that makes a group an item.
+#: Least parcels per class of text sizes, and the share of a shard that makes a group an item.
 PARCELS, LARGE = 64, 64
+#: The share of a shard that parcels of a class have on average at most.
+FINE = 256
 
 
 def pack(sizes: list[int], shards: int) -> list[int]:
@@ -52,12 +55,14 @@ def shard_groups(
     shards: int = 24,
     parcels: int = PARCELS,
     large: int = LARGE,
+    fine: int = FINE,
 ) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot``: one row for each row of ``docs``.
 
     ``size`` is the UTF-8 bytes of the text, none for null, plus 8.  Rows of equal text are
     in one shard, null and empty texts alike.  Shards are near equal in bytes: as long as no
-    group is larger than a shard's share, they differ by about the smallest parcels.
+    group is larger than a shard's share, they differ by about the smallest parcels, none of
+    which has much more than a shard's ``fine``-th part on average, however similar the sizes.
     ``slot`` numbers the rows of a shard from 0 without gaps, by slice, then number.
 
     Rows may repeat and numbers may be null; each row has a slot of its own.  Other columns
@@ -73,15 +78,19 @@ def shard_groups(
             F.crc32(text.cast("binary")).alias("text_crc32"),
             # Equal texts have equal hashes; different texts of one hash are one group.
             F.xxhash64(text).alias("text_hash"),
-            F.concat_ws(
-                ".",
-                F.floor(F.log2(size.cast("double"))).cast("int"),
-                F.pmod(F.xxhash64(text, F.lit(7)), F.lit(parcels)),
-            ).alias("parcel"),
+            F.xxhash64(text, F.lit(7)).alias("parcel_hash"),
+            F.floor(F.log2(size.cast("double"))).cast("int").alias("class"),
         ),
         "rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    classes = rows.groupBy("class").agg(F.sum("size").alias("bytes")).collect()
+    total = sum(r.bytes for r in classes)
+    # On average a parcel holds at most this much, so there are at most shards * fine and
+    # ``parcels`` for each class.
+    most = max(1, total // (shards * fine))
+    of_class = spark.createDataFrame(
+        [(r["class"], max(parcels, -(-r.bytes // most))) for r in classes], "class int, parcels long"
+    )
     least = max(1, math.ceil(total / (shards * large)))
     # A group is an item of its own if it holds this much, so there are at most shards * large.
     heavy = [
@@ -89,8 +98,11 @@ def shard_groups(
         for r in rows.groupBy("text_hash").agg(F.sum("size").alias("bytes")).where(F.col("bytes") >= least).collect()
     ]
     heavy_table = spark.createDataFrame([(h,) for h, _ in heavy], "text_hash long")
-    named = rows.join(F.broadcast(heavy_table.withColumn("own", F.lit("group"))), "text_hash", "left").withColumn(
-        "item", F.when(F.col("own").isNotNull(), F.concat(F.lit("="), "text_hash")).otherwise(F.col("parcel"))
+    parcel = F.concat_ws(".", "class", F.pmod("parcel_hash", "parcels"))
+    named = (
+        rows.join(F.broadcast(of_class), "class")
+        .join(F.broadcast(heavy_table.withColumn("own", F.lit("group"))), "text_hash", "left")
+        .withColumn("item", F.when(F.col("own").isNotNull(), F.concat(F.lit("="), "text_hash")).otherwise(parcel))
     )
     items = sorted((r.item, r.bytes) for r in named.groupBy("item").agg(F.sum("size").alias("bytes")).collect())
     places = pack([b for _, b in items], shards)

@@ -440,6 +440,20 @@ def test_shards_of_awkward_rows(spark):
     assert sharding.shard_groups(empty(spark)).collect() == []
 
 
+def test_shards_of_texts_of_similar_length(spark):
+    from pyspark.sql import functions as F
+
+    for low, high in ((2990, 3010), (2100, 4000)):
+        texts = spark.range(0, 100_000, 1, 8).select(
+            F.col("id").alias("doc_id"),
+            F.rpad(F.col("id").cast("string"), low + F.pmod(F.xxhash64("id"), F.lit(high - low)).cast("int"), F.lit("x")).alias("text"),
+        )
+        rows = sharding.shard_groups(texts, shards=24)
+        size = {r.shard: (r.bytes, r.n) for r in rows.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
+        assert len(size) == 24 and sum(n for _, n in size.values()) == 100_000
+        assert max(b for b, _ in size.values()) <= 1.01 * min(b for b, _ in size.values())
+
+
 def test_sequences_of_awkward_rows(spark):
     import public_tokenizers
 
