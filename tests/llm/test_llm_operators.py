@@ -307,6 +307,46 @@ def test_license_scan(spark):
     assert license_scan.license_scan(empty(spark), templates).collect() == []
 
 
+def shares_by_force(text, notices, n=5):
+    """For each notice the share of its runs of words anywhere in the text, and the shortest stretch."""
+    def runs(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [tuple(w)] * bool(w)
+
+    own, out = runs(text), {}
+    for i, notice in notices:
+        wanted = set(runs(notice))
+        found = wanted & set(own)
+        if 100 * len(found) >= 80 * len(wanted):
+            at = [p for p, r in enumerate(own) if r in found]
+            _, first, last = min((b - a, a, b) for a in at for b in at if a <= b and found <= set(own[a : b + 1]))
+            out[i] = (100 * len(found) // len(wanted), first, last + n - 1)
+    return out
+
+
+def test_license_notices_with_words_inserted(spark):
+    from citescope.llm.checks import NOTICES
+
+    rng = random.Random(9)
+    texts = []
+    for i, notice in NOTICES:
+        w = notice.split()
+        for before in (0, 25, 31, rng.randrange(200)):
+            for inserted in (0, 15, 40, 300):
+                cut = rng.randint(1, len(w) - 1) if before > 31 else len(w) // 2
+                middle = [prose(rng.randrange(10**6), inserted)] if inserted else []
+                start = [prose(rng.randrange(10**6), before)] if before else []
+                texts.append(" ".join([*start, *w[:cut], *middle, *w[cut:]]))
+    texts.append(" ".join([NOTICES[8][1], prose(1, 60), NOTICES[8][1], NOTICES[0][1], "under", NOTICES[1][1]]))
+    templates = spark.createDataFrame(NOTICES, "template_id string, text string")
+    for block_bytes in (100, 8 << 20):
+        found = license_scan.license_scan(documents(spark, list(enumerate(texts))), templates, block_bytes=block_bytes)
+        rows = {r.doc_id: {m.template_id: (m.per_cent, m.first, m.last) for m in r.matches} for r in found.collect()}
+        assert rows == {k: shares_by_force(t, NOTICES) for k, t in enumerate(texts)}
+    permission = [rows[8 * 16 + k] for k in range(12)]
+    assert all(r["mit-permission"][0] == (100 if k % 4 == 0 else 84) for k, r in enumerate(permission))
+
+
 # --- models
 
 
