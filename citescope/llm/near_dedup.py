@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,19 +123,25 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(n: int, percent: int):
-    """Keeps the pairs that are similar; the rows of one hub mostly come one after another."""
+    """Keeps the pairs that are similar; the rows of one hub mostly come one after another.
+
+    A set is made anew where the text of the hub changes, not its number: a number may stand
+    in several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, None
+        last, hub_set = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hubs = batch.column("hub").to_pylist()
+            texts = batch.column("hub_text")
+            changed = np.ones(batch.num_rows, dtype=bool)
+            changed[0] = hub_set is None or texts[0].as_py() != last
+            changed[1:] = pc.not_equal(texts.slice(1), texts.slice(0, batch.num_rows - 1)).fill_null(True)
+            last = texts[batch.num_rows - 1].as_py()
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i, member in enumerate(W.shingle_sets(batch.column("text"), n)):
-                if hubs[i] != hub:
-                    hub = hubs[i]
-                    hub_set = next(W.shingle_sets(batch.column("hub_text").slice(i, 1), n))
+                if changed[i]:
+                    hub_set = next(W.shingle_sets(texts.slice(i, 1), n))
                 keep[i] = similar(member, hub_set, percent)
             rows = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays(

@@ -129,6 +129,16 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert not {2, 3, 4, 10} & {r.doc_id for r in kept.collect()}
 
 
+def test_a_hub_number_with_several_texts_is_confirmed_with_each():
+    first, second = prose(60, 80), prose(61, 80)
+    rows = [(2, 1, first, first), (2, 1, first, second), (3, 1, second, first), (3, 1, second, second), (4, 1, second, None), (5, 6, second, second)]
+    columns = dict(zip(("doc_id", "hub", "text", "hub_text"), zip(*rows)))
+    batch = pa.RecordBatch.from_pydict(columns)
+    for batches in ([batch], [batch.slice(k, 1) for k in range(len(rows))], [batch.slice(0, 3), batch.slice(3)]):
+        found = [(r["u"], r["v"]) for b in near_dedup._confirm(5, 80)(iter(batches)) for r in b.to_pylist()]
+        assert found == [(2, 1), (3, 1), (5, 6)]
+
+
 def test_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
