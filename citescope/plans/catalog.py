@@ -487,6 +487,13 @@ def fill_recommendations(spark, sf_dir):
     return audit.recommendation_rows(audit.fill_recommendations(cut))
 
 
+@registered
+def fill_all_recommendations(spark, sf_dir):
+    """Every page with all its findings, filled to four."""
+    rules = audit.rule_recommendations(_analysis(spark, sf_dir))
+    return audit.recommendation_rows(audit.fill_recommendations(rules))
+
+
 @registered
 def parse_recommendations(spark, sf_dir):
     found = audit.parse_recommendations_strict(fx.llm_responses(spark, sf_dir))
