@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from citescope.llm import words as W
 
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 class TestBlock(NamedTuple):
@@ -77,10 +77,13 @@ def _numbers(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 def _suffixes(numbers: np.ndarray, at: np.ndarray, depth: int, fill: np.ndarray | None = None) -> np.ndarray:
     """The first ``depth`` words at each place as byte strings that sort like the words."""
     padded = np.concatenate([numbers, np.zeros(depth, dtype=np.uint32)])
-    table = padded[at[:, None] + np.arange(depth)]
-    if fill is not None:  # beyond a shorter window: all zeros or all ones
-        table = np.where(np.arange(depth) < fill[:, :1], table, fill[:, 1:].astype(np.uint32))
-    return np.ascontiguousarray(table.astype(">u4")).view(f"S{4 * depth}").ravel()
+    table = np.empty((len(at), depth), dtype=">u4")
+    for k in range(depth):
+        table[:, k] = padded[at + k]
+        if fill is not None:  # beyond a shorter window: all zeros or all ones
+            beyond = fill[:, 0] <= k
+            table[beyond, k] = fill[beyond, 1]
+    return table.view(f"S{4 * depth}").ravel()
 
 
 def matches(numbers: np.ndarray, firsts: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray]:

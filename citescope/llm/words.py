@@ -42,15 +42,24 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 _BASE = 0x5851F42D4C957F2D | 3  # odd, so it has an inverse modulo 2**64
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
-_LETTER = mix(np.arange(256), seed=77)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse."""
+@lru_cache(maxsize=4)
+def _letters(seed: int) -> np.ndarray:
+    """A number for each byte, A-Z as a-z."""
+    return mix(np.arange(256), seed=77 + seed)[LOWER]
+
+
+#: Bytes hashed at a time, whatever the length of a text.
+CHUNK_BYTES = 1 << 16
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to ``CHUNK_BYTES`` of the base and of its inverse."""
     out = []
     for base in (_BASE, _BASE_INVERSE):
-        a = np.full(n + 1, base, dtype=U64)
+        a = np.full(CHUNK_BYTES + 1, base, dtype=U64)
         a[0] = 1
         out.append(np.multiply.accumulate(a))
     return out[0], out[1]
@@ -84,11 +93,16 @@ def word_spans(
     """Start and end byte of each word, and for each text the number of its first word.
 
     The third has one number more than there are texts."""
-    inside = np.zeros(len(raw) + 2, dtype=bool)
-    inside[1:-1] = word[raw]
+    return spans(word[raw], ends)
+
+
+def spans(mask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for words that consist of the bytes that ``mask`` marks."""
+    inside = np.zeros(len(mask) + 2, dtype=bool)
+    inside[1:-1] = mask
     first = inside[1:-1] & ~inside[:-2]
     cuts = ends[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(raw))]
+    cuts = cuts[(cuts > 0) & (cuts < len(mask))]
     first[cuts] |= inside[1:-1][cuts]
     last = inside[1:-1] & ~inside[2:]
     last[cuts - 1] |= inside[1:-1][cuts - 1]
@@ -96,14 +110,48 @@ def word_spans(
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, ends)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+def strings(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """These spans of UTF-8 bytes, which do not overlap, as texts."""
+    edge = np.zeros(len(raw) + 1, dtype=np.int8)
+    np.add.at(edge, starts, 1)
+    np.subtract.at(edge, stops, 1)
+    data = np.ascontiguousarray(raw[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)])
+    ends = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(stops - starts, out=ends[1:])
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word, the same wherever the word stands; A-Z count as a-z."""
-    if not len(starts):
-        return np.zeros(0, dtype=U64)
-    up, down = _powers(1 << max(20, int(len(raw)).bit_length()))
-    sums = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(_LETTER[LOWER[raw]] * up[: len(raw)], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U64))
+    letters = _letters(seed)
+    out = np.zeros(len(starts), dtype=U64)
+    up, down = _powers()
+    sums = np.zeros(CHUNK_BYTES + 1, dtype=U64)
+    low = 0
+    while low < len(starts):
+        begin = int(starts[low])
+        high = int(np.searchsorted(stops, begin + CHUNK_BYTES, side="right"))
+        if high == low:
+            out[low] = _long_word(raw, begin, int(stops[low]), letters)
+            low += 1
+            continue
+        size = int(stops[high - 1]) - begin
+        np.cumsum(letters[raw[begin : begin + size]] * up[:size], out=sums[1 : size + 1])
+        at, to = starts[low:high] - begin, stops[low:high] - begin
+        out[low:high] = mix((sums[to] - sums[at]) * down[at] + (to - at).astype(U64))
+        low = high
+    return out
+
+
+def _long_word(raw: np.ndarray, begin: int, stop: int, letters: np.ndarray) -> np.uint64:
+    """The hash of one word of more bytes than are hashed at a time."""
+    up, _ = _powers()
+    total, power = 0, 1
+    for at in range(begin, stop, CHUNK_BYTES):
+        part = raw[at : min(at + CHUNK_BYTES, stop)]
+        total += int((letters[part] * up[: len(part)]).sum(dtype=U64)) * power
+        power = power * int(up[CHUNK_BYTES]) % 2**64
+    return mix(np.array([(total + stop - begin) % 2**64], dtype=U64))[0]
 
 
 def shingles(words: np.ndarray, firsts: np.ndarray, n: int) -> list[np.ndarray]:
