@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citescope.llm import (
+    collocations,
     decontaminate,
     exact_dedup,
     language,
     license_scan,
     line_dedup,
+    mixture,
     near_dedup,
     packing,
     quality,
     sharding,
+    spelling,
     toxicity,
 )
 from citescope.llm.checks import CHECKS, NOTICES
@@ -127,6 +130,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, the common form one edit away that each rare one has, and where forms lead."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5, typo_every=199)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of two or three words of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"), max_words=3, min_count=10, subsumed_percent=50, top=2000)
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2,048 tokens, each with every source's share of all tokens."""
+    import public_tokenizers
+
+    rows = mixture.pack_mixture(_table(spark, sf_dir, "documents"), tokenizer=str(public_tokenizers.path("byte_bpe_50k.json")), capacity=2048)
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_license_scan, op4_exact_dedup, op5_quality, op6_decontaminate, op7_language, op8_toxicity, op9_sharding, op10_best_fit_packing)
+    f.__name__: f for f in (op1_near_dedup, op2_line_dedup, op3_license_scan, op4_exact_dedup, op5_quality, op6_decontaminate, op7_language, op8_toxicity, op9_sharding, op10_best_fit_packing, op11_spelling, op12_collocations, op13_mixture_packing)
 }

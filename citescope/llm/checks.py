@@ -133,3 +133,74 @@ SELECT doc_id, count(template_id) AS n_licenses,
   CAST(coalesce(max(share), 0) AS BIGINT) AS best_per_cent
 FROM d LEFT JOIN found USING (doc_id) GROUP BY doc_id
 """
+
+CHECKS["op11_spelling"] = rf"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i::BIGINT AS v FROM range(0, 256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')), '{UPPER}', '{LOWER}') AS w
+  FROM documents),
+each AS (SELECT doc_id, w, count(*) AS k FROM runs WHERE length(w) >= 6 GROUP BY doc_id, w),
+hashed AS (
+  SELECT w, k, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || w, ''),
+      lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))),
+    lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8)), 4294967295) AS h
+  FROM each, tab),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN w[1 : h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word, k FROM hashed),
+vocabulary AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+edits AS (SELECT word, i, word[1 : i - 1] AS a, word[i + 1 :] AS b FROM places),
+pairs AS (
+  SELECT x.word AS u, y.word AS v FROM edits x JOIN edits y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, v.word FROM edits x JOIN vocabulary v ON v.word = x.a || x.b
+  UNION SELECT v.word, x.word FROM edits x JOIN vocabulary v ON v.word = x.a || x.b),
+ranked AS (
+  SELECT u AS word, v AS near, n AS near_n, count(*) OVER (PARTITION BY u) AS n_near,
+    row_number() OVER (PARTITION BY u ORDER BY n DESC, v) AS k
+  FROM pairs JOIN vocabulary ON word = v),
+forms AS (
+  SELECT a.word, a.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= 5 * a.n THEN near END AS form, CASE WHEN near_n >= 5 * a.n THEN near_n END AS form_n
+  FROM vocabulary a LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r USING (word)),
+walk AS (
+  SELECT word, form AS reached, 1 AS step FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON forms.word = walk.reached WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(reached, step) AS root FROM walk GROUP BY word)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM forms f LEFT JOIN roots USING (word)
+"""
+
+CHECKS["op12_collocations"] = rf"""
+WITH docs AS (SELECT coalesce(lang,'und') AS lang, translate(coalesce(text,''),'{UPPER}', '{LOWER}') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM docs),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f1 AS (SELECT lang, w[i] AS x, count(*) AS f FROM places GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS x, w[i+1] AS y, count(*) AS f FROM places WHERE i < len(w) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w[i] AS x, w[i+1] AS y, w[i+2] AS z, count(*) AS f FROM places WHERE i < len(w) - 1 GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, x, y, max(f) AS m FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+two AS (
+  SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.f AS a, p.f AS l, q.f AS r,
+    CAST((1000000::HUGEINT * f2.f * f2.f) // (p.f::HUGEINT * q.f) AS BIGINT) AS score
+  FROM f2 JOIN f1 p ON p.lang = f2.lang AND p.x = f2.x JOIN f1 q ON q.lang = f2.lang AND q.x = f2.y
+  LEFT JOIN longer g ON g.lang = f2.lang AND g.x = f2.x AND g.y = f2.y
+  WHERE coalesce(100 * g.m, 0) < 50 * f2.f),
+cuts AS (
+  SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z AS phrase, f3.f AS a, k,
+    CASE k WHEN 1 THEN p.f ELSE pq.f END AS l, CASE k WHEN 1 THEN qr.f ELSE r.f END AS r
+  FROM f3 JOIN f1 p ON p.lang = f3.lang AND p.x = f3.x JOIN f1 r ON r.lang = f3.lang AND r.x = f3.z
+  JOIN f2 pq ON pq.lang = f3.lang AND pq.x = f3.x AND pq.y = f3.y
+  JOIN f2 qr ON qr.lang = f3.lang AND qr.x = f3.y AND qr.y = f3.z, range(1, 3) AS c(k)),
+three AS (
+  SELECT lang, phrase, a, l, r, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS best
+    FROM (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts))
+  WHERE best = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM (SELECT * FROM two UNION ALL SELECT * FROM three))
+SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM ranked r JOIN n USING (lang) WHERE rank <= 2000
+"""
