@@ -62,6 +62,8 @@ LLM_SUBDOMAINS = [
     "docs", "developer", "developers", "platform", "api", "support", "help", "www",
 ]
 LLM_MIN_LENGTH = 30
+# a text of more line ends counts as a file without any indicator
+LLM_LINE_ENDS = 10
 LLM_JSON_MARKERS = [
     '"@type":', '"@context":', '"name":', '"url":', '"logo":', '"contactpoint":',
 ]

@@ -23,6 +23,14 @@ from citescope.functions.text import (
 from citescope.functions.urls import normalize_url, root_domain, url_netloc
 
 
+def site_of(url: Expr) -> Expr:
+    """Scheme and host of a page: all that its candidate addresses depend on."""
+    return let(
+        normalize_url(url),
+        lambda full: F.concat(F.regexp_extract(full, "^(https?)://", 1), F.lit("://"), url_netloc(full)),
+    )
+
+
 def candidates(url: Expr) -> Expr:
     """Addresses where a site may keep its llm.txt, in the order they are tried.
 
@@ -70,7 +78,9 @@ def fetch_method(address: Expr) -> Expr:
     )
 
 
-def _is_valid(raw_length: Expr, text: Expr) -> Expr:
+def _is_valid(content: Expr, raw_length: Expr, text: Expr) -> Expr:
+    """``content`` as it is, its stripped length, and its lower-cased stripped text."""
+    line_ends = F.length(content) - F.length(F.replace(content, "\n", ""))
     structured = text.contains('"@context"') & text.contains("schema.org")
     plain_json = (
         text.startswith("{")
@@ -84,18 +94,23 @@ def _is_valid(raw_length: Expr, text: Expr) -> Expr:
         (raw_length >= fixed.LLM_MIN_LENGTH)
         & ~structured
         & ~plain_json
-        & contains_any(text, fixed.LLM_INDICATORS)
+        & (contains_any(text, fixed.LLM_INDICATORS) | (line_ends > fixed.LLM_LINE_ENDS))
         & ~ordinary_page
     )
 
 
 def is_valid(content: Expr) -> Expr:
-    """Whether a text reads like an llm.txt file."""
+    """Whether a text reads like an llm.txt file.
+
+    A text of many lines counts as one even if it has no mark of the format."""
     checked = let(
-        strip(content),
-        lambda raw: let(
-            F.struct(F.length(raw).alias("n"), strip(F.lower(raw)).alias("s")),
-            lambda v: _is_valid(v["n"], v["s"]),
+        content,
+        lambda whole: let(
+            strip(whole),
+            lambda raw: let(
+                F.struct(F.length(raw).alias("n"), strip(F.lower(raw)).alias("s")),
+                lambda v: _is_valid(whole, v["n"], v["s"]),
+            ),
         ),
     )
     return F.coalesce(checked, F.lit(False))

@@ -14,10 +14,11 @@ from citescope.functions import extract as X
 from citescope.functions import fixed_values as fixed
 from citescope.functions import html as H
 from citescope.functions import sql as S
+from citescope.functions.llmtxt import site_of
 from citescope.functions.sql import Expr, col, select
 from citescope.operators.llmtxt import (
     embedded_column,
-    llm_resolve,
+    llm_resolve_sites,
     merge_llm_txt,
     with_llm_sources,
 )
@@ -184,8 +185,8 @@ def structure_analysis(
     """Metrics with the llm.txt summary, from one pass over the page source.
 
     The metrics and the search for embedded llm.txt content read the page in the same
-    projection; what is then joined with the landed site files on ``page_id`` are narrow
-    rows without any source.  With no ``site_files`` nothing is shuffled and only
+    projection; what is then joined with what sites have landed are narrow rows without any
+    source.  With no ``site_files`` nothing is shuffled and only
     embedded content counts.
     """
     metrics = structure_metrics(pages, compat, embedded=True)
@@ -202,8 +203,9 @@ def structure_analysis(
             S.size(inside["sources"]).alias("sources_found"),
             S.lit(0).alias("attempts_made"),
         )
-    resolved = llm_resolve(pages, site_files)
-    return select(merge_llm_txt(metrics, resolved), *kept, *_summary_columns())
+    rows = select(metrics, "*", site_of(col("url")).alias("site"))
+    sites = llm_resolve_sites(pages, site_files)
+    return select(merge_llm_txt(rows, sites), *kept, *_summary_columns())
 
 
 def nested_analysis(analysis: DataFrame) -> DataFrame:

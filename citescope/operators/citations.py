@@ -20,22 +20,86 @@ from pyspark.sql import functions as F
 from citescope.functions import fixed_values as fixed
 from citescope.functions import sql as S
 from citescope.functions.sql import Expr, col, select
-from citescope.functions.urls import normalize_domain, url_netloc
+from citescope.functions.urls import normalize_domain, resolve_link, url_netloc
 from citescope.operators.query_sets import percent_of, query_type_summary
+from citescope.sources.scratch import Scratch
 
 
 # ---------------------------------------------------------------------------------
 # grounding
 
 
+def redirect_hops(http_info: DataFrame) -> DataFrame:
+    """``redirect_url, actual_url``: single hops out of landed HTTP data.
+
+    A hop's target may be written relative to where it comes from."""
+    hops = http_info.select(F.explode("redirects").alias("h")).selectExpr("h.`from` AS source", "h.`to` AS target")
+    ends = select(hops, col("source").alias("redirect_url"), resolve_link(col("source"), col("target")).alias("actual_url"))
+    return ends.where("redirect_url IS NOT NULL").distinct()
+
+
+def redirect_ends(redirects: DataFrame) -> DataFrame:
+    """``redirect_url, actual_url, hops``: where each address leads in the end.
+
+    An address may lead to another that redirects again.  Chains are followed by pointer
+    doubling: in each round every open address takes the target of its target, so a chain of
+    ``n`` hops takes about ``log2(n)`` joins, each written before the next.  What ends in a
+    null, or runs in a circle, has a null ``actual_url``.  Circles need no bound on the hops:
+    while any chain is open, one of its addresses is settled in each round, so a round
+    that settles none leaves only circles.
+
+    A popular target is one row that many addresses meet.  All joins are of written tables,
+    so adaptive execution can split the rows of such a key.  Of repeated rows of an address
+    the smallest target counts.
+    """
+    scratch = Scratch(redirects.sparkSession, "redirects")
+    single = scratch.save(
+        redirects.where("redirect_url IS NOT NULL").groupBy("redirect_url").agg(F.min("actual_url").alias("actual_url")),
+        "single",
+    )
+    known = single.select(F.col("redirect_url").alias("actual_url"), F.lit(True).alias("open"))
+    state = single.join(known, "actual_url", "left").select(
+        "redirect_url", "actual_url", F.lit(1).cast("bigint").alias("hops"), F.coalesce("open", F.lit(False)).alias("open")
+    )
+    left, step = state.where("open").count(), 0
+    if left:
+        state = scratch.save(state, "round-0")
+    while left:
+        step += 1
+        further = state.select(
+            F.col("redirect_url").alias("actual_url"),
+            F.col("actual_url").alias("next"),
+            F.col("hops").alias("more"),
+            F.col("open").alias("next_open"),
+        )
+        moved = state.where("open").join(further, "actual_url").select(
+            "redirect_url",
+            F.col("next").alias("actual_url"),
+            (F.col("hops") + F.col("more")).alias("hops"),
+            F.col("next_open").alias("open"),
+        )
+        state = scratch.save(state.where("NOT open").unionByName(moved), f"round-{step}")
+        still = state.where("open").count()
+        if still == left:
+            break
+        left = still
+    if not step:
+        return single.withColumn("hops", F.lit(1).cast("bigint"))
+    return state.select(
+        "redirect_url",
+        F.when(~F.col("open"), F.col("actual_url")).alias("actual_url"),
+        F.when(~F.col("open"), F.col("hops")).alias("hops"),
+    )
+
+
 def resolve_redirects(links: DataFrame, redirects: DataFrame) -> DataFrame:
     """Adds ``actual_url`` to rows with a ``redirect_url``; null where unresolved.
 
-    Each address is resolved once.  One address may be cited by a large share of all rows;
-    Spark's adaptive execution splits such rows, and repeats their one address, or
-    broadcasts the addresses when they turn out to be few.
+    Each address is resolved once, over all its hops.  One address may be cited by a large
+    share of all rows; Spark's adaptive execution splits such rows, and repeats their one
+    address, or broadcasts the addresses when they turn out to be few.
     """
-    resolved = redirects.groupBy("redirect_url").agg(F.min("actual_url").alias("actual_url"))
+    resolved = redirect_ends(redirects).select("redirect_url", "actual_url")
     return links.join(resolved, "redirect_url", "left")
 
 

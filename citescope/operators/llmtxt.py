@@ -1,6 +1,9 @@
-"""llm.txt of pages: embedded in the page or landed as a site file.
+"""llm.txt of pages: embedded in the page or landed as a file of its site.
 
-``site_files`` is ``(page_id, file_url, status, content)``.
+``site_files`` is ``(file_url, status, content)``, one landed file for each address; it may
+have other columns.  A site is a scheme and a host.  Addresses are tried once for each site,
+however many pages it has, and each file is landed and checked once, however many sites try
+it; pages take what their site has found.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from citescope.functions import jsonld as L
 from citescope.functions import llmtxt as X
 from citescope.functions import sql as S
 from citescope.functions.sql import Expr, col, select
+from citescope.operators.joins import spread_join
 
 TOKENS = col("tokens")
 HEADS = col("heads")
@@ -21,8 +25,19 @@ MARKED = col("marked")
 NOT_LANDED = "not landed"
 
 
+def _sites(pages: DataFrame) -> DataFrame:
+    return select(pages, X.site_of(col("url")).alias("site")).distinct()
+
+
 def llm_candidates(pages: DataFrame) -> DataFrame:
-    """``page_id, ord, file_url``: addresses to try, from 0 in order."""
+    """``site, ord, file_url``: addresses to try for each site of the pages, from 0 in order."""
+    return _sites(pages).select(
+        "site", F.posexplode(X.candidates(col("site")).col()).alias("ord", "file_url")
+    )
+
+
+def page_llm_candidates(pages: DataFrame) -> DataFrame:
+    """``page_id, ord, file_url``: the same for each page, for jobs that fetch page by page."""
     return pages.select(
         "page_id", F.posexplode(X.candidates(col("url")).col()).alias("ord", "file_url")
     )
@@ -33,7 +48,7 @@ def llm_valid(files: DataFrame) -> DataFrame:
 
 
 def _usable_files(site_files: DataFrame) -> DataFrame:
-    """One row per page and candidate-like address.
+    """One row per candidate-like address.
 
     Validity is decided and the content of unusable files dropped before the shuffle.
     """
@@ -41,44 +56,40 @@ def _usable_files(site_files: DataFrame) -> DataFrame:
     ok = S.coalesce((col("status") == 200) & X.is_valid(col("content")), False)
     files = select(
         site_files.where(path.isin(fixed.LLM_PATHS).col()),
-        "page_id",
         "file_url",
         "status",
         ok.alias("ok"),
         S.when(ok, col("content")).alias("content"),
     )
-    return files.groupBy("page_id", "file_url").agg(
+    return files.groupBy("file_url").agg(
         F.bool_or("ok").alias("ok"),
         F.min("status").alias("status"),
         F.min("content").alias("content"),
     )
 
 
-def llm_resolve(pages: DataFrame, site_files: DataFrame) -> DataFrame:
-    """First candidate with status 200 and valid content, and the attempts up to it.
+def llm_resolve_sites(pages: DataFrame, site_files: DataFrame) -> DataFrame:
+    """``site, found, llm_txt_url, llm_txt_content, extraction_method, attempts`` per site.
 
-    A page has at most 81 candidates, so the list gathered per page is bounded.
+    The first candidate with status 200 and valid content, and the attempts up to it.  A site
+    has at most 81 candidates, so the list gathered for it is bounded.  An address on a root
+    domain may be tried for very many sites; only its one file is repeated for them.
     """
-    joined = pages.select("page_id", "url").join(
-        _usable_files(site_files), "page_id", "left"
-    )
-    placed = select(
-        joined,
-        "*",
-        S.array_position(X.candidates(col("url")), col("file_url"))
-        .cast("int")
-        .alias("ord"),
-    )
-    hit = F.when(F.col("ok") & (F.col("ord") > 0), F.col("ord"))
-    best = placed.groupBy("page_id", "url").agg(
+    tried = llm_candidates(pages).withColumn("ord", F.col("ord") + 1)
+    files = _usable_files(site_files)
+    placed = tried.join(files.select("file_url", "ok", "status"), "file_url", "left")
+    hit = F.when(F.col("ok"), F.col("ord"))
+    best = placed.groupBy("site").agg(
         F.min(hit).alias("first"),
-        F.min_by(F.struct("file_url", "content"), hit).alias("file"),
+        F.min_by("file_url", hit).alias("file_url"),
         F.collect_list(
-            F.when(F.col("ord") > 0, F.struct("ord", "status"))
+            F.when(F.col("status").isNotNull(), F.struct("ord", "status"))
         ).alias("landed"),
     )
+    # contents are joined to the sites that take them, not to every address tried
+    best = best.join(files.where("ok").select("file_url", "content"), "file_url", "left")
     tried = S.slice(
-        X.candidates(col("url")), 1, S.coalesce(col("first"), S.lit(2**31 - 1))
+        X.candidates(col("site")), 1, S.coalesce(col("first"), S.lit(2**31 - 1))
     )
 
     def attempt(address: Expr, index: Expr) -> Expr:
@@ -97,17 +108,27 @@ def llm_resolve(pages: DataFrame, site_files: DataFrame) -> DataFrame:
 
     return select(
         best,
-        "page_id",
+        "site",
         col("first").isNotNull().alias("found"),
-        S.when(col("first").isNotNull(), col("file.file_url")).alias("llm_txt_url"),
-        S.when(col("first").isNotNull(), col("file.content")).alias("llm_txt_content"),
-        S.when(col("first").isNotNull(), X.fetch_method(col("file.file_url"))).alias(
+        S.when(col("first").isNotNull(), col("file_url")).alias("llm_txt_url"),
+        S.when(col("first").isNotNull(), col("content")).alias("llm_txt_content"),
+        S.when(col("first").isNotNull(), X.fetch_method(col("file_url"))).alias(
             "extraction_method"
         ),
         S.transform(tried, attempt).alias("attempts"),
     )
 
 
+def llm_resolve(pages: DataFrame, site_files: DataFrame) -> DataFrame:
+    """``page_id`` and what ``llm_resolve_sites`` found for the page's site.
+
+    A site may have a large part of all pages; they are spread over several tasks.
+    """
+    rows = select(pages, "page_id", X.site_of(col("url")).alias("site"))
+    found = spread_join(rows, llm_resolve_sites(pages, site_files), "site", "page_id").drop("site")
+    return found.withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def with_llm_sources(headed: DataFrame) -> DataFrame:
     """Adds what the search inside a page reads to rows with ``tokens`` and ``heads``."""
     return select(
@@ -124,8 +145,8 @@ def embedded_column() -> Expr:
     return X.embedded(TOKENS, HEADS, col("bodies"), MARKED, col("all_text"))
 
 
-def _staged(pages: DataFrame) -> DataFrame:
-    tokens = select(pages, "page_id", H.tokens(col("rendered_html")).alias("tokens"))
+def _staged(pages: DataFrame, *keep: str) -> DataFrame:
+    tokens = select(pages, "page_id", *keep, H.tokens(col("rendered_html")).alias("tokens"))
     return with_llm_sources(select(tokens, "*", H.heads(TOKENS).alias("heads")))
 
 
@@ -183,21 +204,21 @@ LLM_TXT = [
 ]
 
 
-def merge_llm_txt(parsed: DataFrame, resolved: DataFrame | None) -> DataFrame:
-    """llm.txt columns from rows with an ``embedded`` struct and ``llm_resolve`` rows.
+def merge_llm_txt(parsed: DataFrame, sites: DataFrame | None) -> DataFrame:
+    """llm.txt columns from rows with ``site`` and ``embedded``, and ``llm_resolve_sites`` rows.
 
     Without site files the columns are the same, and only embedded content is found.
 
     Other columns of ``parsed`` stay, so a caller that already reads the pages for
     something else searches them in the same pass.
     """
-    others = [c for c in parsed.columns if c != "embedded"]
+    others = [c for c in parsed.columns if c not in ("embedded", "site")]
     inside = col("embedded")
     found_inside = inside["found"]
     none_tried = S.empty(
         "array<struct<url:string,success:boolean,status_code:int,error:string>>"
     )
-    if resolved is None:
+    if sites is None:
         joined = select(
             parsed,
             "*",
@@ -206,7 +227,7 @@ def merge_llm_txt(parsed: DataFrame, resolved: DataFrame | None) -> DataFrame:
             none_tried.alias("attempts"),
         )
     else:
-        joined = parsed.join(resolved, "page_id", "left")
+        joined = spread_join(parsed, sites, "site", "page_id")
     merged = select(
         joined,
         *others,
@@ -234,5 +255,10 @@ def merge_llm_txt(parsed: DataFrame, resolved: DataFrame | None) -> DataFrame:
 
 def llm_txt(pages: DataFrame, site_files: DataFrame) -> DataFrame:
     """llm.txt data of every page: embedded content first, else the site's file."""
-    inside = select(_staged(pages), "page_id", embedded_column().alias("embedded"))
-    return merge_llm_txt(inside, llm_resolve(pages, site_files))
+    inside = select(
+        _staged(pages, "url"),
+        "page_id",
+        X.site_of(col("url")).alias("site"),
+        embedded_column().alias("embedded"),
+    )
+    return merge_llm_txt(inside, llm_resolve_sites(pages, site_files))

@@ -14,11 +14,12 @@ from citescope.functions import extract as X
 from citescope.functions import html as H
 from citescope.functions import jsonld as L
 from citescope.functions import sql as S
+from citescope.functions.llmtxt import site_of
 from citescope.functions.sql import Expr, col, select
 from citescope.operators.llmtxt import (
     LLM_TXT,
     embedded_column,
-    llm_resolve,
+    llm_resolve_sites,
     merge_llm_txt,
     with_llm_sources,
 )
@@ -136,6 +137,27 @@ def page_images(pages: DataFrame) -> DataFrame:
     return _rows(tokenised(pages), X.images(HEADS, BASE_URL))
 
 
+def latest_fetch(http_info: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """``page_id, http_info``: the last fetch of each page, as one struct.
+
+    Without a column ``fetched_at`` the fetches of a page have no order, and the largest row
+    stands for it.  Where pages have ``crawled_at``, only fetches up to then count; a page
+    without that time takes its last fetch.  Fetches are combined before they are shuffled,
+    so a page that was fetched very often is no hot key.
+    """
+    fields = [c for c in http_info.columns if c != "page_id"]
+    kept = [F.col(c) for c in fields]
+    # maps have no order; what decides is the time, and then the other fields
+    plain = [F.col(f.name) for f in http_info.schema.fields if f.name in fields and "map<" not in f.dataType.simpleString()]
+    when = [F.col("fetched_at")] if "fetched_at" in fields else []
+    rows = http_info
+    if pages is not None and when and "crawled_at" in pages.columns:
+        times = pages.select("page_id", "crawled_at").groupBy("page_id").agg(F.max("crawled_at").alias("crawled_at"))
+        rows = http_info.join(times, "page_id").where("crawled_at IS NULL OR fetched_at IS NULL OR fetched_at <= crawled_at")
+    order = F.struct(*[w.isNotNull() for w in when], *when, *plain)
+    return rows.groupBy("page_id").agg(F.max_by(F.struct(*kept), order).alias("http_info"))
+
+
 def page_language(pages: DataFrame, http_info: DataFrame | None = None) -> DataFrame:
     """``page_id, html_lang, content_language_header, hreflang_alternatives``."""
     found = select(
@@ -145,8 +167,9 @@ def page_language(pages: DataFrame, http_info: DataFrame | None = None) -> DataF
         X.hreflang(HEADS).alias("hreflang_alternatives"),
     )
     if http_info is not None:
+        answers = latest_fetch(http_info, pages)
         found = found.join(
-            http_info.select("page_id", "content_language"), "page_id", "left"
+            answers.select("page_id", "http_info.content_language"), "page_id", "left"
         )
     return select(
         found,
@@ -260,7 +283,8 @@ def crawl_record(
 
     Every part comes out of one pass over the row, before any join; links and images keep
     their addresses as written until the HTTP data, which name the base, are joined.
-    ``http_info`` and ``site_files`` are joined by ``page_id`` when given.  With
+    The last fetch in ``http_info`` is joined by ``page_id``, and what its site has landed in
+    ``site_files`` by site, when given.  With
     ``keep_source=False`` only the narrow record takes part in these joins.
 
     ``max_links``, ``max_images``, ``text_length`` and ``sample`` (changed ids) bound the
@@ -328,9 +352,7 @@ def crawl_record(
     )
     landed = []
     if http_info is not None:
-        fields = [col(c) for c in http_info.columns if c != "page_id"]
-        answers = select(http_info, "page_id", S.struct(*fields).alias("http_info"))
-        read, landed = read.join(answers, "page_id", "left"), ["http_info"]
+        read, landed = read.join(latest_fetch(http_info, pages), "page_id", "left"), ["http_info"]
     answered_url = col("http_info.final_url") if landed else S.lit(None).cast("string")
     header_language = (
         col("http_info.content_language") if landed else S.lit(None).cast("string")
@@ -376,6 +398,6 @@ def crawl_record(
         "embedded",
     )
     kept_columns = [c for c in record.columns if c != "embedded"]
-    resolved = None if site_files is None else llm_resolve(pages, site_files)
-    merged = merge_llm_txt(record, resolved)
+    sites = None if site_files is None else llm_resolve_sites(pages, site_files)
+    merged = merge_llm_txt(select(record, "*", site_of(col("crawl_info.url")).alias("site")), sites)
     return select(merged, *kept_columns, S.struct(*map(col, LLM_TXT)).alias("llm_txt"))

@@ -243,6 +243,16 @@ def is_internal_link(spark, sf_dir):
     )
 
 
+@registered
+def redirect_hops(spark, sf_dir):
+    return citations.redirect_hops(fx.http_info(spark, sf_dir))
+
+
+@registered
+def redirect_ends(spark, sf_dir):
+    return citations.redirect_ends(fx.redirects(spark, sf_dir))
+
+
 @registered
 def resolve_redirects(spark, sf_dir):
     chunks = citations.answer_chunks(fx.answers(spark, sf_dir))
@@ -372,7 +382,12 @@ _on_pages(
 
 @registered
 def llm_candidates(spark, sf_dir):
-    return llm.llm_candidates(fx.landed_pages(spark, sf_dir).select("page_id", "url"))
+    return llm.llm_candidates(fx.landed_pages(spark, sf_dir))
+
+
+@registered
+def page_llm_candidates(spark, sf_dir):
+    return llm.page_llm_candidates(fx.landed_pages(spark, sf_dir))
 
 
 @registered
@@ -381,6 +396,15 @@ def llm_valid(spark, sf_dir):
     return llm.llm_valid(texts).select("page_id", "is_valid")
 
 
+@registered
+def llm_resolve_sites(spark, sf_dir):
+    found = llm.llm_resolve_sites(fx.landed_pages(spark, sf_dir), fx.geo_site_files(spark, sf_dir))
+    return found.selectExpr(
+        "site", "found", "llm_txt_url", "extraction_method",
+        "octet_length(llm_txt_content) AS size_bytes", "size(attempts) AS attempts_made",
+    )
+
+
 @registered
 def llm_resolve(spark, sf_dir):
     found = llm.llm_resolve(

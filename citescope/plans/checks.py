@@ -30,14 +30,14 @@ CHECKS["read_pages"] = (
     "SELECT page_id, url, length(html) AS html_length, true AS same_source FROM pages"
 )
 CHECKS["read_site_files"] = query(
-    "SELECT page_id, file_url, CAST(status AS BIGINT) AS status, content FROM geo_site_files",
+    "SELECT file_url, CAST(status AS BIGINT) AS status, content FROM geo_site_files",
     "geo_site_files",
 )
 CHECKS["read_http_info"] = query(
     """SELECT page_id, final_url, CAST(status_code AS BIGINT) AS status_code, content_language,
   CAST(contains(final_url, '&r=1') AS BIGINT) AS hops,
-  CASE WHEN contains(final_url, '&r=1') THEN final_url END AS last_hop FROM http_info""",
-    "http_info",
+  CASE WHEN contains(final_url, '&r=1') THEN final_url END AS last_hop FROM http_fetches""",
+    "http_fetches",
 )
 CHECKS["read_answers"] = query(
     """SELECT query_id, CAST(0 AS BIGINT) AS segment_pos,
@@ -74,6 +74,10 @@ SELECT page_id, form, CASE form
 CHECKS["is_internal_link"] = query(
     f"SELECT page_id, pos, {netloc('href')} = host AS is_internal FROM links", "links"
 )
+CHECKS["redirect_ends"] = query(
+    "SELECT redirect_url, actual_url, CAST(hops AS BIGINT) AS hops FROM redirects", "redirects"
+)
+CHECKS["redirect_hops"] = """SELECT url AS redirect_url, concat(url, '&r=1') AS actual_url FROM pages WHERE page_id % 5 = 0"""
 CHECKS["resolve_redirects"] = query(
     """SELECT c.query_id, CAST(c.chunk_index AS BIGINT) AS chunk_index, c.redirect_url, r.actual_url
 FROM chunks c LEFT JOIN redirects r ON r.redirect_url = c.redirect_url
@@ -292,10 +296,13 @@ tries AS (SELECT page_id, scheme, 0 AS h, host FROM origins
   FROM origins CROSS JOIN subs WHERE NOT {contains_any('host', fixed.LLM_SUBDOMAINS)}),
 candidates AS (SELECT page_id, h * {len(fixed.LLM_PATHS)} + k AS ord, scheme || '://' || host || path AS file_url, host, path
   FROM tries CROSS JOIN paths)"""
-CHECKS["llm_candidates"] = (
+CHECKS["page_llm_candidates"] = (
     f"WITH {CANDIDATES} SELECT page_id, CAST(ord AS BIGINT) AS ord, file_url FROM candidates"
 )
-ANY_TEXTS = """any_texts AS (SELECT page_id, content FROM geo_site_files WHERE content IS NOT NULL
+CHECKS["llm_candidates"] = f"""WITH {CANDIDATES}
+SELECT DISTINCT o.scheme || '://' || o.host AS site, CAST(ord AS BIGINT) AS ord, file_url
+FROM candidates c JOIN origins o USING (page_id)"""
+ANY_TEXTS = """any_texts AS (SELECT site_id AS page_id, content FROM geo_site_files WHERE content IS NOT NULL
   UNION ALL SELECT 1000000000 + doc_id, text FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT 2000000000 + conv_id * 100 + turn, text FROM conversations WHERE text IS NOT NULL)"""
 CHECKS["llm_valid"] = query(
@@ -304,7 +311,7 @@ CHECKS["llm_valid"] = query(
 )
 RESOLVED = f"""{CANDIDATES},
 landed AS (SELECT c.*, s.status, s.content, coalesce(s.status = 200 AND {valid('s.content')}, false) AS ok
-  FROM candidates c LEFT JOIN geo_site_files s ON s.page_id = c.page_id AND s.file_url = c.file_url),
+  FROM candidates c LEFT JOIN geo_site_files s ON s.file_url = c.file_url),
 hits AS (SELECT page_id, min(ord) FILTER (WHERE ok) AS hit FROM landed GROUP BY page_id),
 resolved AS (SELECT l.page_id, max(hit) IS NOT NULL AS found,
   max(l.file_url) FILTER (WHERE ord = hit) AS llm_txt_url, max(l.content) FILTER (WHERE ord = hit) AS content,
@@ -314,6 +321,11 @@ resolved AS (SELECT l.page_id, max(hit) IS NOT NULL AS found,
   count(*) FILTER (WHERE (hit IS NULL OR ord < hit) AND status = 200) AS invalid_200,
   count(*) FILTER (WHERE ord = hit) AS successes
   FROM landed l JOIN hits h ON h.page_id = l.page_id GROUP BY l.page_id)"""
+CHECKS["llm_resolve_sites"] = query(
+    f"""WITH {RESOLVED} SELECT DISTINCT scheme || '://' || host AS site, found, llm_txt_url, extraction_method,
+  octet_length(encode(content)) AS size_bytes, attempts_made FROM resolved JOIN origins USING (page_id)""",
+    "geo_site_files",
+)
 CHECKS["llm_resolve"] = query(
     f"""WITH {RESOLVED} SELECT page_id, found, llm_txt_url, extraction_method,
   octet_length(encode(content)) AS size_bytes, attempts_made, answered_404, invalid_200, successes FROM resolved""",

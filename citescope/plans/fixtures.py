@@ -7,14 +7,12 @@ SQL for the check.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The test tables are single files; page work is spread over this many tasks.
-PAGE_TASKS = 16
+from citescope.sources.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +21,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def landed(df: DataFrame, write) -> str:
     """Path of a table that ``write(df, path)`` has written where all executors see it."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{shared.rstrip('/')}/landed-{uuid.uuid4().hex}"
+    path = f"{Scratch(df.sparkSession, 'landed').root}/{uuid.uuid4().hex}"
     write(df, path)
     return path
 
 
 def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").repartition(PAGE_TASKS)
+    return _table(spark, sf_dir, "pages")
 
 
 def geo_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,33 +91,49 @@ def geo_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def geo_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of the pages, numbered by their first page."""
+    site = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site"
+    return _table(spark, sf_dir, "pages").selectExpr(site, "page_id").groupBy("site").agg(F.min("page_id").alias("page_id"))
+
+
 def geo_site_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from citescope.plans.oracle import SITE_FILE_CONTENT, SITE_FILE_STATUS
+    """Three files of each site, and one that all sites of a root domain try."""
+    from citescope.plans.oracle import SHARED_FILE, SITE_FILE_CONTENT, SITE_FILE_STATUS
 
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     paths = F.array(*map(F.lit, ["/llms.txt", "/llm.txt", "/ai.txt"]))
-    return pages.withColumn("path", F.explode(paths)).selectExpr(
-        "page_id",
-        "concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), path) AS file_url",
+    sites = geo_sites(spark, sf_dir)
+    own = sites.withColumn("path", F.explode(paths)).selectExpr(
+        "page_id AS site_id",
+        "concat(site, path) AS file_url",
         f"{SITE_FILE_STATUS} AS status",
         f"{SITE_FILE_CONTENT} AS content",
     )
+    roots = sites.where("site LIKE 'https:%'").selectExpr("page_id", "substring_index(site, '.', -2) AS root")
+    shared = roots.groupBy("root").agg(F.min("page_id").alias("page_id")).selectExpr(
+        "page_id AS site_id", "concat('https://docs.', root, '/docs/llm.txt') AS file_url", "200 AS status", f"{SHARED_FILE} AS content"
+    )
+    return own.unionByName(shared)
 
 
 def http_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HTTP data of all pages, one in three under a number that no page has."""
+    """HTTP data of three fetches of all pages, one in three under a number that no page has.
+
+    The last fetch has the page's data; the others failed."""
     return (
         _table(spark, sf_dir, "pages")
+        .withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
         .selectExpr(
+            "TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, k) AS fetched_at",
             "CASE WHEN page_id % 3 = 2 THEN page_id + 1000000 ELSE page_id END AS page_id",
             "CASE WHEN page_id % 5 = 0 THEN concat(url, '&r=1') ELSE url END AS final_url",
-            "CASE WHEN page_id % 10 = 9 THEN 404 ELSE 200 END AS status_code",
+            "CASE WHEN k < 2 THEN 500 WHEN page_id % 10 = 9 THEN 404 ELSE 200 END AS status_code",
             "map('Server', 'x') AS response_headers",
             "CASE WHEN page_id % 5 = 0 THEN array(named_struct('from', url, 'to', "
             "concat(url, '&r=1'), 'status', 301)) "
             "ELSE CAST(array() AS array<struct<`from`:string,`to`:string,status:int>>) "
             "END AS redirects",
-            "CASE WHEN page_id % 4 = 0 THEN 'en' END AS content_language",
+            "CASE WHEN k < 2 THEN 'xx' WHEN page_id % 4 = 0 THEN 'en' END AS content_language",
             "CAST(NULL AS string) AS last_modified",
             "'text/html' AS content_type",
         )
@@ -129,10 +141,14 @@ def http_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A redirect address per page; one in eleven does not resolve."""
+    """A redirect address per page, of which one in eleven does not resolve.
+
+    Of each sixteen ten are a chain, and every third chain is a circle."""
+    from citescope.plans.oracle import REDIRECT_TARGET
+
     return _table(spark, sf_dir, "pages").selectExpr(
         "concat('https://redirect.test/r/', page_id) AS redirect_url",
-        "CASE WHEN page_id % 11 <> 0 THEN url END AS actual_url",
+        f"{REDIRECT_TARGET} AS actual_url",
     )
 
 
@@ -189,7 +205,7 @@ def any_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, text`` of all site files, documents and conversation turns with a text."""
     files = geo_site_files(spark, sf_dir).where("content IS NOT NULL")
     return (
-        files.selectExpr("page_id AS id", "content AS text")
+        files.selectExpr("site_id AS id", "content AS text")
         .unionByName(_table(spark, sf_dir, "documents").selectExpr("1000000000 + doc_id AS id", "text"))
         .unionByName(
             _table(spark, sf_dir, "conversations").selectExpr(

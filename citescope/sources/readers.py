@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HTTP_INFO = (
-    "page_id bigint, final_url string, status_code int, "
+    "page_id bigint, fetched_at timestamp, final_url string, status_code int, "
     "response_headers map<string,string>, "
     "redirects array<struct<`from`:string,`to`:string,status:int>>, "
     "content_language string, last_modified string, content_type string"
@@ -77,7 +77,8 @@ def read_pages(
 
 
 def read_site_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("page_id", "file_url", "status", "content")
+    """Landed files of sites, one for each address: ``file_url, status, content``."""
+    return spark.read.parquet(path).select("file_url", "status", "content")
 
 
 def read_http_info(spark: SparkSession, path: str) -> DataFrame:

@@ -218,7 +218,7 @@ def test_record_keeps_all_unless_told(spark):
 
 def test_record_has_one_llm_txt_schema(spark):
     page = _page(spark, "<p>x")
-    files = spark.createDataFrame([], "page_id long, file_url string, status int, content string")
+    files = spark.createDataFrame([], "file_url string, status int, content string")
     bare, joined = P.crawl_record(page), P.crawl_record(page, site_files=files)
     assert bare.schema["llm_txt"].dataType.names == joined.schema["llm_txt"].dataType.names
     assert bare.first().llm_txt.llm_txt_found is False

@@ -102,3 +102,39 @@ def test_pages_are_shuffled_only_on_request(spark, tmp_path):
     spread = R.read_pages(spark, path, partitions=5)
     assert exchanges(spread) == 1 and spread.rdd.getNumPartitions() == 5
     assert spread.first().raw_html == spread.first().rendered_html == "<p>x"
+
+
+def test_the_last_fetch_before_the_crawl_counts(spark):
+    http = spark.sql(
+        "SELECT page_id, timestamp(t) AS fetched_at, status_code, lang AS content_language, CAST(NULL AS string) AS final_url, map('a', lang) AS response_headers FROM VALUES "
+        "(1, '2024-01-01', 500, 'a'), (1, '2024-01-03', 200, 'b'), (1, '2024-01-05', 404, 'c'), "
+        "(2, NULL, 200, 'd'), (2, '2024-01-01', 200, 'e'), (3, NULL, 200, 'f'), (9, '2024-01-01', 200, 'g') AS t(page_id, t, status_code, lang)"
+    )
+    html = '<html lang="de">'
+    pages = spark.createDataFrame([(i, f"https://h/{i}", html, html) for i in (1, 2, 3, 4)], "page_id long, url string, raw_html string, rendered_html string")
+    timed = pages.selectExpr("*", "CASE page_id WHEN 1 THEN timestamp('2024-01-04') WHEN 2 THEN timestamp('2023-01-01') END AS crawled_at")
+    last = {r.page_id: r.content_language_header for r in P.page_language(pages, http).collect()}
+    assert last == {1: "c", 2: "e", 3: "f", 4: None}
+    as_of = {r.page_id: r.content_language_header for r in P.page_language(timed, http).collect()}
+    assert as_of == {1: "b", 2: "d", 3: "f", 4: None}
+    records = P.crawl_record(timed, http).collect()
+    assert {r.page_id: r.http_info and r.http_info.response_headers for r in records} == {
+        1: {"a": "b"}, 2: {"a": "d"}, 3: {"a": "f"}, 4: None,
+    }
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    import types
+
+    import pytest
+
+    from citescope.sources import scratch
+
+    context = types.SimpleNamespace(master="spark://h:7077", applicationId="x")
+    conf = types.SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError):
+        scratch.shared_folder(types.SimpleNamespace(conf=conf, sparkContext=context))
+    local = scratch.shared_folder(spark)
+    assert scratch.shared_folder(spark) == local
+    saved = scratch.Scratch(spark, "test").save(spark.range(3), "rows")
+    assert saved.count() == 3

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from citescope.functions import llmtxt as X
 from citescope.functions import sql as S
 from citescope.functions.sql import col
@@ -40,6 +42,12 @@ def test_validity(evaluate):
         "ai: home about us newsletter subscribe, nothing else here": False,
         "ai: home about us newsletter subscribe, sitemap: /x.xml": True,
         "see the [documentation](https://h/docs) for everything else": True,
+        "a line of plain prose" + "\nand another one" * 10: False,
+        "a line of plain prose" + "\nand another one" * 11: True,
+        "a line of plain prose, and line ends around it" + "\n" * 11: True,
+        "\n" * 6 + "a line of plain prose, and line ends around it" + "\n" * 4: False,
+        "home about us newsletter subscribe" + "\nand another one" * 11: False,
+        '{"name": "x",' + "\n" * 11 + '"text": "long enough to be a text"}': False,
         None: False,
     }
     assert evaluate(X.is_valid(V), list(cases)) == list(cases.values())
@@ -62,14 +70,14 @@ def test_sections_and_score(evaluate):
 def test_first_valid_file_wins(spark):
     files = spark.createDataFrame(
         [
-            (0, "https://example.com/llm.txt", 200, "not one"),
-            (0, "https://example.com/ai.txt", 404, GOOD),
-            (0, "https://docs.example.com/llms.txt", 200, GOOD + " é"),
-            (0, "https://docs.example.com/llm.txt", 200, GOOD),
-            (0, "https://elsewhere.com/llms.txt", 200, GOOD),
-            (0, "https://example.com/other.txt", 200, GOOD),
+            ("https://example.com/llm.txt", 200, "not one"),
+            ("https://example.com/ai.txt", 404, GOOD),
+            ("https://docs.example.com/llms.txt", 200, GOOD + " é"),
+            ("https://docs.example.com/llm.txt", 200, GOOD),
+            ("https://elsewhere.com/llms.txt", 200, GOOD),
+            ("https://example.com/other.txt", 200, GOOD),
         ],
-        "page_id long, file_url string, status int, content string",
+        "file_url string, status int, content string",
     )
     found, missing = (
         L.llm_resolve(pages(spark, ("https://example.com/p", ""), ("https://help.x.org", "")), files)
@@ -120,10 +128,47 @@ def test_embedded_is_checked_as_a_whole(spark):
 
 def test_page_content_comes_before_files(spark):
     files = spark.createDataFrame(
-        [(0, "https://example.com/llms.txt", 200, GOOD)],
-        "page_id long, file_url string, status int, content string",
+        [("https://example.com/llms.txt", 200, GOOD)],
+        "file_url string, status int, content string",
     )
     html = "<!-- llm: read all of this page before the rest -->"
     row = L.llm_txt(pages(spark, ("https://example.com", html)), files).first()
     assert row.llm_txt_url is None and row.attempts == []
     assert row.extraction_method == "html_embedded_1_sources"
+
+
+def test_a_site_is_tried_once(spark):
+    rows = [(f"https://example.com/{i}", "") for i in range(1000)] + [("https://docs.example.com/a", ""), ("http://example.com/a", "")]
+    found = L.llm_candidates(pages(spark, *rows))
+    counts = {r.site: r["count"] for r in found.groupBy("site").count().collect()}
+    assert counts == {"https://example.com": 81, "https://docs.example.com": 9, "http://example.com": 81}
+    each = L.page_llm_candidates(pages(spark, *rows[:2])).where("page_id = 1").orderBy("ord").collect()
+    assert [r.file_url for r in each] == [r.file_url for r in found.where("site = 'https://example.com'").orderBy("ord").collect()]
+
+
+def test_one_file_serves_all_sites_that_try_it(spark):
+    files = spark.createDataFrame(
+        [("https://docs.example.com/llms.txt", 200, GOOD), ("https://docs.example.com/llms.txt", 404, None)],
+        "page_id long, file_url string, status int, content string".replace("page_id long, ", ""),
+    )
+    rows = [("https://example.com/a", ""), ("https://m.example.com/b", ""), ("https://docs.example.com/", ""), ("https://other.org/", ""), (None, "")]
+    found = L.llm_resolve(pages(spark, *rows), files).orderBy("page_id").collect()
+    assert [r.found for r in found] == [True, True, True, False, False]
+    assert [len(r.attempts or []) for r in found] == [10, 10, 1, 81, 0]
+    assert {r.llm_txt_url for r in found[:3]} == {"https://docs.example.com/llms.txt"}
+
+
+def test_a_site_with_most_pages_is_split(spark):
+    rows = [(i, "https://hot.com/x" if i % 3 else f"https://s{i}.com/x") for i in range(30_000)]
+    held = spark.createDataFrame(rows, "page_id long, url string").repartition(16)
+    files = spark.createDataFrame([("https://hot.com/llms.txt", 200, GOOD)], "file_url string, status int, content string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = L.llm_resolve(held, files).select("page_id", "found", "llm_txt_url")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(site#\d+, _salt#\d+L", plan)
+        assert found.where("found").count() == 20_000
+        assert found.count() == 30_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
