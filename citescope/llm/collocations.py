@@ -1,19 +1,18 @@
 """Collocations: phrases whose words stand together more often than apart, by stripes.
 
-A stripe belongs to a prefix of one or more words and counts the words that come next.
-Tasks make stripes of what they read, with one row for each prefix; rows of a prefix meet by
-a sort and are merged element by element.  From the merged stripes come the counts of
-phrases (extensions), those of their parts (prefixes), and for each phrase the most frequent
-longer one with it inside (subsumption): the largest element of its own stripe on the right,
-and of the stripes in which it is the end on the left.
+The stripe of a first word counts what comes next: for each next word, or next two, how often.
+Tasks make stripes of what they read, blocks of stripes meet by a sort, and stripes of
+one word are merged element by element.  From this one structure come the counts of phrases (extensions),
+those of their parts (prefixes), and for each phrase the most frequent longer one with it inside
+(subsumption): the largest element that continues it, and the largest that ends in it.
 
 The text is read once for each length.  The empty prefix has the stripe of all words; a longer
-phrase can only be frequent if the two phrases it overlaps are, so entries without both are left out before they
-are sorted or shuffled.  Tasks know these by a Bloom filter of bounded size, whose strangers
-only add entries that a merged count later drops.
+phrase can only be frequent if the two phrases it overlaps are, so entries without both are
+left out before they are sorted or shuffled.  Tasks know these by a Bloom filter of bounded
+size, whose strangers only add entries that a merged count later drops.
 
-A prefix may hold a third of all words.  The stripe of a prefix with more than its share of
-words is cut by the hash of the next word, so its parts go to several tasks.
+A first word may stand for a third of all words.  The stripe of one with more than its share
+is cut by the hash of what follows, so its parts go to several tasks.
 """
 
 from __future__ import annotations
@@ -39,6 +38,8 @@ HELD = 1 << 20
 #: A prefix has more than its share when it has more than this part of all words; so there
 #: are at most as many such prefixes.
 SHARE, LEAST_SHARE = 1 << 16, 1 << 20
+#: Stripes travel in blocks of first words: at least so many, and of so many words at most.
+BLOCKS, BLOCK_WORDS = 1 << 13, 1 << 18
 #: First cut of the words of a language before the last one.
 SALTS = 64
 
@@ -122,35 +123,39 @@ def _vocabulary(seed: int):
     return run
 
 
-def _runs(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """An order by these columns, and where in it a new combination begins."""
-    order = np.lexsort(columns[::-1])
-    new = np.ones(len(order), dtype=bool)
-    if len(order):
-        new[1:] = False
-        for c in columns:
-            c = c[order]
-            new[1:] |= c[1:] != c[:-1]
-    return order, np.flatnonzero(new)
-
-
-def _stripe_rows(prefix: list[np.ndarray], part: np.ndarray, after: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """One row for each prefix and part, from entries ordered by them."""
-    count = len(after)
-    new = np.zeros(count, dtype=bool)
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where in ordered columns a new combination begins."""
+    new = np.zeros(len(columns[0]), dtype=bool)
     new[:1] = True
-    for c in [*prefix, part]:
+    for c in columns:
         new[1:] |= c[1:] != c[:-1]
-    first = np.flatnonzero(new)
-    ends = pa.array(np.append(first, count).astype(np.int32))
+    return new
+
+
+def _counted(columns: list[np.ndarray], n: np.ndarray | None = None) -> list[np.ndarray]:
+    """Equal entries as one, ordered, with their number, or the sum of ``n``, behind them."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(_starts(columns))
+    if n is None:
+        sums = np.diff(np.append(first, len(order)))
+    else:
+        sums = np.add.reduceat(n[order], first) if len(order) else n
+    return [*[c[first] for c in columns], sums]
+
+
+def _names(size: int) -> list[str]:
+    return [f"w{k}" for k in range(1, size + 1)]
+
+
+def _block_rows(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each block and part, from entries ordered by ``block, part, w1, w2 .., n``."""
+    block, part, *entries = columns
+    first = np.flatnonzero(_starts([block, part]))
+    ends = pa.array(np.append(first, len(block)).astype(np.int32))
     return pa.RecordBatch.from_arrays(
-        [
-            *[pa.array(c[first]) for c in prefix],
-            pa.array(part[first].astype(np.int32)),
-            pa.ListArray.from_arrays(ends, pa.array(after)),
-            pa.ListArray.from_arrays(ends, pa.array(n)),
-        ],
-        names=[*[f"w{k}" for k in range(1, len(prefix) + 1)], "part", "next", "n"],
+        [pa.array(block[first]), pa.array(part[first].astype(np.int32)), *[pa.ListArray.from_arrays(ends, pa.array(c)) for c in entries]],
+        names=["block", "part", *_names(len(entries) - 1), "n"],
     )
 
 
@@ -169,22 +174,21 @@ def _members(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(len(key), dtype=np.int64), key
 
 
-def _stripes(size: int, frequent, hot: tuple[np.ndarray, np.ndarray], seed: int):
-    """Stripes of prefixes of ``size`` words, from the phrases that the filter lets pass."""
+def _stripes(size: int, frequent, hot: tuple[np.ndarray, np.ndarray], blocks: int, seed: int):
+    """Stripes of all first words, in blocks, from the phrases that the filter lets pass."""
     hot_keys, hot_parts = hot
 
     def merged(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*held)]
-        prefix, after = columns[:-1], columns[-1]
-        part = np.zeros(len(after), dtype=np.int64)
+        words = [np.concatenate(c) for c in zip(*held)]
+        block = (W.mix(words[0].view(W.U64), seed=71) % W.U64(blocks)).astype(np.int64)
+        part = np.zeros(len(block), dtype=np.int64)
         if len(hot_keys):
-            key = phrase_key(prefix)
-            at = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
-            many = hot_keys[at] == key
-            part[many] = (W.mix(after[many].view(W.U64), seed=70) % hot_parts[at[many]].astype(W.U64)).astype(np.int64)
-        order, first = _runs([*prefix, part, after])
-        order, n = order[first], np.diff(np.append(first, len(order)))
-        return _stripe_rows([c[order] for c in prefix], part[order], after[order], n)
+            at = np.minimum(np.searchsorted(hot_keys, words[0]), len(hot_keys) - 1)
+            many = hot_keys[at] == words[0]
+            after = phrase_key([c[many] for c in words[1:]]).view(W.U64)
+            block[many] = -1 - at[many]
+            part[many] = (W.mix(after, seed=70) % hot_parts[at[many]].astype(W.U64)).astype(np.int64)
+        return _block_rows(_counted([block, part, *words]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
@@ -214,50 +218,41 @@ def _stripes(size: int, frequent, hot: tuple[np.ndarray, np.ndarray], seed: int)
 
 
 def _merge(size: int, least: int):
-    """Merges the stripes of equal prefix and part, which come one after another.
+    """Merges stripes of equal block and part, which come one after another.
 
-    Entries below ``least`` are dropped once they are whole, and stripes without entries.
-    The stripe that reaches over a batch is carried on."""
-    names = [f"w{k}" for k in range(1, size + 1)]
+    Entries below ``least`` are dropped once they are whole.  The block that reaches over a
+    batch is carried on."""
+    names = _names(size + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = [np.zeros(0, dtype=np.int64)] * (size + 3)
+        carried = [np.zeros(0, dtype=np.int64)] * (size + 4)
 
-        def done(columns: list[np.ndarray]) -> pa.RecordBatch | None:
+        def done(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             keep = columns[-1] >= least
-            columns = [c[keep] for c in columns]
-            return _stripe_rows(columns[:size], columns[size], columns[-2], columns[-1]) if keep.any() else None
+            if keep.any():
+                yield _block_rows([c[keep] for c in columns])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column("next")
-            times = lists.value_lengths().to_numpy()
-            keys = [np.repeat(batch.column(c).to_numpy().astype(np.int64), times) for c in [*names, "part"]]
-            entries = [*keys, lists.flatten().to_numpy(), batch.column("n").flatten().to_numpy()]
+            times = batch.column("n").value_lengths().to_numpy()
+            keys = [np.repeat(batch.column(c).to_numpy().astype(np.int64), times) for c in ("block", "part")]
+            entries = [*keys, *[batch.column(c).flatten().to_numpy() for c in (*names, "n")]]
             columns = [np.concatenate(pair) for pair in zip(carried, entries)]
-            order, first = _runs(columns[:-1])
-            n = np.add.reduceat(columns[-1][order], first) if len(order) else columns[-1]
-            columns = [*[c[order[first]] for c in columns[:-1]], n]
-            last = np.ones(len(n), dtype=bool)
-            for c in columns[: size + 1]:
-                last &= c == c[-1:]
+            columns = _counted(columns[:-1], columns[-1])
+            last = (columns[0] == columns[0][-1:]) & (columns[1] == columns[1][-1:])
             carried = [c[last] for c in columns]
-            out = done([c[~last] for c in columns])
-            if out is not None:
-                yield out
-        out = done(carried)
-        if out is not None:
-            yield out
+            yield from done([c[~last] for c in columns])
+        yield from done(carried)
 
     return run
 
 
-def _hot(counts: DataFrame, key: list[str], total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases with more than their share, and into how many parts each is cut."""
+def _hot(words: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words with more than their share, and into how many parts the stripe of each is cut."""
     share = max(LEAST_SHARE, total // SHARE)
-    rows = counts.where(F.col("n") > share).select(*key, "n").collect()
-    keys = phrase_key([np.array([r[c] for r in rows], dtype=np.int64) for c in key])
+    rows = words.where(F.col("n") > share).select("w1", "n").collect()
+    keys = np.array([r.w1 for r in rows], dtype=np.int64)
     parts = np.array([-(-r.n // share) for r in rows], dtype=np.int64)
     order = np.argsort(keys)
     return keys[order], parts[order]
@@ -265,7 +260,7 @@ def _hot(counts: DataFrame, key: list[str], total: int) -> tuple[np.ndarray, np.
 
 def _scored(counts: dict[int, DataFrame], size: int) -> DataFrame:
     """``w1.., a, l, r, score`` of all candidates of ``size`` words, in whole numbers of 38 digits."""
-    names = [f"w{k}" for k in range(1, size + 1)]
+    names = _names(size)
     rows = counts[size].withColumnRenamed("n", "a")
     cuts = []
     for k in range(1, size):
@@ -280,16 +275,13 @@ def _scored(counts: dict[int, DataFrame], size: int) -> DataFrame:
     return rows.select(*names, "a", F.array_min(F.array(*cuts)).alias("cut")).select(*names, "a", "cut.l", "cut.r", "cut.score")
 
 
-def _without_subsumed(rows: DataFrame, stripes: DataFrame, size: int, percent: int) -> DataFrame:
+def _without_subsumed(rows: DataFrame, longer: DataFrame, size: int, percent: int) -> DataFrame:
     """Candidates without a longer one by a word, on either side, that has most of their places.
 
     A still longer one is not more frequent than the one between."""
-    names = [f"w{k}" for k in range(1, size + 1)]
-    on_right = stripes.select(*names, F.array_max("n").alias("longer"))
-    shifted = [*names[1:], "e.next"]
-    on_left = stripes.select(*names, F.explode(F.arrays_zip("next", "n")).alias("e")).select(
-        *[F.col(c).alias(n) for c, n in zip(shifted, names)], F.col("e.n").alias("longer")
-    )
+    names = _names(size)
+    on_right = longer.select(*names, F.col("n").alias("longer"))
+    on_left = longer.select(*[F.col(c).alias(n) for c, n in zip(_names(size + 1)[1:], names)], F.col("n").alias("longer"))
     most = on_right.unionByName(on_left).groupBy(*names).agg(F.max("longer").alias("longer"))
     return rows.join(most, names, "left").where(F.coalesce(100 * F.col("longer") < percent * F.col("a"), F.lit(True))).drop("longer")
 
@@ -335,30 +327,26 @@ def collocations(
     totals = vocabulary.groupBy("it.lang").agg(F.sum("n").alias("words"))
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
 
-    stripes: dict[int, DataFrame] = {}
     counts = {1: scratch.save(vocabulary.where(F.col("n") >= min_count).select(F.col("key").alias("w1"), "n", "it.*"), "words")}
+    hot = _hot(counts[1], total)
+    blocks = max(BLOCKS, total // BLOCK_WORDS)
     for size in range(1, max_words):
-        names = [f"w{k}" for k in range(1, size + 1)]
-        known = counts[size]
-        frequent = bloom.build(known.select(*names), {0: known.count()}, _members)
-        hot = _hot(known, names, total)
-        made = source.mapInArrow(
-            _stripes(size, spark.sparkContext.broadcast(frequent), hot, seed),
-            T.StructType.fromDDL(", ".join([f"{c} long" for c in names] + ["part int, next array<long>, n array<long>"])),
-        )
-        stripes[size] = scratch.save(
-            made.repartition(*names, "part").sortWithinPartitions(*names, "part").mapInArrow(_merge(size, min_count), made.schema),
+        known = counts[size].select(*_names(size))
+        frequent = bloom.build(known, {0: known.count()}, _members)
+        columns = ["block long, part int", *[f"{c} array<long>" for c in (*_names(size + 1), "n")]]
+        made = source.mapInArrow(_stripes(size, spark.sparkContext.broadcast(frequent), hot, blocks, seed), ", ".join(columns))
+        stripes = scratch.save(
+            made.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(_merge(size, min_count), made.schema),
             f"stripes-{size}",
         )
-        counts[size + 1] = stripes[size].select(*names, F.explode(F.arrays_zip("next", "n")).alias("e")).select(
-            *names, F.col("e.next").alias(f"w{size + 1}"), F.col("e.n").alias("n")
-        )
+        entry = F.explode(F.arrays_zip(*_names(size + 1), "n")).alias("e")
+        counts[size + 1] = stripes.select(entry).select("e.*")
 
     found = None
     for size in range(2, max_words + 1):
         each = _scored(counts, size)
         if size < max_words:
-            each = _without_subsumed(each, stripes[size], size, subsumed_percent)
+            each = _without_subsumed(each, counts[size + 1], size, subsumed_percent)
         for k in range(1, size + 1):
             word = counts[1].select(F.col("w1").alias(f"w{k}"), F.col("word").alias(f"s{k}"), *(["lang"] if k == 1 else []))
             each = each.join(word, f"w{k}")

@@ -196,6 +196,7 @@ def test_a_prefix_with_very_many_words_is_cut(spark, monkeypatch):
     monkeypatch.setattr(collocations, "LEAST_SHARE", 50)
     monkeypatch.setattr(collocations, "SHARE", 1000)
     monkeypatch.setattr(collocations, "HELD", 300)
+    monkeypatch.setattr(collocations, "BLOCKS", 7)
     rng = random.Random(9)
     texts = [(k, " ".join(f"the w{rng.randrange(60)}" if rng.random() < 0.7 else f"w{rng.randrange(5)}" for _ in range(200))) for k in range(40)]
     docs = documents(spark, texts)
