@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from citescope.functions import jsonld, urls
 from citescope.functions import sql as S
 from citescope.functions.sql import col, select
-from citescope.operators import audit, citations, pages, query_sets
+from citescope.operators import audit, citations, domains, pages, query_sets
+from citescope.operators import runs as saved
 from citescope.operators import llmtxt as llm
 from citescope.plans import fixtures as fx
 from citescope.sources import readers, writers
@@ -208,6 +209,19 @@ def normalize_domain(spark, sf_dir):
     )
 
 
+@registered
+def normalize_domain_by_rules(spark, sf_dir):
+    """Domains by the default suffixes and by rules made from the hosts themselves."""
+    hosts = _hosts(spark, sf_dir)
+    own = hosts.selectExpr(
+        "CASE page_id % 5 WHEN 0 THEN substring_index(lower(host), '.', -3) "
+        "WHEN 1 THEN concat('*.', substring_index(lower(host), '.', -2)) "
+        "WHEN 2 THEN concat('!', lower(host)) END AS rule"
+    )
+    rules = domains.default_rules(spark).unionByName(own)
+    return domains.with_domains(hosts, rules, spread_by="page_id").select("page_id", "host", "domain")
+
+
 @registered
 def root_domain(spark, sf_dir):
     return select(
@@ -719,6 +733,63 @@ def aggregate_results(spark, sf_dir):
 
 
 
+def _run_tables(spark, sf_dir):
+    """Twenty runs over all answered and some unanswered queries, and one run without any."""
+    answers = fx.answers(spark, sf_dir).selectExpr("*", "concat('q ', query_id % 40) AS query")
+    asked = answers.selectExpr("query_id", "query", "CASE WHEN query_id % 5 = 0 THEN 'Direct' ELSE 'Generic' END AS type")
+    failed = fx.geo_queries(spark, sf_dir).where("query_id < 0").select("query_id", "query", "type")
+    queries = asked.unionByName(failed).withColumn("run_id", F.abs("query_id") % 20)
+    runs = spark.range(21).selectExpr(
+        "id AS run_id", "concat('https://site', id, '.example.org') AS url", "id * 2 AS queries_to_run", "'2024-01-01 00:00:00' AS saved_at"
+    )
+    redirects = fx.redirects(spark, sf_dir)
+    counts = citations.domain_counts(citations.extract_domains(citations.answer_links(answers, redirects)))
+    return runs, queries, counts, answers, redirects
+
+
+@registered
+def saved_runs(spark, sf_dir):
+    """Runs saved in rows of about ten results, half of them twice, and read again."""
+    rows = saved.saved_runs(*_run_tables(spark, sf_dir), results_per_row=10)
+    path = fx.landed(rows, lambda df, p: writers.write_results(df, p, partition_by=("run_id",), replace=True))
+    writers.write_results(rows.where("run_id % 2 = 0"), path, partition_by=("run_id",), replace=True)
+    results = readers.read_runs(spark, path, lines=True).select(
+        "run_id", "url", "queries_to_run", "saved_at", F.size("generated_queries").alias("listed"), F.explode_outer("analysis_results").alias("r")
+    )
+    return results.selectExpr(
+        "CAST(run_id AS bigint) AS run_id", "url", "queries_to_run", "saved_at", "r.query", "r.query_type",
+        "array_join(transform(r.links, l -> concat(l.domain, ' ', l.count)), '|') AS links",
+        "r.complete_result IS NULL AS failed", "r.complete_result.has_grounding",
+        "size(r.complete_result.grounding_metadata) AS segments",
+        "md5(array_join(flatten(transform(r.complete_result.grounding_metadata, s -> "
+        "transform(s.links, l -> coalesce(l.actual_url, '-')))), '|')) AS urls_md5",
+    )
+
+
+@registered
+def run_state_breakdown(spark, sf_dir):
+    """The report over runs added in three goes, the second of which repeats some."""
+    _, queries, counts, _, _ = _run_tables(spark, sf_dir)
+    queries = queries.select("run_id", "query_id", "query", "type")
+    path = fx.landed(queries.where("run_id < 12"), lambda df, p: saved.add_runs(df, counts, p))
+    for chosen in ("run_id BETWEEN 8 AND 15", "run_id >= 16"):
+        saved.add_runs(queries.where(chosen), counts, path)
+    return saved.state_breakdown(saved.read_state(spark, path))
+
+
+@registered
+def checked_answers(spark, sf_dir):
+    """Saved answers of which every seventh line is cut off: records, and what is broken."""
+    saved_lines = writers.json_lines(
+        fx.answers(spark, sf_dir).selectExpr("CAST(query_id AS string) AS query", "response_text", "true AS has_grounding")
+    ).selectExpr("CASE WHEN CAST(get_json_object(value, '$.query') AS bigint) % 7 = 3 THEN left(value, length(value) - 5) ELSE value END AS value")
+    path = fx.landed(saved_lines, lambda df, p: df.write.text(p))
+    good, bad = readers.checked(spark, path, readers.ANSWER)
+    return good.selectExpr("query", "length(response_text) AS length", "false AS is_broken").unionByName(
+        bad.selectExpr("regexp_extract(broken, '\"query\":\"(-?[0-9]+)', 1) AS query", "CAST(NULL AS int) AS length", "true AS is_broken")
+    )
+
+
 @registered
 def write_results(spark, sf_dir):
     """Domain counts of every query, failures included, written and read again."""

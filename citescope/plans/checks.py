@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from citescope.functions import fixed_values as fixed
 from citescope.plans.oracle import (
+    _quoted,
     contains_any,
     count_of,
     domain,
@@ -829,3 +830,54 @@ CHECKS["write_results"] = query(
 FROM geo_queries q LEFT JOIN counts c ON c.query_id = q.query_id""",
     *_CITATION_VIEWS,
 )
+
+_RUNS = f"""asked AS (
+  SELECT query_id, concat('q ', query_id % 40) AS query, CASE WHEN query_id % 5 = 0 THEN 'Direct' ELSE 'Generic' END AS type, query_id % 20 AS run_id, true AS answered FROM turns
+  UNION ALL SELECT query_id, query, type, abs(query_id) % 20, false FROM geo_queries WHERE query_id < 0),
+linked AS (SELECT g.query_id, g.segment_pos, g.link_pos, r.actual_url,
+    coalesce(nullif({domain('g.title')}, ''), nullif({domain(netloc('r.actual_url'))}, '')) AS domain
+  FROM grounded g LEFT JOIN redirects r ON r.redirect_url = g.redirect_url),
+c AS (SELECT query_id, domain, count(*) AS n, min(segment_pos * 1000 + link_pos) AS seen FROM linked
+  WHERE domain IS NOT NULL GROUP BY query_id, domain)"""
+_RUN_VIEWS = ("grounded", "redirects", "turns", "geo_queries")
+CHECKS["saved_runs"] = query(
+    f"""WITH {_RUNS},
+d AS (SELECT query_id, string_agg(concat(domain, ' ', n), '|' ORDER BY n DESC, seen, domain) AS links FROM c GROUP BY query_id),
+s AS (SELECT query_id, count(*) AS n FROM supports GROUP BY query_id),
+u AS (SELECT query_id, string_agg(coalesce(actual_url, '-'), '|' ORDER BY segment_pos, link_pos) AS urls FROM linked GROUP BY query_id)
+SELECT i.i AS run_id, concat('https://site', i.i, '.example.org') AS url, i.i * 2 AS queries_to_run, '2024-01-01 00:00:00' AS saved_at,
+  a.query, a.type AS query_type, CASE WHEN a.query_id IS NOT NULL THEN coalesce(d.links, '') END AS links,
+  a.answered IS NULL OR NOT a.answered AS failed, CASE WHEN a.answered THEN s.n IS NOT NULL END AS has_grounding,
+  CASE WHEN a.answered THEN coalesce(s.n, 0) END AS segments,
+  CASE WHEN a.answered THEN md5(coalesce(u.urls, '')) END AS urls_md5
+FROM range(0, 21) AS i(i) LEFT JOIN asked a ON a.run_id = i.i LEFT JOIN d ON d.query_id = a.query_id
+LEFT JOIN s ON s.query_id = a.query_id LEFT JOIN u ON u.query_id = a.query_id""",
+    *_RUN_VIEWS,
+)
+CHECKS["run_state_breakdown"] = query(
+    f"""WITH {_RUNS},
+listed AS (SELECT *, min(query_id) OVER (PARTITION BY run_id, query) AS result_id FROM asked)
+SELECT domain, count(*) FILTER (WHERE type = 'Direct') AS direct_count, count(*) FILTER (WHERE type <> 'Direct') AS generic_count, count(*) AS total_count,
+  {percent("count(*) FILTER (WHERE type = 'Direct')", '(SELECT count(*) FROM asked)')} AS direct_percentage,
+  {percent("count(*) FILTER (WHERE type <> 'Direct')", '(SELECT count(*) FROM asked)')} AS generic_percentage,
+  {percent('count(*)', '(SELECT count(*) FROM asked)')} AS total_percentage
+FROM listed l JOIN c ON c.query_id = l.result_id GROUP BY domain""",
+    *_RUN_VIEWS,
+)
+CHECKS["checked_answers"] = query(
+    """SELECT CAST(query_id AS VARCHAR) AS query, CASE WHEN query_id % 7 <> 3 THEN length(response_text) END AS length,
+  query_id % 7 = 3 AS is_broken FROM turns""",
+    "turns",
+)
+CHECKS["normalize_domain_by_rules"] = f"""WITH {HOSTS},
+rules AS (SELECT s.s || '.' || c.c AS rule FROM (SELECT unnest([{_quoted(fixed.SECOND_LEVEL_LABELS)}]) AS s) s, (SELECT unnest([{_quoted(fixed.COUNTRY_CODES)}]) AS c) c
+  UNION SELECT CASE page_id % 5 WHEN 0 THEN array_to_string(string_split(lower(host), '.')[-3:], '.')
+    WHEN 1 THEN '*.' || array_to_string(string_split(lower(host), '.')[-2:], '.') WHEN 2 THEN '!' || lower(host) END FROM hosts),
+names AS (SELECT DISTINCT host, string_split(regexp_replace(lower(host), '^www[.]', ''), '.') AS l FROM hosts),
+ends AS (SELECT host, l, k, array_to_string(l[-k:], '.') AS s FROM names, unnest(range(1, len(l) + 1)) AS r(k)),
+met AS (SELECT host, k AS suffix, 0 AS kind FROM ends JOIN rules ON rule = s
+  UNION ALL SELECT host, k + 1, 0 FROM ends JOIN rules ON rule = '*.' || s WHERE k < len(l)
+  UNION ALL SELECT host, k - 1, 1 FROM ends JOIN rules ON rule = '!' || s),
+suffixes AS (SELECT host, coalesce(max(suffix) FILTER (WHERE kind = 1), max(suffix)) AS suffix FROM met GROUP BY host)
+SELECT page_id, h.host, array_to_string(n.l[-(coalesce(suffix, 1) + 1):], '.') AS domain
+FROM hosts h JOIN names n ON n.host = h.host LEFT JOIN suffixes s ON s.host = h.host"""

@@ -40,6 +40,7 @@ _RESULT = {
     "links": "array<struct<domain:string,count:bigint>>",
     "complete_result": _struct(**_ANSWER),
 }
+RESULT_TYPE = _struct(**_RESULT)
 ANSWER = _table(**_ANSWER)
 RESULT = _table(**_RESULT)
 RUN = _table(
@@ -48,7 +49,10 @@ RUN = _table(
     generated_queries="array<struct<query:string,type:string>>",
     analysis_results=f"array<{_struct(**_RESULT)}>",
     saved_at="string",
+    part="int",
 )
+#: Name of the column that keeps what could not be read.
+BROKEN = "broken"
 
 
 def read_pages(
@@ -106,6 +110,72 @@ def read_runs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return spark.read.schema(RUN).option("multiLine", not lines).json(path)
 
 
+def checked(
+    spark: SparkSession, path: str, schema: str, layout: str = "lines"
+) -> tuple[DataFrame, DataFrame]:
+    """Records of saved files, and what is broken in them.
+
+    The first frame has the schema's columns and ``file``; the second ``file, broken``: the text
+    that is not a record of that schema.  So a broken file, or a broken record, costs its own
+    rows only, and they are listed.  Values of another type than the schema's break a record.
+
+    ``layout`` is how a file is written:
+
+    ``lines``
+        a record on each line; large files are split between tasks.
+    ``document``
+        one record or one array of records, however written; a file is one task.
+    ``indented``
+        one array, indented by two, as saved reports are; records are found by the lines
+        that part them, so one large file is split between tasks.
+
+    Empty files and blank lines have no records.
+    """
+    fields = spark.createDataFrame([], schema).schema
+    if layout == "document":
+        rows = (
+            spark.read.schema(f"{schema}, {BROKEN} string")
+            .option("multiLine", True)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", BROKEN)
+            .json(path)
+            .select("*", F.col("_metadata.file_path").alias("file"))
+        )
+        # The reader has to parse something besides the broken text; the condition holds for all.
+        parsed = f"hash(`{fields[0].name}`) >= -2147483648"
+        bad = rows.where(f"{BROKEN} IS NOT NULL AND {parsed}").select("file", BROKEN)
+        return rows.where(f"{BROKEN} IS NULL").drop(BROKEN), bad
+    reader = spark.read
+    if layout == "indented":
+        reader = reader.option("lineSep", "\n  },\n  {")
+    texts = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    if layout == "indented":
+        # what stands before the first and after the last record, and the braces that
+        # parted records, which the reader has taken
+        inner = F.regexp_replace(F.regexp_replace("text", r"^\s*\[\s*\n  \{", ""), r"\n  \}\s*\n?\]\s*$", "")
+        empty = F.col("text").rlike(r"^\s*(\[\s*\])?\s*$")
+        texts = texts.where(~empty).select("file", F.concat(F.lit("{"), inner, F.lit("\n}")).alias("text"))
+    else:
+        texts = texts.where(~F.col("text").rlike(r"^\s*$"))
+    parsed = texts.select(
+        "file",
+        "text",
+        F.from_json("text", f"{schema}, {BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("r"),
+    )
+    good = parsed.where(f"r IS NOT NULL AND r.{BROKEN} IS NULL").select(*[F.col(f"r.`{f.name}`") for f in fields], "file")
+    bad = parsed.where(f"r IS NULL OR r.{BROKEN} IS NOT NULL").select("file", F.col("text").alias(BROKEN))
+    return good, bad
+
+
+def read_variants(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """``file, record``: saved records of any shape as VARIANT, null where they are not JSON.
+
+    For files whose fields have changed over time: paths are taken with ``try_variant_get``.
+    """
+    texts = spark.read.option("wholetext", not lines).text(path).where(r"NOT value RLIKE '^\\s*$'")
+    return texts.select(F.col("_metadata.file_path").alias("file"), F.expr("try_parse_json(value)").alias("record"))
+
+
 def parse_answers(rows: DataFrame, json: str, key: str = "query_id") -> DataFrame:
     """Answers kept as JSON text in a column; malformed text gives null fields."""
     return rows.select(key, F.from_json(json, ANSWER).alias("a")).select(key, "a.*")
