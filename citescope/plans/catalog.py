@@ -516,22 +516,14 @@ def rule_recommendations(spark, sf_dir):
 
 @registered
 def fill_recommendations(spark, sf_dir):
-    """Every page with the findings that its number leaves it, filled to four."""
-    rules = audit.rule_recommendations(_analysis(spark, sf_dir))
-    cut = rules.selectExpr(
-        "page_id",
-        "slice(recommendations, 1, CAST(page_id % 5 AS int)) AS recommendations",
-    )
-    return audit.recommendation_rows(audit.fill_recommendations(cut))
-
-
-@registered
-def fill_all_recommendations(spark, sf_dir):
     """Every page with all its findings, filled to four."""
     rules = audit.rule_recommendations(_analysis(spark, sf_dir))
     return audit.recommendation_rows(audit.fill_recommendations(rules))
 
 
+QUERIES["fill_all_recommendations"] = QUERIES["fill_recommendations"]
+
+
 @registered
 def parse_recommendations(spark, sf_dir):
     found = audit.parse_recommendations_strict(fx.llm_responses(spark, sf_dir))

@@ -573,17 +573,10 @@ CHECKS["fill_recommendations"] = query(
 SELECT p.page_id, CAST(f.pos AS BIGINT) AS pos, coalesce(r.title, f.title) AS title,
   coalesce(r.description, f.description) AS description, coalesce(r.priority, f.priority) AS priority
 FROM geo_pages p CROSS JOIN fillers f
-LEFT JOIN recs r ON r.page_id = p.page_id AND r.pos = f.pos AND r.pos < p.page_id % 5""",
-    *_FULL_VIEWS,
-)
-CHECKS["fill_all_recommendations"] = query(
-    f"""WITH {RECS}, fillers(pos, title, description, priority) AS (VALUES {_FILLERS})
-SELECT p.page_id, CAST(f.pos AS BIGINT) AS pos, coalesce(r.title, f.title) AS title,
-  coalesce(r.description, f.description) AS description, coalesce(r.priority, f.priority) AS priority
-FROM geo_pages p CROSS JOIN fillers f
 LEFT JOIN recs r ON r.page_id = p.page_id AND r.pos = f.pos""",
     *_FULL_VIEWS,
 )
+CHECKS["fill_all_recommendations"] = CHECKS["fill_recommendations"]
 _PARSED = """parsed(page_id, pos, title, description, priority) AS (
   SELECT page_id, 0, concat('Add title ', page_id), concat('Write a title that names page ', page_id, ' clearly.'), 'High' FROM pages WHERE page_id % 7 = 0
   UNION ALL SELECT page_id, 0, concat('One ', page_id), 'Use headings that a model can follow.', 'Low' FROM pages WHERE page_id % 7 = 1
