@@ -26,8 +26,9 @@ from citescope.llm import words as W
 from citescope.llm.bins import RoomTree
 from citescope.llm.shared import Scratch
 
-#: Distinct words and runs of characters that a worker remembers before it starts anew.
-CACHED = 3 << 17
+#: Bytes of words and runs of characters that a worker remembers before it starts anew, what
+#: an entry takes besides its text and ids, and the longest run that is remembered.
+CACHED_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 110, 64
 #: The character that stands for each byte in a byte-level vocabulary: printable ones of
 #: Latin-1 for themselves, the others in order from U+0100 on.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -65,6 +66,17 @@ class Ids:
         self.whole_if = [t["content"] for t in found.get("added_tokens", [])] + spaces
         #: Words, and runs of several words; a run that is one word is the same entry.
         self.known: dict[str, bytes] = {}
+        self.room = CACHED_BYTES
+
+    def _remember(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= LONGEST:
+            # Beyond Latin-1 a letter takes two bytes or four.
+            self.room -= ENTRY_BYTES + len(text) * (1 if text.isascii() else 4) + len(ids)
+            if self.room < 0:
+                self.known.clear()
+                self.room = CACHED_BYTES
+            self.known[text] = ids
+        return ids
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -82,7 +94,7 @@ class Ids:
         found = self.known.get(word)
         if found is None:
             tokens = self.tokenizer.model.tokenize("".join([BYTE_CHARACTERS[b] for b in word.encode()]))
-            found = self.known[word] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            found = self._remember(word, np.array([t.id for t in tokens], dtype="<u4").tobytes())
         return found
 
     def __call__(self, text: str) -> bytes:
@@ -96,12 +108,7 @@ class Ids:
         try:
             return b"".join([known[r] for r in found])
         except KeyError:
-            if len(known) > CACHED:
-                known.clear()
-            for r in found:
-                if r not in known:
-                    known[r] = self._run(r)
-            return b"".join([known[r] for r in found])
+            return b"".join([known.get(r) or self._remember(r, self._run(r)) for r in found])
 
 
 _IDS: dict[str, Ids] = {}
