@@ -271,10 +271,6 @@ def title_text(token_array: Expr) -> Expr:
     )
 
 
-#: Tags that are folded together.
-CHUNK_TAGS = 512
-
-
 def spans(token_array: Expr, wanted) -> Expr:
     """array<struct<pos, close>> of the wanted elements.
 
@@ -285,8 +281,6 @@ def spans(token_array: Expr, wanted) -> Expr:
 
     A fold over the tags keeps the open elements, and what it has closed, as text: Spark
     copies the state of a fold at every step, and a text is copied as one block of memory.
-    Runs of tags are folded by themselves, so what was closed before a run is copied once
-    for the run and not for each of its tags.
     Tags that cannot matter are left out first: an element that no later end tag can close
     by its name, unless it is wanted, and an end tag before any start tag of its name.
     """
@@ -354,9 +348,7 @@ def _that_matter(items: Expr) -> Expr:
 def _close_positions(items: Expr, end: Expr) -> Expr:
     """Lines of ``open``: name and, for a wanted element, position.
 
-    Names hold no white space, so line ends and form feeds can part them.  ``done`` has
-    blocks of such lines, each after the position that closes them.  Of no tags nothing is
-    open; the list of runs then is of one, which is empty.
+    Names hold no white space, so line ends and form feeds can part them.  ``done`` has blocks of such lines, each after the position that closes them.
     """
     start = F.struct(F.lit("").alias("open"), F.lit("").alias("done"))
 
@@ -415,23 +407,10 @@ def _close_positions(items: Expr, end: Expr) -> Expr:
             ),
         )
 
-    def chunk(state, k):
-        """A run of tags, whose closed elements are kept apart from those before."""
-        return let(
-            F.aggregate(
-                F.slice(items, k * CHUNK_TAGS + 1, F.lit(CHUNK_TAGS)),
-                F.struct(state["open"].alias("open"), F.lit("").alias("done")),
-                step,
-            ),
-            lambda after: F.struct(
-                after["open"].alias("open"), F.concat(state["done"], after["done"]).alias("done")
-            ),
-        )
-
     return F.aggregate(
-        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK_TAGS).cast("int")),
+        items,
         start,
-        chunk,
+        step,
         lambda state: F.array_sort(
             F.flatten(
                 F.transform(
