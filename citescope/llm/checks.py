@@ -9,7 +9,7 @@ LOWERED = f"translate(text, '{UPPER}', '{LOWER}')"
 
 CHECKS: dict[str, str] = {}
 
-#: Notices by which texts name a licence.
+#: Notices by which texts name a licence, and whole texts of short licences.
 NOTICES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -34,6 +34,44 @@ NOTICES = [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
         'associated documentation files (the "Software"), to deal in the Software without restriction',
     ),
+    (
+        "mit-text",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        'associated documentation files (the "Software"), to deal in the Software without restriction, including '
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all "
+        'copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY '
+        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+        "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc-text",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+        "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+        "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "bsd-2-clause-text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE "
+        'COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     ("mpl-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
@@ -107,27 +145,19 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 _NOTICES = ", ".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in NOTICES)
 CHECKS["op3_license_scan"] = rf"""
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT doc_id, regexp_extract_all({LOWERED}, '{_ITEM_WORDS}') AS w FROM documents),
 t AS (
   SELECT template_id, regexp_extract_all({LOWERED}, '{_ITEM_WORDS}') AS w FROM (VALUES {_NOTICES}) AS v(template_id, text)),
 ts AS (
   SELECT DISTINCT template_id, array_to_string(w[i : i + 4], ' ') AS s FROM t, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i)),
-classes(size) AS (SELECT 4 UNION ALL SELECT CAST(ceil(size * 5 / 4) AS INTEGER) FROM classes WHERE size < 1000),
-tn AS (
-  SELECT template_id, n, (SELECT min(size) FROM classes WHERE size >= n) AS size
-  FROM (SELECT template_id, count(*) AS n FROM ts GROUP BY template_id)),
+tn AS (SELECT template_id, count(*) AS n FROM ts GROUP BY template_id),
 places AS (
-  SELECT doc_id, i - 1 AS p, array_to_string(w[i : i + 4], ' ') AS s
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
   FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0),
-hits AS (SELECT doc_id, p, s, template_id, n, size FROM places JOIN ts USING (s) JOIN tn USING (template_id)),
-windows AS (
-  SELECT doc_id, template_id, n, s, p // size AS j FROM hits
-  UNION ALL SELECT doc_id, template_id, n, s, p // size - 1 FROM hits WHERE p >= size),
-shares AS (
-  SELECT doc_id, template_id, j, 100 * count(DISTINCT s) // any_value(n) AS share FROM windows
-  GROUP BY doc_id, template_id, j HAVING 100 * count(DISTINCT s) >= 80 * any_value(n)),
-found AS (SELECT doc_id, template_id, max(share) AS share FROM shares GROUP BY doc_id, template_id)
+found AS (
+  SELECT doc_id, template_id, 100 * count(*) // any_value(n) AS share FROM places JOIN ts USING (s) JOIN tn USING (template_id)
+  GROUP BY doc_id, template_id HAVING 100 * count(*) >= 80 * any_value(n))
 SELECT doc_id, count(template_id) AS n_licenses,
   coalesce(string_agg(template_id, ',' ORDER BY template_id), '') AS licenses,
   CAST(coalesce(max(share), 0) AS BIGINT) AS best_per_cent

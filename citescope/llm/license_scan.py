@@ -1,10 +1,19 @@
-"""Licence notices in texts: shared shingles retrieve templates, exact containment decides.
+"""Licence notices in texts: MinHash bands of windows retrieve templates, exact containment decides.
 
-An index leads from each word shingle of any template to the templates that have it.  The
-distinct shingles of a whole text that stand in the index are counted for each template, so
-the count is exact, and does not depend on where in the text the shingles stand or on what is
-inserted between them.  Texts without such a shingle cost one search.  The counting of a text
-takes at most one entry for each (template, shingle) of the block.
+A one-permutation MinHash cuts the hash range into ``bands`` parts; each part's smallest hash
+is a band by itself, and a part without a hash has none.  A text is read in windows of as many
+shingles as the template's class of sizes, each overlapping the next by half, and a window
+retrieves the templates with which it shares a band.  With 1,024 bands a window of similarity
+``j`` to a template misses it with a probability of at most (1 - j)^1024, which is 2e-5 at a
+similarity of 0.01; of three shingles of a short notice each is the smallest of its part
+in a window of sixteen with a probability of 0.99, and each stands in two windows.  So half a notice, or one cut into many pieces, is
+retrieved all the same.
+
+A window can only share a band if one of its shingles is a band of a template, so only
+windows around such shingles are formed, and texts without any cost one search.
+
+What is retrieved is verified in the whole text: its distinct shingles that stand in the
+template are counted exactly, wherever they stand and whatever is inserted between them.
 
 The templates are read in blocks of bounded size, each one more pass over a row in place.
 """
@@ -23,6 +32,8 @@ from pyspark.sql import types as T
 from citescope.llm import words as W
 
 BLOCK_BYTES = 8 << 20
+#: Parts of the hash range, and the shortest window in shingles; both powers of two.
+BANDS, LEAST_WINDOW = 1 << 10, 16
 
 
 class Templates(NamedTuple):
@@ -33,24 +44,68 @@ class Templates(NamedTuple):
     known: np.ndarray
     firsts: np.ndarray
     owners: np.ndarray
+    #: The same for bands, and the length of the windows that can retrieve each template.
+    bands: np.ndarray
+    band_firsts: np.ndarray
+    band_owners: np.ndarray
+    windows: np.ndarray
+    parts: int
 
 
-def template_block(rows: list[tuple[str, str]], n: int) -> Templates:
-    column = pa.array([text for _, text in rows], pa.large_string())
-    sets = list(W.shingle_sets(column, n, W.ALNUM_WORD))
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct numbers of all sets, where the sets of each begin, and these sets."""
     every = np.concatenate(sets) if sets else np.zeros(0, W.U64)
     order = np.argsort(every, kind="stable")
     known, firsts = np.unique(every[order], return_index=True)
-    owners = np.repeat(np.arange(len(sets)), sizes)[order]
-    return Templates([i for i, _ in rows], sizes, known, np.append(firsts, len(every)), owners)
+    return known, np.append(firsts, len(every)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+
+
+def minima(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The smallest hash of each part of the hash range that has any, in order."""
+    hashes = np.unique(hashes)
+    part = hashes >> W.U64(64 - (parts - 1).bit_length())
+    return hashes[np.diff(part, prepend=~part[:1]) != 0]
+
+
+def template_block(rows: list[tuple[str, str]], n: int, parts: int = BANDS) -> Templates:
+    column = pa.array([text for _, text in rows], pa.large_string())
+    sets = list(W.shingle_sets(column, n, W.ALNUM_WORD))
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    windows = np.array([max(LEAST_WINDOW, 1 << int(max(1, k) - 1).bit_length()) for k in sizes.tolist()], dtype=np.int64)
+    bands = [minima(W.mix(s, seed=90), parts) for s in sets]
+    return Templates([i for i, _ in rows], sizes, *_index(sets), *_index(bands), windows, parts)
 
 
-def _owners(numbers: np.ndarray, templates: Templates) -> tuple[np.ndarray, np.ndarray]:
-    """The templates that have these known shingles, and for each entry which of the given it is."""
-    low, count = templates.firsts[numbers], templates.firsts[numbers + 1] - templates.firsts[numbers]
+def _retrieved(shingles: np.ndarray, templates: Templates) -> np.ndarray:
+    """Templates that share a band with a window of the text, as numbers in order."""
+    hashes = W.mix(shingles, seed=90)
+    at = np.minimum(np.searchsorted(templates.bands, hashes), len(templates.bands) - 1)
+    places = np.flatnonzero(templates.bands[at] == hashes)
+    if not len(places):
+        return places
+    owners, which = _expanded(at[places], templates.band_firsts, templates.band_owners)
+    length, place = templates.windows[owners], places[which]
+    # Each place stands in two windows, which begin at multiples of half their length.
+    found = []
+    for back in (0, 1):
+        number = place // (length // 2) - back
+        order = np.lexsort([number, length])
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(length[order]) != 0) | (np.diff(number[order]) != 0)
+        for own in np.split(order, np.flatnonzero(new)[1:]):
+            if number[own[0]] < 0:
+                continue
+            begin, size = int(number[own[0]] * (length[own[0]] // 2)), int(length[own[0]])
+            shared = minima(hashes[begin : begin + size], templates.parts)
+            found.append(owners[own[np.isin(hashes[place[own]], shared)]])
+    return np.unique(np.concatenate(found))
+
+
+def _expanded(numbers: np.ndarray, firsts: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The owners of these numbers of an index, and for each entry which of the given it is."""
+    low, count = firsts[numbers], firsts[numbers + 1] - firsts[numbers]
     which = np.repeat(np.arange(len(numbers)), count)
-    return templates.owners[np.arange(len(which)) + np.repeat(low - np.cumsum(count) + count, count)], which
+    return owners[np.arange(len(which)) + np.repeat(low - np.cumsum(count) + count, count)], which
 
 
 def _shortest(places: list[int], numbers: list[int], wanted: int) -> tuple[int, int]:
@@ -70,13 +125,16 @@ def _shortest(places: list[int], numbers: list[int], wanted: int) -> tuple[int,
 def _found(shingles: np.ndarray, templates: Templates, per_cent: int) -> dict[str, tuple[int, int, int]]:
     """For each template in a text: share found, first and last place of these shingles."""
     out: dict[str, tuple[int, int, int]] = {}
+    retrieved = _retrieved(shingles, templates)
+    if not len(retrieved):
+        return out
     at = np.minimum(np.searchsorted(templates.known, shingles), len(templates.known) - 1)
     places = np.flatnonzero(templates.known[at] == shingles)
-    if not len(places):
-        return out
     at = at[places]
     numbers = np.unique(at)
-    owners, which = _owners(numbers, templates)
+    owners, which = _expanded(numbers, templates.firsts, templates.owners)
+    chosen = np.isin(owners, retrieved)
+    owners, which = owners[chosen], which[chosen]
     order = np.argsort(owners, kind="stable")
     near, starts, counts = np.unique(owners[order], return_index=True, return_counts=True)
     enough = 100 * counts >= per_cent * templates.sizes[near]

@@ -376,3 +376,46 @@ def test_registered_mixture(spark, tokenizer_path):
 
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     check_sequences(QUERIES["op13_mixture_packing"](spark, SF).collect(), texts, tokenizer_path)
+
+
+# --- licences
+
+
+def test_minima_of_parts():
+    from citescope.llm import license_scan
+
+    hashes = np.array([5, 3, 2**63, 2**63 + 9, 2**62, 7, 3], dtype=np.uint64)
+    assert license_scan.minima(hashes, 4).tolist() == [3, 2**62, 2**63]
+    assert license_scan.minima(hashes[:0], 4).tolist() == []
+    assert license_scan.minima(hashes, 2).tolist() == [3, 2**63]
+
+
+def test_long_templates_and_near_copies_of_them_are_all_retrieved(spark):
+    """Every pair with at least four fifths of a template in common is found, wherever it stands."""
+    from citescope.llm import license_scan
+
+    rng = random.Random(12)
+    templates, texts = [], []
+    for k in range(24):
+        words = prose(700 + k, rng.choice([9, 20, 60, 300, 2000, 5000])).split()
+        templates.append((f"t{k}", " ".join(words)))
+        near = [w if rng.random() > 0.01 else "changed" for w in words]
+        templates.append((f"t{k}-near", " ".join(near)))
+        cuts = sorted(rng.sample(range(1, len(words)), min(len(words) - 1, rng.choice([1, 2, 3]))))
+        pieces = [words[a:b] for a, b in zip([0, *cuts], [*cuts, len(words)])]
+        shuffled = pieces[1:] + pieces[:1]
+        texts.append(" ".join([prose(900 + k, 80), *[" ".join(p) + " " + prose(1000 + 7 * k + i, 400) for i, p in enumerate(pieces)]]))
+        texts.append(" ".join(" ".join(p) + " " + prose(2000 + 7 * k + i, 30) for i, p in enumerate(shuffled)))
+        texts.append(" ".join(words[: int(len(words) * rng.choice([0.75, 0.85]))]))
+    texts += [" ".join(t for _, t in templates), "", None, prose(5, 20_000)]
+    frame = spark.createDataFrame(templates, "template_id string, text string")
+    found = license_scan.license_scan(documents(spark, list(enumerate(texts))), frame).collect()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in templates)}
+    pairs = 0
+    for r in found:
+        words = (texts[r.doc_id] or "").split()
+        own = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        expected = {i: 100 * len(s & own) // len(s) for i, s in sets.items() if 100 * len(s & own) >= 80 * len(s)}
+        assert {m.template_id: m.per_cent for m in r.matches} == expected
+        pairs += len(expected)
+    assert pairs > 100
