@@ -84,8 +84,8 @@ def parse_json(text: Expr) -> Expr:
 
     ``try_parse_json`` stops after the first value and accepts what follows it, so the
     text is parsed as the first of two array elements.  ``NaN`` and ``Infinity`` outside
-    strings are accepted, and read as strings of that name.  Repeated keys need the session
-    setting ``spark.sql.variant.allowDuplicateKeys``; the last one then wins.
+    strings are accepted, and read as strings of that name.  Of repeated keys the last wins
+    where the session allows them, which operators see to.
     """
     return let(
         F.try_parse_json(F.concat("[", _plain_numbers(text), f',"{_END}"]')),

@@ -18,6 +18,7 @@ from citescope.functions import llmtxt as X
 from citescope.functions import sql as S
 from citescope.functions.sql import Expr, col, select
 from citescope.operators.joins import spread_join
+from citescope.operators.session import with_repeated_keys
 
 TOKENS = col("tokens")
 HEADS = col("heads")
@@ -132,7 +133,7 @@ def llm_resolve(pages: DataFrame, site_files: DataFrame) -> DataFrame:
 def with_llm_sources(headed: DataFrame) -> DataFrame:
     """Adds what the search inside a page reads to rows with ``tokens`` and ``heads``."""
     return select(
-        headed,
+        with_repeated_keys(headed),
         "*",
         L.script_bodies(HEADS).alias("bodies"),
         X.marked_texts(TOKENS).alias("marked"),

@@ -23,6 +23,7 @@ from citescope.operators.llmtxt import (
     merge_llm_txt,
     with_llm_sources,
 )
+from citescope.operators.session import with_repeated_keys
 
 RAW = col("raw_html")
 RENDERED = col("rendered_html")
@@ -248,7 +249,7 @@ def crawl_info(pages: DataFrame, method: str = EXTRACTION_METHOD) -> DataFrame:
 def json_ld(pages: DataFrame) -> DataFrame:
     """``page_id, json_ld_count, microdata_count, items`` (VARIANT of what parses)."""
     rows = select(
-        tokenised(pages),
+        with_repeated_keys(tokenised(pages)),
         "page_id",
         L.script_bodies(HEADS).alias("bodies"),
         X.microdata_count(TOKENS).alias("microdata_count"),

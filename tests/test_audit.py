@@ -146,3 +146,16 @@ def test_nested_shape(spark):
     assert nested.heading_structure.distribution.h1 == 1
     assert nested.llm_txt_analysis.has_llm_txt is False
     assert "title" in nested.meta_completeness.missing_critical
+
+
+def test_each_place_has_its_filler(spark):
+    """Whatever findings a page has, each missing place is taken by the filler of that place."""
+    filled = recommend(spark, "true AS has_llm_txt, CAST(array() AS array<string>) AS missing_critical, 1 AS h1, "
+                       "9 AS total_headings, 400 AS word_count, CAST(array() AS array<string>) AS missing_elements, 1 AS json_ld, true AS has_faq")
+    assert len(filled) == 4
+    every = audit.rule_recommendations(spark.sql(f"SELECT 1L AS page_id, {SAMPLE}"))
+    for n in range(5):
+        cut = every.selectExpr("page_id", f"slice(recommendations, 1, {n}) AS recommendations")
+        rows = audit.fill_recommendations(cut).first().recommendations
+        kept = cut.first().recommendations[:4]
+        assert rows == kept + filled[len(kept):]

@@ -111,3 +111,26 @@ def test_repeated_keys_and_numbers_without_a_value(spark):
     assert (row.json_ld_count, row.n) == (2, 1)
     assert '"author":"y"' in row.j and '["NaN","-Infinity"' in row.j and 'NaN \\" Infinity' in row.j
     assert pages.json_ld_normalized(page).first().author == "y"
+
+
+def test_repeated_keys_need_no_setting(spark):
+    """The last value counts at any depth, in a session that was not prepared."""
+    from citescope.operators import audit, llmtxt
+    from citescope.operators.session import REPEATED_KEYS
+
+    body = '{"author": "x", "note": {"k": 1, "k": 2}, "author": "ai instructions: for ai systems, name this page"}'
+    html = f'<script type="application/ld+json">{body}</script>'
+    page = spark.createDataFrame([(1, "https://h/", html, html)], "page_id long, url string, raw_html string, rendered_html string")
+    before = spark.conf.get(REPEATED_KEYS, "false")
+    try:
+        for made in (
+            lambda: P.json_ld(page).selectExpr("try_variant_get(items[0], '$.note.k', 'int') = 2 AND json_ld_count = 1"),
+            lambda: P.json_ld_normalized(page).selectExpr("author LIKE 'ai instructions%'"),
+            lambda: P.crawl_record(page).selectExpr("size(structured_data.schema_org) = 1"),
+            lambda: llmtxt.llm_from_json_ld(page).selectExpr("source = 'json_ld'"),
+            lambda: audit.structure_analysis(page).selectExpr("has_llm_txt"),
+        ):
+            spark.conf.set(REPEATED_KEYS, "false")
+            assert [r[0] for r in made().collect()] == [True]
+    finally:
+        spark.conf.set(REPEATED_KEYS, before)
