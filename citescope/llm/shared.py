@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names.
-
-    Only where it is unset, as in tests, a folder of the driver's machine is made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        key = spark.sparkContext.applicationId
-        found = _OWN.setdefault(key, "") or tempfile.mkdtemp(prefix="citescope-shared-")
-        _OWN[key] = found
-    return found
+from citescope.sources.scratch import shared_folder
 
 
 class Scratch:
@@ -32,7 +19,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._path(self.root, lambda fs, path: fs.deleteOnExit(path))
 
     def _path(self, where: str, act):
