@@ -21,6 +21,7 @@ from citescope.functions import fixed_values as fixed
 from citescope.functions import sql as S
 from citescope.functions.sql import Expr, col, select
 from citescope.functions.urls import normalize_domain, resolve_link, url_netloc
+from citescope.operators.joins import SALTS
 from citescope.operators.query_sets import percent_of, query_type_summary
 from citescope.sources.scratch import Scratch
 
@@ -383,14 +384,19 @@ def query_details(
 def top_domains(
     breakdown: DataFrame, n: int = fixed.CHART_DOMAINS, by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """The first ``n`` domains of a breakdown (of each group) for the chart."""
+    """The first ``n`` domains of a breakdown (of each group) for the chart; ties by domain.
+
+    A group may have very many domains.  It is cut by the hash of the domain, each part keeps
+    its first ``n`` (before the shuffle as well, as Spark limits groups by rank), and the group
+    takes the first of these, so no group is sorted as a whole.
+    """
     if by:
-        order = Window.partitionBy(*by).orderBy(F.desc("total_percentage"), "domain")
-        return (
-            breakdown.withColumn("place", F.row_number().over(order))
-            .where(F.col("place") <= n)
-            .select(*by, "domain", "direct_percentage", "generic_percentage")
-        )
+        order = [F.desc("total_percentage"), F.asc("domain")]
+        parts = breakdown.withColumn("_part", F.pmod(F.xxhash64("domain"), F.lit(SALTS)))
+        for keys in ([*by, "_part"], [*by]):
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+            parts = parts.withColumn("_place", place).where(F.col("_place") <= n)
+        return parts.select(*by, "domain", "direct_percentage", "generic_percentage")
     return (
         breakdown.orderBy(F.desc("total_percentage"), "domain")
         .limit(n)

@@ -711,6 +711,14 @@ def top_domains(spark, sf_dir):
     return citations.top_domains(breakdown)
 
 
+@registered
+def top_hosts_by_group(spark, sf_dir):
+    """The first hosts of each group of queries."""
+    queries = fx.geo_queries(spark, sf_dir).withColumn("run", F.col("query_id") % 3)
+    breakdown = citations.domain_breakdown(queries, _counts(spark, sf_dir, "host"), ("run",))
+    return citations.top_domains(breakdown, by=("run",))
+
+
 @registered
 def query_domain_chart(spark, sf_dir):
     return citations.query_domain_chart(_counts(spark, sf_dir))

@@ -775,6 +775,11 @@ CHECKS["top_domains"] = query(
 ORDER BY total_percentage DESC, domain LIMIT {fixed.CHART_DOMAINS}""",
     *_CITATION_VIEWS,
 )
+CHECKS["top_hosts_by_group"] = query(
+    f"""WITH {_breakdown('run', _HOST)} SELECT run, domain, direct_percentage, generic_percentage FROM breakdown
+QUALIFY row_number() OVER (PARTITION BY run ORDER BY total_percentage DESC, domain) <= {fixed.CHART_DOMAINS}""",
+    *_CITATION_VIEWS,
+)
 CHECKS["query_domain_chart"] = query(
     f"WITH {_counted()} SELECT query_id, domain, count AS mentions FROM counts",
     *_CITATION_VIEWS,
