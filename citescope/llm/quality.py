@@ -14,8 +14,8 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,8 +149,8 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
-#: Rows of the normal equations that travel together.
-BLOCK = 64
+#: Rows of the normal equations that travel together, and blocks that one task adds.
+BLOCK, ADDED = 64, 32
 
 
 def _normal(model: Model):
@@ -165,23 +165,31 @@ def _normal(model: Model):
                 part = a.T @ np.hstack([a, y[low : low + 2048, None]])
                 total = part if total is None else total + part
         if total is not None:
+            task = TaskContext.get().partitionId()
             for low in range(0, len(total), BLOCK):
+                block = total[low : low + BLOCK].astype("<f8").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([low], pa.int32()), pa.array([total[low : low + BLOCK].astype("<f8").tobytes()], pa.binary())],
-                    names=["low", "part"],
+                    [pa.array([low], pa.int32()), pa.array([task], pa.int32()), pa.array([block], pa.binary())],
+                    names=["low", "task", "part"],
                 )
 
     return run
 
 
-def _added(part: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    total = None
-    low = 0
-    for rows in part:
-        for at, data in zip(rows["low"], rows["part"]):
-            low, values = at, np.frombuffer(data, dtype="<f8")
-            total = values if total is None else total + values
-    return pd.DataFrame({"low": [low], "part": [total.tobytes()]})
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of at most ``ADDED`` blocks."""
+    total = sum(np.frombuffer(data.as_buffer(), dtype="<f8") for data in table.column("part"))
+    task = table.column("task")[0].as_py() // ADDED
+    return pa.table({"low": table.column("low")[:1], "task": pa.array([task], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+
+def summed(parts: DataFrame, many: int) -> DataFrame:
+    """``low, part``: the sums of blocks of ``many`` tasks, so many at a time in each round."""
+    while True:
+        parts = parts.groupBy("low", F.expr(f"task div {ADDED}")).applyInArrow(_added, "low int, task int, part binary")
+        many = -(-many // ADDED)
+        if many <= 1:
+            return parts.select("low", "part")
 
 
 def isotonic(counts: np.ndarray, means: np.ndarray) -> np.ndarray:
@@ -250,10 +258,8 @@ def train(
         np.zeros(0),
         np.zeros(0),
     )
-    parts = (
-        rows.where("NOT aside").mapInArrow(_normal(model), "low int, part binary")
-        .groupBy("low").applyInPandas(lambda part: _added(iter([part])), "low int, part binary").collect()
-    )
+    learned = rows.where("NOT aside").mapInArrow(_normal(model), "low int, task int, part binary")
+    parts = summed(learned, learned.rdd.getNumPartitions()).collect()
     size = waves + len(NAMES) + 1
     total = np.zeros((size, size + 1))
     for r in parts:

@@ -86,3 +86,25 @@ def test_all_stages(spark, tmp_path, monkeypatch):
         assert p.offset == sequences.get(p.sequence_id, 0)
         sequences[p.sequence_id] = p.offset + p.length
     assert max(sequences.values()) <= 2048 and len(sequences) == max(best_fit_decreasing(lengths, 2048)) + 1
+
+
+def test_stages_take_awkward_and_empty_tables(spark, tmp_path):
+    from cases import TEXTS, documents, empty
+
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for docs, count in ((documents(spark), len(TEXTS)), (empty(spark), 0)):
+        rows = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, str(tmp_path))
+            assert out.schema.simpleString() == docs.schema.simpleString(), name
+            before = rows.count()
+            rows = Scratch(spark, "stage").save(out, "rows")
+            assert rows.count() <= before
+        left = [(r.doc_id, r.text) for r in rows.collect()]
+        assert len(left) <= count
+        if count:
+            for awkward in ((6, None), (None, None), (7, ""), (8, " \n\t")):
+                assert awkward in left
+        pieces = corpus_pipeline.packed(spark, rows, str(tmp_path)).collect()
+        assert sum(p.piece == 0 for p in pieces) == len(left)
