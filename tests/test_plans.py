@@ -65,7 +65,7 @@ def test_source_does_not_reach_the_joins_of_a_record(spark):
 
 
 def test_scan_reads_needed_columns(spark):
-    assert "ReadSchema: struct<page_id:bigint,url:string>" in plan(spark, "llm_candidates")
+    assert "ReadSchema: struct<url:string>" in plan(spark, "llm_candidates")
 
 
 def test_domain_counts_combine_before_the_shuffle(spark):
