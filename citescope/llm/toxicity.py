@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,7 +154,10 @@ def train(
         .mapInArrow(_rows(bits), "shard int, place long, label double, slots array<int>"),
         "rows",
     )
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    # One shard for each task: a hash of so few numbers would put several into one.
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "place")
+    # Kept between the epochs; what an executor loses is made from the written rows again.
+    dealt.persist(StorageLevel.DISK_ONLY)
     z, n = np.zeros((1 << bits) + 1, dtype=np.float32), np.zeros((1 << bits) + 1, dtype=np.float32)
     rates = (alpha, beta, l1, l2)
 
@@ -168,6 +172,7 @@ def train(
             both = np.frombuffer(r.state, dtype="<f4")
             half = len(both) // 2
             z[r.low : r.low + half], n[r.low : r.low + half] = both[:half], both[half:]
+    dealt.unpersist()
     scratch.drop("rows")
     weights = Ftrl(z, n, *rates).weights()
     slots = np.flatnonzero(weights)
