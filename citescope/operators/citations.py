@@ -62,9 +62,8 @@ def redirect_ends(redirects: DataFrame) -> DataFrame:
     state = single.join(known, "actual_url", "left").select(
         "redirect_url", "actual_url", F.lit(1).cast("bigint").alias("hops"), F.coalesce("open", F.lit(False)).alias("open")
     )
-    left, step = state.where("open").count(), 0
-    if left:
-        state = scratch.save(state, "round-0")
+    state, left = scratch.save_counting(state, "round-0", "open")
+    step = 0
     while left:
         step += 1
         further = state.select(
@@ -79,13 +78,10 @@ def redirect_ends(redirects: DataFrame) -> DataFrame:
             (F.col("hops") + F.col("more")).alias("hops"),
             F.col("next_open").alias("open"),
         )
-        state = scratch.save(state.where("NOT open").unionByName(moved), f"round-{step}")
-        still = state.where("open").count()
+        state, still = scratch.save_counting(state.where("NOT open").unionByName(moved), f"round-{step}", "open")
         if still == left:
             break
         left = still
-    if not step:
-        return single.withColumn("hops", F.lit(1).cast("bigint"))
     return state.select(
         "redirect_url",
         F.when(~F.col("open"), F.col("actual_url")).alias("actual_url"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -42,3 +43,10 @@ class Scratch:
         where = f"{self.root}/{name}"
         df.write.parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
+
+    def save_counting(self, df: DataFrame, name: str, condition: str) -> tuple[DataFrame, int]:
+        """The written table, and how many of its rows meet a condition, counted while writing."""
+        seen = Observation()
+        saved = self.save(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), name)
+        # of a plan that turns out to be empty nothing is observed
+        return saved, int(seen.get.get("n") or 0)
