@@ -26,9 +26,12 @@ from citescope.llm import words as W
 from citescope.llm.bins import RoomTree
 from citescope.llm.shared import Scratch
 
-#: Bytes of words and runs of characters that a worker remembers before it starts anew, what
-#: an entry takes besides its text and ids, and the longest run that is remembered.
+#: Bytes of runs of characters that a worker remembers before it starts anew, what an entry
+#: takes besides its text and ids, and the longest run that is remembered.
 CACHED_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 110, 64
+#: Runs looked up at a time, a character of one byte that lower-case text does not have, and
+#: the first one beyond Latin letters.
+RUNS, END, BEYOND = 1 << 16, "A", "\u0250"
 #: The character that stands for each byte in a byte-level vocabulary: printable ones of
 #: Latin-1 for themselves, the others in order from U+0100 on.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -39,11 +42,12 @@ BYTE_CHARACTERS = [chr(b if b in _PRINTED else next(_OTHERS)) for b in range(256
 class Ids:
     """Token ids of texts as little-endian 32-bit numbers, equal to the tokenizer's own.
 
-    A tokenizer that lowers a text, drops white space and encodes the bytes of each word
-    alone is asked once for each distinct word, and runs of characters between white space
-    are remembered with their ids.  Texts with one of its special strings or with a character
-    that is white space by only one of the two definitions, and all texts of any other kind
-    of tokenizer, are given to it whole."""
+    For a tokenizer that lowers a text, drops white space and encodes the bytes of each word
+    alone, runs of characters between white space are remembered with their ids.  New runs of
+    a text are encoded together, by a library that works by rank, where the file's merges have
+    their ids in order.  Texts with one of its special strings or with a character that is
+    white space by only one of the two definitions, and all texts of any other kind of
+    tokenizer, are given to it whole."""
 
     def __init__(self, path: str):
         import json
@@ -62,40 +66,59 @@ class Ids:
         kinds = [s.get("type") for s in (found.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         plain = steps == ["NFC", "Replace", "Lowercase"] and kinds == ["Split", "ByteLevel"]
         self.pattern = regex.compile(pattern) if drops and plain else None
+        #: The same for runs in lines; the ends of the lines are found as well.
+        self.in_lines = regex.compile(f"(?:{pattern})|\n") if drops and plain else None
         spaces = [c for c in map(chr, range(0x3001)) if c.isspace() != bool(regex.match(r"\s", c))]
         self.whole_if = [t["content"] for t in found.get("added_tokens", [])] + spaces
-        #: Words, and runs of several words; a run that is one word is the same entry.
         self.known: dict[str, bytes] = {}
         self.room = CACHED_BYTES
-
-    def _remember(self, text: str, ids: bytes) -> bytes:
-        if len(text) <= LONGEST:
-            # Beyond Latin-1 a letter takes two bytes or four.
-            self.room -= ENTRY_BYTES + len(text) * (1 if text.isascii() else 4) + len(ids)
-            if self.room < 0:
-                self.known.clear()
-                self.room = CACHED_BYTES
-            self.known[text] = ids
-        return ids
+        self.ranked, self.line = _by_rank(found["model"], self.whole_if) if plain else (None, None)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize("".join([BYTE_CHARACTERS[b] for b in word.encode()]))
+        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+
+    def _words(self, words: list[str]) -> bytes:
+        # By rank, the time for a word grows with the square of its length.
+        if self.ranked is None or not words or max(map(len, words)) > LONGEST:
+            made = {word: self._word(word) for word in set(words)}
+            return b"".join(map(made.__getitem__, words))
+        return np.array(self.ranked.encode_ordinary(END.join(words) + END), dtype="<u4").tobytes()
+
     def _run(self, run: str) -> bytes:
-        if max(run) < "\u0250":
-            return b"".join([self._word(w) for w in self.pattern.findall(run)])
+        if run.isascii() or max(run) < BEYOND:
+            return self._words(self.pattern.findall(run))
         # Beyond Latin letters two versions of Unicode may see different words.
         if unicodedata.is_normalized("NFC", run):
             return self._whole(run)
         # Lower case has made a sequence that would be composed if it were normalised again.
         return b"".join(map(self._whole, self.pattern.findall(run)))
 
-    def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            tokens = self.tokenizer.model.tokenize("".join([BYTE_CHARACTERS[b] for b in word.encode()]))
-            found = self._remember(word, np.array([t.id for t in tokens], dtype="<u4").tobytes())
-        return found
+    def _short(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs of Latin letters, none of them long."""
+        if self.ranked is None:
+            return {run: self._run(run) for run in runs}
+        words = self.in_lines.findall("\n".join([*runs, ""]))
+        # An ``END`` after the end of a line is no word, and is passed over.
+        ids = np.array(self.ranked.encode_ordinary(END.join(words)), dtype="<u4")
+        data, stops = ids.tobytes(), (4 * np.flatnonzero(ids == self.line)).tolist()
+        return {run: data[low:high] for run, low, high in zip(runs, [0, *[s + 4 for s in stops]], stops)}
+
+    def _new(self, runs: set[str]) -> dict[str, bytes]:
+        """Ids of runs not known yet, of which the short ones are remembered."""
+        latin = [r for r in runs if len(r) <= LONGEST and (r.isascii() or max(r) < BEYOND)]
+        made = self._short(latin)
+        if len(latin) < len(runs):
+            made |= {run: self._run(run) for run in runs.difference(made)}
+        short = made if len(latin) == len(runs) else {run: ids for run, ids in made.items() if len(run) <= LONGEST}
+        self.known.update(short)
+        # Beyond Latin-1 a letter takes two bytes or four.
+        letters = sum(len(run) * (1 if run.isascii() else 4) for run in short)
+        self.room -= ENTRY_BYTES * len(short) + letters + sum(map(len, short.values()))
+        return made
 
     def __call__(self, text: str) -> bytes:
         if self.pattern is None or any(s in text for s in self.whole_if):
@@ -104,11 +127,53 @@ class Ids:
             text = unicodedata.normalize("NFC", text)
         # Lower case goes letter by letter; only sigma has a form that depends on neighbours.
         found = (text.lower() if "Σ" not in text else "".join(map(str.lower, text))).split()
-        known = self.known
-        try:
-            return b"".join([known[r] for r in found])
-        except KeyError:
-            return b"".join([known.get(r) or self._remember(r, self._run(r)) for r in found])
+        return b"".join([self._some(found[i : i + RUNS]) for i in range(0, len(found), RUNS)])
+
+    def _some(self, found: list[str]) -> bytes:
+        if self.room < 0:
+            self.known.clear()
+            self.room = CACHED_BYTES
+        known, runs = self.known, set(found)
+        new = runs.difference(known)
+        if new:
+            made = self._new(new)
+            if any(len(r) > LONGEST for r in new):
+                known = {r: made[r] if r in made else known[r] for r in runs}
+        return b"".join(map(known.__getitem__, found))
+
+
+def _by_rank(model: dict, special: list[str]):
+    """An encoder of words that end in ``END`` and of line ends, and the id of these.
+
+    Words of lower-case text never hold ``END``, so it can stand for the suffix of a word's
+    last token.  Nothing if the file's ids are not in the order of its merges."""
+    suffix, vocabulary = model.get("end_of_word_suffix"), model.get("vocab") or {}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges") or []]
+    unusual = ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")
+    if model.get("type") != "BPE" or not suffix or any(model.get(k) for k in unusual):
+        return None, None
+    byte_of = {c: b for b, c in enumerate(BYTE_CHARACTERS)}
+
+    def written(token: str) -> bytes:
+        last = token.endswith(suffix)
+        return bytes([byte_of[c] for c in (token[: -len(suffix)] if last else token)]) + END.encode() * last
+
+    try:
+        ranks = {written(t): i for t, i in vocabulary.items() if t not in special}
+    except KeyError:
+        return None, None
+    singles = {bytes([b]) for b in range(256)}
+    singles |= {b + END.encode() for b in singles}
+    # Single bytes and those that end a word come first, then what each merge makes.
+    in_order = {ranks.get(s) for s in singles} == set(range(512)) and all(
+        vocabulary.get("".join(m)) == 512 + i for i, m in enumerate(merges)
+    )
+    if not in_order or len(ranks) != 512 + len(merges):
+        return None, None
+    import tiktoken
+
+    pattern = rf"[^{END}\n]+{END}|\n"
+    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ranks[b"\n"]
 
 
 _IDS: dict[str, Ids] = {}

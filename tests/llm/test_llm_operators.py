@@ -530,3 +530,22 @@ def test_ids_are_the_tokenizers():
     texts += ["<|endoftext|> don't", "H̱ ΑΣ Σ", BASE, "", " \n "]
     for t in texts:
         assert ids(t) == ids._whole(t), repr(t)
+
+
+def test_new_words_of_a_text_are_encoded_together(monkeypatch):
+    import public_tokenizers
+
+    ids = packing.Ids(str(public_tokenizers.path("word_bpe_49k.json")))
+    asked = []
+    word = ids._word
+    monkeypatch.setattr(ids, "_word", lambda w: asked.append(w) or word(w))
+    texts = [BASE, "don't xqzv-xqzv, a.b\nÄöß 12", "Xqzv " * 3 + "x" * 500 + ",ab", "word," * 300, "=" * 300 + " a"]
+    for t in texts:
+        assert ids(t) == ids._whole(t), repr(t)
+    assert all(len(w) > packing.LONGEST for w in asked if w not in ("ab", ","))
+    assert max(map(len, ids.known)) <= packing.LONGEST
+    monkeypatch.setattr(packing, "RUNS", 2)
+    ids.room = -1
+    assert [ids(t) for t in texts] == list(map(ids._whole, texts))
+    ids.ranked, ids.room = None, -1
+    assert [ids(t) for t in texts] == list(map(ids._whole, texts))
