@@ -146,6 +146,21 @@ def test_a_site_is_tried_once(spark):
     assert [r.file_url for r in each] == [r.file_url for r in found.where("site = 'https://example.com'").orderBy("ord").collect()]
 
 
+def test_every_page_has_the_candidates_of_its_site(spark):
+    from citescope.plans.catalog import QUERIES
+
+    rows = [("https://example.com/a", ""), ("https://example.com/b", ""), ("https://docs.example.com/", ""), (None, ""), ("https://example.com/a", "")]
+    given = pages(spark, *rows)
+    found = [tuple(r) for r in L.llm_candidates_of_pages(given).collect()]
+    assert len(found) == 81 * 3 + 9
+    assert sorted(found) == sorted(tuple(r) for r in L.page_llm_candidates(given.where("url IS NOT NULL")).collect())
+    sf = "/root/testdata/sf0.001"
+    query = QUERIES["llm_candidates"](spark, sf)
+    assert query.columns == ["page_id", "ord", "file_url"]
+    assert query.count() == QUERIES["page_llm_candidates"](spark, sf).count()
+    assert query.select("page_id").distinct().count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+
+
 def test_one_file_serves_all_sites_that_try_it(spark):
     files = spark.createDataFrame(
         [("https://docs.example.com/llms.txt", 200, GOOD), ("https://docs.example.com/llms.txt", 404, None)],
